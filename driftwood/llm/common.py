@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,6 +9,11 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from driftwood.sources.shared import checkpointed as written
+from driftwood.sources.shared import purge, shared_dir
+
+__all__ = ["SPACE", "WORD", "held_out", "purge", "shared_dir", "slices", "table", "written"]
+
 #: White space of the word and line rules: blank and \t \n \v \f \r. A fixed set.
 SPACE = " \t\n\x0b\f\r"
 #: The word rule as a Java/RE2 pattern.
@@ -21,38 +24,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a
-    temporary folder where that is unset (local sessions only)."""
-    context = spark.sparkContext
-    where = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        current = context._jsc.sc().getCheckpointDir()
-        where = current.get() if current.isDefined() else None
-    if not where:
-        if not context.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        where = tempfile.mkdtemp(prefix="driftwood-")
-        context.setCheckpointDir(where)
-    return where.rstrip("/")
-
-
-def written(df: DataFrame) -> DataFrame:
-    """``df`` cut off from its lineage: written once as Parquet to the shared folder and
-    read back, so a lost executor costs a reread and not a recomputation."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def purge(spark: SparkSession) -> None:
-    """Deletes the tables that ``written`` made in this application. Call it when no
-    DataFrame that came from the operators is needed any more."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut into runs of rows whose ``column`` holds about ``most_bytes`` at
     most (one row at least), so that Python objects of few rows live at a time."""
