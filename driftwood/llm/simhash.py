@@ -18,7 +18,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,6 +26,9 @@ from driftwood.llm.common import slices, written
 from driftwood.llm.components import components
 
 _STEP = 1 << 16
+#: A partition whose threshold asks for more probes than this is not considered; four or
+#: more partitions always have a plan of one probe each.
+_MOST_PROBES = 4096
 
 
 def fingerprint(text: bytes, width: int = 3) -> int:
@@ -65,6 +68,7 @@ def _bits(found: np.ndarray) -> np.ndarray:
 def group_bits(bits: np.ndarray, parts: int) -> list[list[int]]:
     """The 64 bits in ``parts`` groups of like size; each group grows by the bit that
     correlates most with it. Bit 0 is the most significant."""
+    bits = bits if len(bits) else np.zeros((1, 64), np.float32)
     spread = bits.std(axis=0)
     scaled = (bits - bits.mean(axis=0)) / np.where(spread, spread, 1)
     like = np.abs(scaled.T @ scaled) / max(len(bits), 1)
@@ -94,7 +98,7 @@ def plan(sample: np.ndarray, rows: int, k: int = 3, most_parts: int = 6) -> list
     """``(bits, threshold)`` of the partitions to probe, for ``rows`` distinct fingerprints
     of which ``sample`` is a part. The plan changes the cost alone, never the result."""
     bits = _bits(sample[:2048])
-    n, chosen = len(bits), (float("inf"), [])
+    n, rows, chosen = len(bits), max(rows, 2), (float("inf"), [])
     pairs = max(n * (n - 1) / 2, 1)
     for parts in range(1, most_parts + 1):
         groups, costs = group_bits(bits, parts), []
@@ -106,10 +110,10 @@ def plan(sample: np.ndarray, rows: int, k: int = 3, most_parts: int = 6) -> list
             for t in range(k + 1):
                 ball = sum(comb(len(group), i) for i in range(t + 1))
                 share = max(near[: t + 1].sum() / pairs, ball / 2.0 ** len(group))
-                costs[-1].append(rows * (ball + 1.0) + share * rows * rows / 2)
+                costs[-1].append(rows * (ball + 1.0) + share * rows * rows / 2 if ball <= _MOST_PROBES else float("inf"))
         at = allocate(costs, k)
         total = sum(c[t + 1] for c, t in zip(costs, at, strict=True))
-        if total < chosen[0]:
+        if total < chosen[0] and sum(t + 1 for t in at) == k + 1:  # else no allocation has a finite cost
             chosen = total, [(g, t) for g, t in zip(groups, at, strict=True) if t >= 0]
     return chosen[1]
 
@@ -122,12 +126,14 @@ def _mask(group: list[int] | tuple[int, ...]) -> int:
 def _keyed(fps: DataFrame, parts: list[tuple[list[int], int]], probe: bool) -> DataFrame:
     """Rows ``(part, value, ...)``: each fingerprint under its own value in each partition
     or, as a probe, under each value within the partition's threshold."""
-    flips = [[c for t in range(most + 1 if probe else 1) for c in combinations(group, t)] for group, most in parts]
-    keys = [
-        F.struct(F.lit(i).alias("part"), F.col("fp").bitwiseAND(F.lit(_mask(group))).bitwiseXOR(F.lit(_mask(flip))).alias("value"))
-        for i, (group, _) in enumerate(parts) for flip in flips[i]
-    ]
-    return fps.select("*", F.explode(F.array(*keys)).alias("key")).select("*", "key.*").drop("key")
+
+    def keys(i: int, group: list[int], most: int) -> Column:
+        own = F.col("fp").bitwiseAND(F.lit(_mask(group)))
+        flips = [_mask(c) for t in range(most + 1 if probe else 1) for c in combinations(group, t)]
+        return F.transform(F.array(*map(F.lit, flips)), lambda flip: F.struct(F.lit(i).alias("part"), own.bitwiseXOR(flip.cast("long")).alias("value")))
+
+    every = F.concat(*(keys(i, group, most) for i, (group, most) in enumerate(parts)))
+    return fps.select("*", F.explode(every).alias("key")).select("*", "key.*").drop("key")
 
 
 def links(fps: DataFrame, k: int = 3, rounds: int = 2, sample_rows: int = 2048) -> DataFrame:
