@@ -85,13 +85,14 @@ def exact_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     Texts are equal when their bytes are; a null text equals an empty one. The row with the
     largest id stays (``keep_id`` is null if no row of the group has one); of several rows
     with that id, the first as numbered in reading order. Other columns are ignored; an
-    empty table gives an empty result. Groups are counted map-side first, and only groups
-    of two rows or more are joined back, on the side that Spark does not have to split.
+    empty table gives an empty result. Groups are counted map-side first and written, and
+    only those of two rows or more are joined back: both sides of that join then come
+    straight from a shuffle, so Spark can split a group that holds many rows.
     """
     named = name_texts(docs, id_col=id_col, text_col=text_col, block_bytes=block_bytes, digest=digest)
     best = F.max(F.struct("id", (-F.col("rid")).alias("first")))
     groups = named.groupBy("blocks", "h", "r").agg(best.alias("best"), F.count(F.lit(1)).alias("group_size")).where("group_size > 1")
-    out = named.join(groups, ["blocks", "h", "r"], "left")
+    out = named.join(written(groups), ["blocks", "h", "r"], "left")
     alone = F.col("group_size").isNull()
     return out.select(
         F.col("id").alias(id_col), F.when(alone, F.col("id")).otherwise(F.col("best.id")).alias("keep_id"),
