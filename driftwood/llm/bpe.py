@@ -7,7 +7,8 @@ where u was, is left to where v could go, and cuts the arc from u to v. What a g
 copies is not written out; a state keeps the number of its merge and its two parents, and
 an arc is found by going back through the gadgets to the time when both states were made.
 Found arcs are kept in a table. Of a word's prefix exactly one path ends at each position,
-so a word is encoded by one walk over the table, and decoding emits the arcs' labels.
+so a word is encoded by one walk over the table, and decoding emits the arcs' labels. Which
+labels end at a position is found by a string matcher over all labels.
 """
 
 from __future__ import annotations
@@ -15,19 +16,29 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
+import ahocorasick
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from tokenizers import Regex, Tokenizer, pre_tokenizers
 
 from driftwood.llm.common import slices
 
 #: Longer chunks are encoded but not cached.
 _LONG = 64
+#: Stands for a suffix among the symbols.
+_LAST = "\uffff"
+#: The state before a word, which any token may follow.
+_BEGIN = (1 << 24) - 1
 #: Unicode white space, for use within a class. Python's own \\s splits at \\x1c-\\x1f too.
 _WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _ODD = re.compile("[\x1c-\x1f]")
@@ -40,16 +51,17 @@ def chunks(text: str) -> list[str]:
 
 
 class Automaton:
-    """The automaton of an ordered list of merges, over symbols that are strings."""
+    """The automaton of an ordered list of merges, over symbols that are strings. With a
+    ``suffix``, the last symbol of a word bears it."""
 
-    def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], arc_entries: int = 1 << 20):
-        self.ids, self.labels = vocab, {i: t for t, i in vocab.items()}
+    def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], suffix: str = "", arc_entries: int = 1 << 19):
+        self.ids, self.labels, self.suffix = vocab, {i: t for t, i in vocab.items()}, suffix
         self.born: dict[int, int] = {}
         self.parents: dict[int, tuple[int, int]] = {}
         self.merged: dict[tuple[int, int], int] = {}
         for time, (u, v) in enumerate(merges):
             self.add_gadget(time, vocab[u], vocab[v], vocab[u + v])
-        self.arcs: dict[tuple[int, int], bool] = {}
+        self.arcs: dict[int, bool] = {}
         self.arc_entries = arc_entries
         # states that can be reached: those of symbols, and of merges that nothing pre-empts
         whole: dict[int, bool] = {}
@@ -57,7 +69,13 @@ class Automaton:
             whole[w] = whole.get(u, True) and whole.get(v, True) and self._derive(u, v, self.born[w])
         made = {u + v for u, v in merges}
         self.tokens = {t: i for t, i in vocab.items() if (whole[i] if i in whole else t not in made)}
-        self.longest = max(map(len, self.tokens), default=1)
+        # which labels end at each symbol of a word, the longest first; the suffix counts as one symbol
+        self.matcher = ahocorasick.Automaton()
+        for t, i in self.tokens.items():
+            last = bool(suffix) and t.endswith(suffix) and t != suffix
+            self.matcher.add_word(t[: -len(suffix)] + _LAST if last else t, (i, len(t) - (len(suffix) - 1) * last))
+        if self.tokens:
+            self.matcher.make_automaton()
 
     def add_gadget(self, time: int, u: int, v: int, w: int) -> None:
         """Cuts the arc u -> v from ``time`` on; w, if new, gets u's way in and v's way out."""
@@ -67,7 +85,7 @@ class Automaton:
 
     def arc(self, x: int, y: int) -> bool:
         """Whether token y may follow token x after all merges."""
-        key = x, y
+        key = x << 24 | y
         known = self.arcs.get(key)
         if known is None:
             if len(self.arcs) >= self.arc_entries:
@@ -89,28 +107,32 @@ class Automaton:
             else:
                 before, y = min(before, by + 1), self.parents[y][0]  # y is entered like its left part, just after
 
-    def encode(self, text: str, suffix: str = "") -> list[int]:
-        """The tokens of a word, whose last character bears ``suffix``: at each position the
-        one token that ends a valid path."""
-        whole = self.tokens.get(text + suffix)
+    def encode(self, text: str) -> list[int]:
+        """The tokens of a word: at each position the one token that ends a valid path."""
+        whole = self.tokens.get(text + self.suffix)
         if whole is not None:
             return [whole]
-        n, tokens, arcs, longest = len(text), self.tokens, self.arcs, self.longest
+        if not text:
+            return []
+        n, arcs = len(text) + bool(self.suffix), self.arcs
         state, start = [-1] * (n + 1), [0] * (n + 1)
-        for j in range(1, n + 1):
-            for i in range(j - longest if j > longest else 0, j):  # longest first
-                token = tokens.get(text[i:j] if j < n else text[i:] + suffix)
-                if token is not None:
-                    if i:
-                        known = arcs.get((state[i], token))
-                        if known is None:
-                            known = self.arc(state[i], token)
-                        if not known:
-                            continue
-                    state[j], start[j] = token, i
-                    break
-            else:
-                raise ValueError(f"no path for {text!r}")
+        if self.suffix:
+            state[n - 1] = -2  # no path ends there: the last symbol bears the suffix
+        state[0] = _BEGIN
+        for end, (token, size) in self.matcher.iter(text + _LAST if self.suffix else text):
+            j = end + 1
+            if state[j] != -1:
+                continue
+            before = state[j - size]
+            if before < 0:
+                continue
+            known = arcs.get(before << 24 | token)
+            if known is None:
+                known = self.arc(before, token)
+            if known:
+                state[j], start[j] = token, j - size
+        if state[n] < 0:
+            raise ValueError(f"no path for {text!r}")
         out, j = [], n
         while j:
             out.append(state[j])
@@ -134,7 +156,7 @@ def _byte_symbols() -> list[str]:
 class WordCodec:
     """A word-end BPE vocabulary file: normaliser, word pattern, automaton and labels."""
 
-    def __init__(self, path: str, word_entries: int = 300_000):
+    def __init__(self, path: str, word_entries: int = 1 << 17):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -145,9 +167,10 @@ class WordCodec:
         if model["type"] != "BPE" or kinds != ["NFC", "Replace", "Lowercase"] or spec["decoder"] or any(x["lstrip"] or x["rstrip"] or x["single_word"] or x["normalized"] for x in spec["added_tokens"]):
             raise ValueError("this codec reads word-end BPE files with the NFC, white space, lower case normaliser and no decoder")
         self.words = regex.compile(split["pattern"]["Regex"].replace(r"\s", _WHITE))
+        # for characters that this Python does not know: the normaliser and pattern of the file's library
+        self.normal, self.split = Tokenizer.from_file(path).normalizer, pre_tokenizers.Split(Regex(split["pattern"]["Regex"]), "removed", invert=True)
         self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
-        self.automaton = Automaton(model["vocab"], [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]])
-        self.labels = self.automaton.labels | {i: t for t, i in self.special.items()}
+        self.automaton = Automaton(model["vocab"], [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]], self.suffix)
         self.symbols = dict(enumerate(_byte_symbols()))
         self.seen, self.word_entries = {}, word_entries
 
@@ -161,25 +184,88 @@ class WordCodec:
         return out
 
     def _plain(self, text: str) -> list[int]:
-        if not text.isascii():
+        if text.isascii():
+            found = self.words.findall(text.lower())
+        elif any(unicodedata.category(c) == "Cn" for c in text):
+            found = [word for word, _ in self.split.pre_tokenize_str(self.normal.normalize_str(text))]
+        else:
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # lower case letter by letter: no final sigma
+            found = self.words.findall(text.lower())
         out, seen = [], self.seen
-        for word in self.words.findall(text.lower()):
+        for word in found:
             if word not in seen:
                 if len(seen) >= self.word_entries:
                     seen.clear()
-                found = self.automaton.encode(word.encode("utf-8", "replace").decode("latin-1").translate(self.symbols), self.suffix)
+                plain = word.isascii() and word.isprintable()  # its bytes stand for themselves
+                ids = self.automaton.encode(word if plain else word.encode("utf-8", "replace").decode("latin-1").translate(self.symbols))
                 if len(word) > _LONG:
-                    out.extend(found)
+                    out.extend(ids)
                     continue
-                seen[word] = found
+                seen[word] = ids
             out.extend(seen[word])
         return out
 
-    def decode(self, ids: list[int]) -> str:
-        """Labels joined by blanks, as a file without decoder has it. Unknown ids are left out."""
-        labels = self.labels
-        return " ".join([labels[i] for i in ids if i in labels])
+
+class ChunkTable:
+    """Ids of chunks seen before: a number for each chunk, and the ids of all chunks one
+    after another."""
+
+    def __init__(self, words: WordCodec, entries: int, most_ids: int = 1 << 22):
+        self.words, self.entries, self.most_ids = words, entries, most_ids
+        self.clear()
+
+    def clear(self) -> None:
+        self.numbers: dict[str, int] = {}
+        self.stops, self.ids = array("q", [0]), array("i")
+
+    def encode(self, texts: list[str]) -> pa.ListArray:
+        """The ids of each text."""
+        parts = [chunks(x) for x in texts]
+        flat = list(chain.from_iterable(parts))
+        if len(self.numbers) > self.entries or len(self.ids) > self.most_ids:
+            self.clear()
+        for chunk in set(flat).difference(self.numbers):
+            self.numbers[chunk] = len(self.numbers)
+            self.ids.extend(self.words.chunk(chunk))
+            self.stops.append(len(self.ids))
+        stops, ids = np.array(self.stops), np.array(self.ids, np.int32)
+        own = np.fromiter(map(self.numbers.__getitem__, flat), np.int64, len(flat))
+        first, size = stops[own], stops[own + 1] - stops[own]
+        at = np.concatenate(([0], np.cumsum(size)))
+        out = ids[np.repeat(first - at[:-1], size) + np.arange(at[-1])]
+        ends = at[np.concatenate(([0], np.cumsum([len(x) for x in parts], dtype=np.int64)))]
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(out, pa.int32()))
+
+
+@lru_cache(maxsize=2)
+def chunk_table(path: str, entries: int) -> ChunkTable:
+    """The worker's table, kept from task to task."""
+    return ChunkTable(codec(path), entries)
+
+
+@lru_cache(maxsize=4)
+def labels(path: str) -> pa.Array:
+    """The label of each id of a vocabulary file; null where an id is free."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    known = {i: t for t, i in spec["model"]["vocab"].items()} | {x["id"]: x["content"] for x in spec["added_tokens"]}
+    return pa.array([known.get(i) for i in range(max(known, default=-1) + 1)], pa.string())
+
+
+def decode_ids(ids: pa.ListArray, known: pa.Array) -> pa.Array:
+    """Labels joined by blanks, as a file without decoder has it. Unknown and null ids are
+    left out; null lists give an empty text."""
+    flat = ids.flatten()
+    at = np.concatenate(([0], np.cumsum(pc.list_value_length(ids).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)))
+    inside = pc.and_(pc.greater_equal(flat, 0), pc.less(flat, len(known))).fill_null(False)
+    if not pc.all(inside).as_py():
+        flat = pc.if_else(inside, flat, None)
+    found = known.take(flat)
+    if found.null_count:
+        there = found.is_valid()
+        at = np.concatenate(([0], np.cumsum(there.to_numpy(zero_copy_only=False), dtype=np.int64)))[at]
+        found = found.filter(there)
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(at, pa.int32()), found), " ")
 
 
 @lru_cache(maxsize=4)
@@ -187,7 +273,7 @@ def codec(path: str) -> WordCodec:
     return WordCodec(path)
 
 
-def encode(docs: DataFrame, path: str, *, keep: list[str], text_col: str = "text", cache_entries: int = 200_000) -> DataFrame:
+def encode(docs: DataFrame, path: str, *, keep: list[str], text_col: str = "text", cache_entries: int = 300_000) -> DataFrame:
     """The columns ``keep`` with ``ids array<int>``. Whole texts; null counts as empty and
     gives no ids. White space only parts chunks, so chunks between it are encoded on their
     own and kept in a bounded cache of the worker. ``path`` must exist on every executor."""
@@ -196,22 +282,10 @@ def encode(docs: DataFrame, path: str, *, keep: list[str], text_col: str = "text
     schema = T.StructType([*rows.schema.fields[:-1], T.StructField("ids", T.ArrayType(T.IntegerType(), False))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, cache = codec(path), {}
+        table = chunk_table(path, cache_entries)
         for batch in slices(batches, "text", 4 << 20):
-            out = []
-            for text in batch.column("text").to_pylist():
-                ids = []
-                for chunk in chunks(text or ""):
-                    found = cache.get(chunk)
-                    if found is None:
-                        found = words.chunk(chunk)
-                        if len(chunk) <= _LONG:
-                            if len(cache) >= cache_entries:
-                                cache.clear()
-                            cache[chunk] = found
-                    ids.extend(found)
-                out.append(ids)
-            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in names), pa.array(out, pa.list_(pa.int32()))], [*names, "ids"])
+            ids = table.encode([x or "" for x in batch.column("text").to_pylist()])
+            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in names), ids], [*names, "ids"])
 
     return rows.mapInArrow(run, schema).select(*(F.col(x).alias(c) for x, c in zip(names, keep, strict=True)), "ids")
 
@@ -224,11 +298,14 @@ def decode(encoded: DataFrame, path: str, *, keep: list[str], ids_col: str = "id
     schema = T.StructType([*rows.schema.fields[:-1], T.StructField("text", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = codec(path)
+        known = labels(path)
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
-                texts = [words.decode(ids or []) for ids in part.column("ids").to_pylist()]
-                yield pa.RecordBatch.from_arrays([*(part.column(x) for x in names), pa.array(texts, pa.string())], [*names, "text"])
+            size = np.cumsum(pc.list_value_length(batch.column("ids")).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+            start = 0
+            while start < batch.num_rows:  # a million ids at a time, or one row
+                stop = max(start + 1, int(np.searchsorted(size, (size[start - 1] if start else 0) + (1 << 20), "right")))
+                part = batch.slice(start, stop - start)
+                yield pa.RecordBatch.from_arrays([*(part.column(x) for x in names), decode_ids(part.column("ids"), known)], [*names, "text"])
+                start = stop
 
     return rows.mapInArrow(run, schema).select(*(F.col(x).alias(c) for x, c in zip(names, keep, strict=True)), "text")

@@ -6,6 +6,7 @@ from collections import Counter
 from zlib import crc32
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 from hypothesis import given, settings
@@ -68,7 +69,15 @@ def test_bpe_any_text(text):
     ref = Tokenizer.from_file(WORD)
     ids = [i for c in bpe.chunks(text) for i in bpe.codec(WORD).chunk(c)]
     assert ids == ref.encode(text, add_special_tokens=False).ids
-    assert bpe.codec(WORD).decode(ids) == ref.decode(ids, skip_special_tokens=False)
+    assert bpe.decode_ids(pa.array([ids], pa.list_(pa.int32())), bpe.labels(WORD)).to_pylist() == [ref.decode(ids, skip_special_tokens=False)]
+
+
+def test_bpe_decode_odd():
+    ids = pa.array([[320, None, -5, 10**6, 321], None, [], [49406, 320]], pa.list_(pa.int32()))
+    known = bpe.labels(WORD)
+    names = [known[i].as_py() for i in (320, 321, 49406)]
+    assert bpe.decode_ids(ids, known).to_pylist() == [f"{names[0]} {names[1]}", "", "", f"{names[2]} {names[0]}"]
+    assert bpe.decode_ids(ids.slice(3), known).to_pylist() == [f"{names[2]} {names[0]}"] and bpe.decode_ids(ids[:0], known).to_pylist() == []
 
 
 @settings(max_examples=150, deadline=None)
