@@ -33,8 +33,6 @@ from tokenizers import Regex, Tokenizer, pre_tokenizers
 
 from driftwood.llm.common import slices
 
-#: Longer chunks are encoded but not cached.
-_LONG = 64
 #: Stands for a suffix among the symbols.
 _LAST = "\uffff"
 #: The state before a word, which any token may follow.
@@ -55,7 +53,7 @@ class Automaton:
     ``suffix``, the last symbol of a word bears it."""
 
     def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], suffix: str = "", arc_entries: int = 1 << 19):
-        self.ids, self.labels, self.suffix = vocab, {i: t for t, i in vocab.items()}, suffix
+        self.suffix = suffix
         self.born: dict[int, int] = {}
         self.parents: dict[int, tuple[int, int]] = {}
         self.merged: dict[tuple[int, int], int] = {}
@@ -156,7 +154,7 @@ def _byte_symbols() -> list[str]:
 class WordCodec:
     """A word-end BPE vocabulary file: normaliser, word pattern, automaton and labels."""
 
-    def __init__(self, path: str, word_entries: int = 1 << 17):
+    def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -168,47 +166,39 @@ class WordCodec:
             raise ValueError("this codec reads word-end BPE files with the NFC, white space, lower case normaliser and no decoder")
         self.words = regex.compile(split["pattern"]["Regex"].replace(r"\s", _WHITE))
         # for characters that this Python does not know: the normaliser and pattern of the file's library
-        self.normal, self.split = Tokenizer.from_file(path).normalizer, pre_tokenizers.Split(Regex(split["pattern"]["Regex"]), "removed", invert=True)
+        self.normal, self.split_odd = Tokenizer.from_file(path).normalizer, pre_tokenizers.Split(Regex(split["pattern"]["Regex"]), "removed", invert=True)
         self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
         self.automaton = Automaton(model["vocab"], [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]], self.suffix)
         self.symbols = dict(enumerate(_byte_symbols()))
-        self.seen, self.word_entries = {}, word_entries
 
-    def chunk(self, text: str) -> list[int]:
-        """The ids of a text without white space (or with it)."""
+    def split(self, text: str) -> list[str | int]:
+        """The words of a text without white space (or with it); special tokens as ids."""
         if "<|" not in text:
-            return self._plain(text)
+            return self._words(text)
         out = []
         for part in self.cut.split(text):
-            out.extend([self.special[part]] if part in self.special else self._plain(part))
+            out.extend([self.special[part]] if part in self.special else self._words(part))
         return out
 
-    def _plain(self, text: str) -> list[int]:
+    def _words(self, text: str) -> list[str]:
         if text.isascii():
-            found = self.words.findall(text.lower())
-        elif any(unicodedata.category(c) == "Cn" for c in text):
-            found = [word for word, _ in self.split.pre_tokenize_str(self.normal.normalize_str(text))]
-        else:
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # lower case letter by letter: no final sigma
-            found = self.words.findall(text.lower())
-        out, seen = [], self.seen
-        for word in found:
-            if word not in seen:
-                if len(seen) >= self.word_entries:
-                    seen.clear()
-                plain = word.isascii() and word.isprintable()  # its bytes stand for themselves
-                ids = self.automaton.encode(word if plain else word.encode("utf-8", "replace").decode("latin-1").translate(self.symbols))
-                if len(word) > _LONG:
-                    out.extend(ids)
-                    continue
-                seen[word] = ids
-            out.extend(seen[word])
-        return out
+            return self.words.findall(text.lower())
+        if any(unicodedata.category(c) == "Cn" for c in text):
+            return [word for word, _ in self.split_odd.pre_tokenize_str(self.normal.normalize_str(text))]
+        text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # lower case letter by letter: no final sigma
+        return self.words.findall(text.lower())
+
+    def word(self, word: str) -> list[int]:
+        plain = word.isascii() and word.isprintable()  # its bytes stand for themselves
+        return self.automaton.encode(word if plain else word.encode("utf-8", "replace").decode("latin-1").translate(self.symbols))
+
+    def chunk(self, text: str) -> list[int]:
+        return [i for x in self.split(text) for i in ([x] if isinstance(x, int) else self.word(x))]
 
 
 class ChunkTable:
-    """Ids of chunks seen before: a number for each chunk, and the ids of all chunks one
-    after another."""
+    """Ids of chunks, and of the words in them, seen before: a number for each, and the ids
+    of all of them one after another."""
 
     def __init__(self, words: WordCodec, entries: int, most_ids: int = 1 << 22):
         self.words, self.entries, self.most_ids = words, entries, most_ids
@@ -218,6 +208,26 @@ class ChunkTable:
         self.numbers: dict[str, int] = {}
         self.stops, self.ids = array("q", [0]), array("i")
 
+    def _add(self, text: str, ids: list[int] | array) -> None:
+        self.numbers[text] = len(self.numbers)
+        self.ids.extend(ids)
+        self.stops.append(len(self.ids))
+
+    def add(self, chunk: str) -> None:
+        parts = self.words.split(chunk)
+        for part in parts:
+            if part not in self.numbers and not isinstance(part, int):
+                self._add(part, self.words.word(part))
+        if chunk not in self.numbers:
+            ids = array("i")
+            for part in parts:
+                if isinstance(part, int):
+                    ids.append(part)
+                else:
+                    number = self.numbers[part]
+                    ids.extend(self.ids[self.stops[number] : self.stops[number + 1]])
+            self._add(chunk, ids)
+
     def encode(self, texts: list[str]) -> pa.ListArray:
         """The ids of each text."""
         parts = [chunks(x) for x in texts]
@@ -225,9 +235,7 @@ class ChunkTable:
         if len(self.numbers) > self.entries or len(self.ids) > self.most_ids:
             self.clear()
         for chunk in set(flat).difference(self.numbers):
-            self.numbers[chunk] = len(self.numbers)
-            self.ids.extend(self.words.chunk(chunk))
-            self.stops.append(len(self.ids))
+            self.add(chunk)
         stops, ids = np.array(self.stops), np.array(self.ids, np.int32)
         own = np.fromiter(map(self.numbers.__getitem__, flat), np.int64, len(flat))
         first, size = stops[own], stops[own + 1] - stops[own]
@@ -283,7 +291,7 @@ def encode(docs: DataFrame, path: str, *, keep: list[str], text_col: str = "text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = chunk_table(path, cache_entries)
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text", 2 << 20):
             ids = table.encode([x or "" for x in batch.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in names), ids], [*names, "ids"])
 
