@@ -281,21 +281,24 @@ def codec(path: str) -> WordCodec:
     return WordCodec(path)
 
 
-def encode(docs: DataFrame, path: str, *, keep: list[str], text_col: str = "text", cache_entries: int = 300_000) -> DataFrame:
-    """The columns ``keep`` with ``ids array<int>``. Whole texts; null counts as empty and
-    gives no ids. White space only parts chunks, so chunks between it are encoded on their
-    own and kept in a bounded cache of the worker. ``path`` must exist on every executor."""
+def encode(docs: DataFrame, path: str, *, keep: list[str], text_col: str = "text", decoded_col: str | None = None, cache_entries: int = 200_000) -> DataFrame:
+    """The columns ``keep`` with ``ids array<int>`` and, if a name for it is given, what the
+    ids decode to. Whole texts; null counts as empty and gives no ids. White space only parts
+    chunks, so chunks between it are encoded on their own and kept in a bounded cache of the
+    worker. ``path`` must exist on every executor."""
     names = [f"k{i}" for i in range(len(keep))]
     rows = docs.select(*(F.col(c).alias(x) for x, c in zip(names, keep, strict=True)), F.col(text_col).alias("text"))
-    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("ids", T.ArrayType(T.IntegerType(), False))])
+    made = [T.StructField("ids", T.ArrayType(T.IntegerType(), False)), *([T.StructField("decoded", T.StringType())] if decoded_col else [])]
+    schema = T.StructType([*rows.schema.fields[:-1], *made])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = chunk_table(path, cache_entries)
         for batch in slices(batches, "text", 2 << 20):
             ids = table.encode([x or "" for x in batch.column("text").to_pylist()])
-            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in names), ids], [*names, "ids"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in names), ids, *([decode_ids(ids, labels(path))] if decoded_col else [])], schema.names)
 
-    return rows.mapInArrow(run, schema).select(*(F.col(x).alias(c) for x, c in zip(names, keep, strict=True)), "ids")
+    out = rows.mapInArrow(run, schema)
+    return out.select(*(F.col(x).alias(c) for x, c in zip(names, keep, strict=True)), "ids", *([F.col("decoded").alias(decoded_col)] if decoded_col else []))
 
 
 def decode(encoded: DataFrame, path: str, *, keep: list[str], ids_col: str = "ids") -> DataFrame:

@@ -119,9 +119,8 @@ FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_path("word_bpe_49k.json")
-    encoded = bpe.encode(table(spark, sf_dir, "documents"), path, keep=["doc_id"])
-    decoded = bpe.decode(encoded, path, keep=["doc_id", "ids"])
-    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", " ").cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+    encoded = bpe.encode(table(spark, sf_dir, "documents"), path, keep=["doc_id"], decoded_col="decoded")
+    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", " ").cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:

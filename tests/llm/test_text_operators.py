@@ -54,6 +54,8 @@ def test_bpe_odd(odd):
         ids = ref.encode(t or "", add_special_tokens=False).ids
         want.append((i, ids, ref.decode(ids, skip_special_tokens=False)))
     assert by_id(got) == by_id(want)
+    both = bpe.encode(odd, WORD, keep=["doc_id"], decoded_col="ids2").collect()
+    assert by_id(both) == by_id(want)
 
 
 def test_bpe_table(spark, sf):
