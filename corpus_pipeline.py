@@ -39,10 +39,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, and whether they decode to the words that went in."""
+    """Token ids of each document, and the digest of what they decode to."""
     path = tokenizer_path("word_bpe_49k.json")
-    encoded = bpe.encode(docs, path, keep=["doc_id", "source"])
-    return bpe.decode(encoded, path, keep=["doc_id", "source", "ids"]).select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("text", 256).alias("decoded_sha256"))
+    encoded = bpe.encode(docs, path, keep=["doc_id", "source"], decoded_col="decoded")
+    return encoded.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES = [
