@@ -11,14 +11,14 @@ from driftwood.operators import lww
 
 
 def value_bytes(column: str, kind: T.DataType) -> Column:
-    """Estimated bytes of a value: 2 a UTF-16 unit for text, 8 a number, 1 a boolean, and 5
-    of index for each value."""
+    """Estimated bytes of a value: 2 a UTF-16 unit for text, 8 a number or time, 1 a boolean,
+    and 5 of index for each value."""
     if isinstance(kind, T.StringType):
         wide = F.length(F.regexp_replace(F.col(column), "[^\\x{10000}-\\x{10FFFF}]", ""))
         return F.coalesce(2 * (F.length(column) + wide), F.lit(0)) + 5
     if isinstance(kind, T.BooleanType):
         return F.when(F.col(column).isNull(), 0).otherwise(1) + 5
-    if isinstance(kind, T.NumericType):
+    if isinstance(kind, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)):
         return F.when(F.col(column).isNull(), 0).otherwise(8) + 5
     if isinstance(kind, T.BinaryType):
         return F.coalesce(F.octet_length(column), F.lit(0)) + 5

@@ -188,7 +188,8 @@ def search(index: DataFrame, centroids: np.ndarray, query: list[float], k: int,
     probes = max(1, -(-probe_budget // cell_size))
     cells = np.argsort(-(centroids @ q), kind="stable")[:probes].tolist()
     found = index.where(F.col("cell").isin(cells)) if len(cells) < len(centroids) else index
-    return found.select("vec_id", closeness(F.col("unit"), F.array(*map(F.lit, q.tolist()))).alias("closeness")).orderBy(F.desc("closeness"), "vec_id").limit(k)
+    # stored entries have 32 bits: made unit length again in 64, else a vector is off by 1e-4 from itself
+    return found.select("vec_id", closeness(unit(F.col("unit")), F.array(*map(F.lit, q.tolist()))).alias("closeness")).orderBy(F.desc("closeness"), "vec_id").limit(k)
 
 
 def rebuild_due(count: int, done: list[int]) -> int | None:

@@ -65,7 +65,7 @@ _AUTH = """
 lines AS (
   SELECT event_id AS seq, user_id AS process, event_type, 'u' || (user_id % 7) AS user, '10.0.0.' || (event_id % 250) AS address, 'SHA256:' || md5(event_id::VARCHAR) AS print FROM events)
 """
-_UNIT = "units AS (SELECT vec_id, label, list_transform(embedding, x -> x::DOUBLE / sqrt(list_sum(list_transform(embedding, y -> y::DOUBLE * y::DOUBLE)))) AS u FROM embeddings)"
+_UNIT = "units AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)))) AS u FROM embeddings)"
 _CLOSE = "1 - sqrt(greatest(0, 2 - 2 * list_dot_product({a}, {b})))"
 _PREFIXES = f"{_LISTING}, parts AS (SELECT page_id, size, string_split(path, '/') AS p FROM listing), prefixes AS (SELECT page_id, size, array_to_string(p[1:n], '/') AS prefix, n FROM parts, unnest(range(1, len(p) + 1)) AS t(n))"
 
@@ -78,9 +78,9 @@ SQL: dict[str, str] = {
     "lww_deleted_keys": f"WITH {_LOG} SELECT key, max(time) FILTER (del) AS delete_time FROM log GROUP BY key HAVING max(time) FILTER (del) >= coalesce(max(time) FILTER (NOT del), '-infinity'::TIMESTAMP)",
     "lww_point_field": f"WITH {_LOG}, {_FOLD} SELECT key, value, coalesce(vt, kt) AS time FROM live WHERE key = 7",
     "lww_reader_mode": f"""WITH {_LOG}, dead AS (SELECT key, max(time) AS dt FROM log WHERE del GROUP BY key),
-        per AS (SELECT key, seq % 3 AS src, max((time, seq)) AS at, arg_max({{'v': value}}, (time, seq)) FILTER (sets_value) AS cell FROM log WHERE NOT del GROUP BY 1, 2),
-        best AS (SELECT key, max(at) AS newest, arg_max({{'v': cell, 'at': at}}, at) FILTER (cell IS NOT NULL) AS b FROM per GROUP BY key)
-        SELECT key, CASE WHEN dt IS NULL OR b.at[1] > dt THEN b.v.v END AS value, coalesce(b.at[1], newest[1]) AS time FROM best LEFT JOIN dead USING (key) WHERE dt IS NULL OR newest[1] > dt""",
+        per AS (SELECT key, seq % 3 AS src, max((time, seq)) AS stamp, arg_max({{'v': value}}, (time, seq)) FILTER (sets_value) AS cell FROM log WHERE NOT del GROUP BY 1, 2),
+        best AS (SELECT key, max(stamp) AS newest, arg_max({{'v': cell, 'stamp': stamp}}, stamp) FILTER (cell IS NOT NULL) AS b FROM per GROUP BY key)
+        SELECT key, CASE WHEN dt IS NULL OR b.stamp[1] > dt THEN b.v.v END AS value, coalesce(b.stamp[1], newest[1]) AS time FROM best LEFT JOIN dead USING (key) WHERE dt IS NULL OR newest[1] > dt""",
     "lww_update_existing_only": f"WITH {_LOG}, live AS (SELECT key FROM log WHERE seq % 2 = 0 GROUP BY key HAVING max(time) FILTER (NOT del) > coalesce(max(time) FILTER (del), '-infinity'::TIMESTAMP)) SELECT key, time, seq, value FROM log WHERE seq % 2 = 1 AND NOT del AND key IN (SELECT key FROM live)",
     "overlay_patch": _ROW,
     "overlay_sweep": f"WITH {_LOG}, idx AS (SELECT key, max(time) AS t FROM log WHERE seq % 2 = 0 GROUP BY key) SELECT l.key, l.time, l.seq FROM log l LEFT JOIN idx i ON l.key = i.key WHERE seq % 2 = 1 AND (i.t IS NULL OR l.time > i.t)",
@@ -125,7 +125,7 @@ SQL: dict[str, str] = {
     "source_ids": "WITH f AS (SELECT regexp_extract(url, '^https?://([^/?#]+)', 1) AS host, min(page_id) AS first_seen FROM pages GROUP BY 1) SELECT host, first_seen, row_number() OVER (ORDER BY first_seen, host) - 1 AS source_id FROM f",
     "pair_slots": "WITH e AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS nth FROM events) SELECT coalesce(v.user_id, c.user_id) AS user_id, coalesce(v.nth, c.nth) AS nth, v.event_id AS left_slot, c.event_id AS right_slot FROM (SELECT * FROM e WHERE event_type = 'view') v FULL OUTER JOIN (SELECT * FROM e WHERE event_type = 'click') c ON v.user_id = c.user_id AND v.nth = c.nth",
     "key_set_diff": """WITH b AS (SELECT l_suppkey, list_sort(list(DISTINCT l_partkey::VARCHAR)) AS items FROM lineitem WHERE l_linenumber = 1 AND l_suppkey % 5 <> 0 GROUP BY 1), a AS (SELECT l_suppkey, list_sort(list(DISTINCT l_partkey::VARCHAR)) AS items FROM lineitem WHERE l_linenumber = 2 AND l_suppkey % 7 <> 0 GROUP BY 1),
-        j AS (SELECT coalesce(a.l_suppkey, b.l_suppkey) AS l_suppkey, b.l_suppkey IS NULL AS fresh, a.l_suppkey IS NULL AS gone, list_sort(list_filter(coalesce(a.items, []), x -> NOT list_contains(coalesce(b.items, []), x))) AS g, list_sort(list_filter(coalesce(b.items, []), x -> NOT list_contains(coalesce(a.items, []), x))) AS l FROM b FULL OUTER JOIN a ON a.l_suppkey = b.l_suppkey)
+        j AS (SELECT coalesce(a.l_suppkey, b.l_suppkey) AS l_suppkey, b.l_suppkey IS NULL AS fresh, a.l_suppkey IS NULL AS gone, list_sort(list_filter(coalesce(a.items, []), lambda x: NOT list_contains(coalesce(b.items, []), x))) AS g, list_sort(list_filter(coalesce(b.items, []), lambda x: NOT list_contains(coalesce(a.items, []), x))) AS l FROM b FULL OUTER JOIN a ON a.l_suppkey = b.l_suppkey)
         SELECT l_suppkey, CASE WHEN fresh THEN 'added' WHEN gone THEN 'removed' ELSE 'changed' END AS change, array_to_string(g, ',') AS gained, array_to_string(l, ',') AS lost FROM j WHERE fresh OR gone OR len(g) > 0 OR len(l) > 0""",
     "standing_revocations": "WITH r AS (SELECT c_mktsegment || '|' || c_nationkey AS pair, 'id' || (c_custkey % 40) AS legacy_id, c_custkey AS time FROM customer), u AS (SELECT CASE WHEN time % 2 = 0 THEN pair END AS pair, CASE WHEN time % 2 = 1 THEN legacy_id END AS legacy_id, time FROM r WHERE time % 11 = 0) SELECT * FROM r WHERE time % 3 = 0 AND NOT EXISTS (SELECT 1 FROM u WHERE u.time >= r.time AND (u.pair = r.pair OR u.legacy_id = r.legacy_id))",
     "accepted_machines": "SELECT DISTINCT c_mktsegment AS machine, c_nationkey AS ip, c_mktsegment IN ('BUILDING', 'MACHINERY', 'AUTOMOBILE') AND c_nationkey < 15 AND c_nationkey % 4 <> 0 AS accepted FROM customer",
@@ -144,12 +144,12 @@ SQL: dict[str, str] = {
         SELECT id, a, b FROM pieces x WHERE b IS NOT NULL AND NOT EXISTS (SELECT 1 FROM holes WHERE ha <= x.a AND hb >= x.b)""",
     "inject_window": f"WITH {_WINDOWS}, p AS (SELECT entry AS id, s, least(e, 500) AS e FROM windows UNION ALL SELECT entry, greatest(s, 620), e FROM windows) SELECT id, s, e, 'kept' AS kind FROM p WHERE s < e UNION ALL SELECT NULL, 500, 620, 'intermediate'",
     "rejoin_windows": f"WITH {_WINDOWS}, src AS (SELECT entry % 6 AS id, s, e FROM windows), {_ISLANDS.format(s='s', e='e', by='id', src='src')} SELECT id, min(s) AS s, max(e) AS e FROM islands GROUP BY id, island",
-    "handover": f"""WITH {_WINDOWS}, met AS (SELECT w.entry AS window, w.s AS t, w.a AS wa, w.b AS wb, o.entry, o.store, o.a, o.b FROM windows w JOIN windows o ON o.s < w.s AND o.e >= w.s AND o.a < w.b AND w.a < o.b),
-        points AS (SELECT DISTINCT window, p FROM (SELECT window, greatest(a, wa) AS p FROM met UNION ALL SELECT window, least(b, wb) FROM met)),
-        slices AS (SELECT * FROM (SELECT window, p, lead(p) OVER (PARTITION BY window ORDER BY p) AS q FROM points) WHERE q IS NOT NULL),
-        owned AS (SELECT s.window, p, q, arg_min(store, entry) AS owner FROM slices s JOIN met m ON m.window = s.window AND m.a <= p AND m.b >= q GROUP BY 1, 2, 3),
-        runs AS (SELECT *, CASE WHEN lag(q) OVER w = p AND lag(owner) OVER w = owner THEN 0 ELSE 1 END AS fresh FROM owned WINDOW w AS (PARTITION BY window ORDER BY p)),
-        numbered AS (SELECT *, sum(fresh) OVER (PARTITION BY window ORDER BY p) AS run FROM runs) SELECT window, owner, min(p) AS a, max(q) AS b FROM numbered GROUP BY window, owner, run""",
+    "handover": f"""WITH {_WINDOWS}, met AS (SELECT w.entry AS win, w.s AS t, w.a AS wa, w.b AS wb, o.entry, o.store, o.a, o.b FROM windows w JOIN windows o ON o.s < w.s AND o.e >= w.s AND o.a < w.b AND w.a < o.b),
+        points AS (SELECT DISTINCT win, p FROM (SELECT win, greatest(a, wa) AS p FROM met UNION ALL SELECT win, least(b, wb) FROM met)),
+        slices AS (SELECT * FROM (SELECT win, p, lead(p) OVER (PARTITION BY win ORDER BY p) AS q FROM points) WHERE q IS NOT NULL),
+        owned AS (SELECT s.win, p, q, arg_min(store, entry) AS owner FROM slices s JOIN met m ON m.win = s.win AND m.a <= p AND m.b >= q GROUP BY 1, 2, 3),
+        runs AS (SELECT *, CASE WHEN lag(q) OVER w = p AND lag(owner) OVER w = owner THEN 0 ELSE 1 END AS fresh FROM owned WINDOW w AS (PARTITION BY win ORDER BY p)),
+        numbered AS (SELECT *, sum(fresh) OVER (PARTITION BY win ORDER BY p) AS run FROM runs) SELECT win AS "window", owner, min(p) AS a, max(q) AS b FROM numbered GROUP BY win, owner, run""",
     "write_targets": "WITH f AS (SELECT s_nationkey::BIGINT AS route_id, s_suppkey AS config_order, floor(s_acctbal)::BIGINT AS latency, s_name AS url, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS n FROM supplier) SELECT route_id, config_order, latency, url, row_number() OVER (ORDER BY latency, route_id) AS rank FROM f WHERE n = 1",
     "source_urls": "WITH s AS (SELECT (s_nationkey % 9)::BIGINT AS file, s_suppkey % 5 <> 0 AS w, floor(s_acctbal)::BIGINT AS latency, 'u' || (s_suppkey % 13) AS url FROM supplier), f AS (SELECT file, url, min((w, latency)) AS k FROM s GROUP BY 1, 2) SELECT file, string_agg(url, ',' ORDER BY k, url) AS urls FROM f GROUP BY 1",
     "unique_times": """WITH RECURSIVE r AS (SELECT o_orderkey, o_orderkey % 97 AS t, row_number() OVER (ORDER BY o_orderkey) AS n FROM orders WHERE o_custkey % 25 = 0), w AS (SELECT o_orderkey, t, n, t AS stamp FROM r WHERE n = 1 UNION ALL SELECT r.o_orderkey, r.t, r.n, greatest(r.t, w.stamp + 1) FROM w JOIN r ON r.n = w.n + 1) SELECT o_orderkey, t, stamp FROM w""",
@@ -157,7 +157,7 @@ SQL: dict[str, str] = {
     "match_filter_or_and_not": "SELECT p_partkey, p_name, p_type FROM part WHERE (contains(lower(p_name || ' ' || p_type), 'part 1') AND NOT contains(lower(p_name || ' ' || p_type), '00')) OR (contains(lower(p_name || ' ' || p_type), 'brass') AND contains(lower(p_name || ' ' || p_type), '2'))",
     "log_search_all_terms": "SELECT conv_id, turn FROM conversations WHERE contains(text, 'the') AND contains(text, 'ion') AND contains(text, 'and')",
     "picker_top10": "WITH o AS (SELECT DISTINCT p_type AS option FROM part WHERE contains(lower(p_type), 'st')), r AS (SELECT option, (CASE WHEN option = 'st' THEN -10 WHEN starts_with(option, 'st') THEN -9 WHEN starts_with(lower(option), 'st') THEN -8 WHEN contains(lower(option), ' st') THEN -7 ELSE length(option) END)::BIGINT AS rank FROM o) SELECT option, rank, greatest((SELECT count(*) FROM r) - 10, 0) AS more FROM r ORDER BY rank, option LIMIT 10",
-    "valid_paths": "WITH p AS (SELECT page_id, regexp_replace(url, '^https?:/', '') AS path, regexp_extract(url, '^https?://([^/?#]+)', 1) AS host FROM pages) SELECT page_id, strlen(path) BETWEEN 1 AND 1000 AND len(list_filter(string_split(path, '/'), x -> x IN ('', '.', '..'))) = 0 AS path_ok, regexp_full_match(host, '[A-Za-z0-9._-]+') AND NOT contains(host, '..') AND strlen(host) <= 1000 AS name_ok FROM p",
+    "valid_paths": "WITH p AS (SELECT page_id, regexp_replace(url, '^https?:/', '') AS path, regexp_extract(url, '^https?://([^/?#]+)', 1) AS host FROM pages) SELECT page_id, strlen(path) BETWEEN 1 AND 1000 AND len(list_filter(string_split(path, '/'), lambda x: x IN ('', '.', '..'))) = 0 AS path_ok, regexp_full_match(host, '[A-Za-z0-9._-]+') AND NOT contains(host, '..') AND strlen(host) <= 1000 AS name_ok FROM p",
     "auth_log_pairs": f"WITH {_AUTH} SELECT r.seq, r.process, r.user, r.address, k.print FROM lines r JOIN (SELECT process, arg_max(print, seq) AS print FROM lines WHERE event_type = 'signup' GROUP BY 1) k ON r.process = k.process WHERE r.event_type = 'error'",
     "stream_pairs": "SELECT r.user_id AS process, r.event_id::VARCHAR AS user, k.event_id::VARCHAR AS print FROM events r JOIN events k ON r.user_id = k.user_id AND r.event_type = 'error' AND k.event_type = 'signup' AND k.ts BETWEEN r.ts - INTERVAL 1 DAY AND r.ts + INTERVAL 1 DAY",
     "access_stats": "SELECT user_id, event_type, count(*) AS n, sum(strlen(props))::BIGINT AS size FROM events GROUP BY 1, 2",
@@ -178,8 +178,8 @@ SQL: dict[str, str] = {
     "avg_embedding_by_label": """WITH m AS (SELECT label, i, avg(embedding[i]::DOUBLE) AS x FROM embeddings, unnest(range(1, 65)) AS t(i) GROUP BY 1, 2), n AS (SELECT label, sqrt(sum(x * x)) AS n FROM m GROUP BY 1) SELECT m.label, round(max(CASE WHEN i = 1 THEN x / n END), 6) AS m0, round(max(CASE WHEN i = 64 THEN x / n END), 6) AS m63 FROM m JOIN n USING (label) GROUP BY 1""",
     "closeness_matrix": f"WITH {_UNIT} SELECT l.vec_id AS left_id, r.vec_id AS right_id, round({_CLOSE.format(a='l.u', b='r.u')}, 6) AS closeness FROM units l JOIN units r ON l.vec_id < r.vec_id AND l.vec_id % 25 = 0 AND r.vec_id % 25 = 0",
     "decode_error": "SELECT true AS within",
-    "encode_q8": f"""WITH {_UNIT}, g AS (SELECT vec_id, k, u[k * 32 + 1 : k * 32 + 32] AS x FROM units, unnest(range(0, 2)) AS t(k)), s AS (SELECT *, list_max(list_transform(x, y -> abs(y))) / 127 AS scale FROM g),
-        q AS (SELECT vec_id, k, scale, array_to_string(list_transform(x, y -> greatest(-127, least(127, floor(y / scale + 0.5)))::INT), ',') AS d FROM s) SELECT vec_id, string_agg(d, ',' ORDER BY k) AS data, round(sum(scale), 9) AS scales FROM q GROUP BY 1""",
+    "encode_q8": f"""WITH {_UNIT}, g AS (SELECT vec_id, k, u[k * 32 + 1 : k * 32 + 32] AS x FROM units, unnest(range(0, 2)) AS t(k)), s AS (SELECT *, list_max(list_transform(x, lambda y: abs(y))) / 127 AS scale FROM g),
+        q AS (SELECT vec_id, k, scale, array_to_string(list_transform(x, lambda y: greatest(-127, least(127, floor(y / scale + 0.5)))::INT), ',') AS d FROM s) SELECT vec_id, string_agg(d, ',' ORDER BY k) AS data, round(sum(scale), 9) AS scales FROM q GROUP BY 1""",
     "fmt_scalars": r"""SELECT o_orderkey, CASE WHEN length(o_orderpriority) > 6 THEN substr(o_orderpriority, 1, 3) || '...' ELSE o_orderpriority END AS short, strftime(o_orderdate, '%Y/%m/%d %I:%M:%S %p') AS shown,
         'Low ' || upper(substr(o_orderpriority, 3, 1)) || substr(regexp_replace(o_orderpriority, '^[0-9]-', ''), 2) AS spaced, floor(o_totalprice * 10 + 0.5) / 10 AS rounded, floor(-o_orderkey / 2.0 + 0.5)::BIGINT AS half FROM orders""",
     "nice_stringify": """WITH p AS (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN p_size::VARCHAR WHEN 1 THEN 'true' ELSE p_name END AS t, CASE WHEN p_partkey % 4 <> 0 THEN p_partkey % 2 = 0 END AS f FROM part)

@@ -31,8 +31,10 @@ def _log(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _middle(df: DataFrame, column: str):
-    """The median of a time column, to cut a log in two."""
-    return df.agg(F.expr(f"percentile_disc(0.5) within group (order by {column})")).first()[0]
+    """The median of a time column without time zone, to cut a log in two."""
+    micros = F.expr(f"percentile_disc(0.5) within group (order by timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', {column}))")
+    found = df.agg(micros.cast("long")).first()[0]
+    return F.expr(f"timestampadd(MICROSECOND, {found or 0}L, timestamp_ntz'1970-01-01 00:00:00')")
 
 
 # --- mutation log ------------------------------------------------------------------------
@@ -80,8 +82,8 @@ def lww_update_existing_only(spark, sf):
 @query
 def overlay_patch(spark, sf):
     log = _log(spark, sf)
-    snapshot = lww.resolve(log.where(F.col("seq") % 4 != 0))
-    return lww.overlay_patch(snapshot, log.where(F.col("seq") % 4 == 0))
+    cut = _middle(log, "time")
+    return lww.overlay_patch(lww.resolve(log.where(F.col("time") <= cut)), log.where(F.col("time") > cut))
 
 
 @query
