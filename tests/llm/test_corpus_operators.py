@@ -238,8 +238,11 @@ def test_mix_plan_is_what_is_emitted_and_near_its_targets(spark):
     taken = {r[0]: r[1] for r in plan.where("taken > 0").select("doc_id", (F.col("taken") / F.col("size")).cast("int")).collect()}
     mixed = {r[0]: r[1] for r in mixing.mix(docs).where("length(trim(text)) > 0").groupBy("doc_id").count().collect()}
     assert taken == {k: v for k, v in mixed.items() if k in taken} and not [k for k in mixed if k not in taken]
-    sums = plan.join(docs.select("doc_id", "source"), "doc_id").groupBy("source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target")).collect()
-    assert all(abs(r.taken - r.target) < 0.2 * r.target for r in sums)
+    part = F.col("target") / F.col("source_size") - F.floor(F.col("target") / F.col("source_size"))
+    spread = F.sqrt(F.sum(F.col("size") * F.col("size") * part * (1 - part)))  # of independent draws
+    sums = plan.join(docs.select("doc_id", "source"), "doc_id").groupBy("source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target"), spread.alias("spread")).collect()
+    assert all(abs(r.taken - r.target) <= 4 * r.spread + 1 for r in sums)
+    assert abs(sum(r.taken for r in sums) - sum(r.target for r in sums)) < 0.03 * sum(r.target for r in sums)
 
 
 # --- media -------------------------------------------------------------------------------
