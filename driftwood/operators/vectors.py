@@ -30,9 +30,13 @@ def norm(v: Column) -> Column:
     return F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, not once an entry."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def unit(v: Column) -> Column:
-    n = norm(v)
-    return F.transform(v, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(0.0))
+    return _let(norm(v), lambda n: F.transform(v, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(0.0)))
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -53,11 +57,17 @@ def closeness_of_dot(d: Column) -> Column:
 def encode_q8(v: Column, group: int = 32, dims: int | None = None) -> Column:
     """{data array<int>, scales array<double>}: the vector (its first ``dims`` entries), of
     unit length, in groups of bytes with one scale each, rounded half up."""
-    u = unit(F.slice(v, 1, dims) if dims else v)
-    groups = F.transform(F.sequence(F.lit(0), F.ceil(F.size(u) / group).cast("int") - 1), lambda g: F.slice(u, g * group + 1, F.lit(group)))
-    scale = lambda g: F.aggregate(g, F.lit(0.0), lambda m, x: F.greatest(m, F.abs(x))) / 127
-    step = lambda g: F.transform(g, lambda x: F.when(scale(g) > 0, F.greatest(F.lit(-127), F.least(F.lit(127), F.floor(x / scale(g) + 0.5)))).otherwise(0).cast("int"))
-    return F.struct(F.flatten(F.transform(groups, step)).alias("data"), F.transform(groups, scale).alias("scales"))
+    def scale(g: Column) -> Column:
+        return F.aggregate(g, F.lit(0.0), lambda m, x: F.greatest(m, F.abs(x))) / 127
+
+    def steps(g: Column) -> Column:
+        return _let(scale(g), lambda s: F.transform(g, lambda x: F.when(s > 0, F.greatest(F.lit(-127), F.least(F.lit(127), F.floor(x / s + 0.5)))).otherwise(0).cast("int")))
+
+    def encoded(u: Column) -> Column:
+        groups = F.transform(F.sequence(F.lit(0), F.ceil(F.size(u) / group).cast("int") - 1), lambda g: F.slice(u, g * group + 1, F.lit(group)))
+        return F.struct(F.flatten(F.transform(groups, steps)).alias("data"), F.transform(groups, scale).alias("scales"))
+
+    return _let(unit(F.slice(v, 1, dims) if dims else v), encoded)
 
 
 def decode_q8(q: Column, group: int = 32) -> Column:
