@@ -182,11 +182,12 @@ class WordCodec:
 
     def _words(self, text: str) -> list[str]:
         if text.isascii():
-            return self.words.findall(text.lower())
-        if any(unicodedata.category(c) == "Cn" for c in text):
+            low = text.lower()
+        elif not text.isprintable() and any(unicodedata.category(c) == "Cn" for c in text):
             return [word for word, _ in self.split_odd.pre_tokenize_str(self.normal.normalize_str(text))]
-        text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # lower case letter by letter: no final sigma
-        return self.words.findall(text.lower())
+        else:
+            low = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()  # letter by letter: no final sigma
+        return [low] if low.isalpha() else self.words.findall(low)
 
     def word(self, word: str) -> list[int]:
         plain = word.isascii() and word.isprintable()  # its bytes stand for themselves

@@ -19,6 +19,7 @@ from driftwood.llm.queries import queries, tokenizer_path
 from tests.llm.conftest import ODD
 
 PIECE, WORD = tokenizer_path("piece_bpe_32k.model"), tokenizer_path("word_bpe_49k.json")
+REF = Tokenizer.from_file(WORD)
 
 
 def by_id(rows):
@@ -68,7 +69,7 @@ def test_bpe_table(spark, sf):
 @settings(max_examples=400, deadline=None)
 @given(st.text(max_size=25))
 def test_bpe_any_text(text):
-    ref = Tokenizer.from_file(WORD)
+    ref = REF
     ids = [i for c in bpe.chunks(text) for i in bpe.codec(WORD).chunk(c)]
     assert ids == ref.encode(text, add_special_tokens=False).ids
     assert bpe.decode_ids(pa.array([ids], pa.list_(pa.int32())), bpe.labels(WORD)).to_pylist() == [ref.decode(ids, skip_special_tokens=False)]
