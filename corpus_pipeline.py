@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftwood.llm import bpe, language_id, line_dedup, mixing, simhash
+from driftwood.llm import bpe, language_id, line_dedup, mixing, near_copies
 from driftwood.llm.common import held_out, table, written
 from driftwood.llm.queries import tokenizer_path
 
@@ -29,8 +29,9 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays."""
-    return simhash.keep_one(docs)
+    """Of each group that pairs of a five-word Jaccard similarity of 0.8 or more connect,
+    the document with the smallest id stays."""
+    return near_copies.keep_one(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
