@@ -9,8 +9,9 @@ from driftwood.llm import bpe, language_id, line_dedup, mixing, near_copies
 from driftwood.llm.common import held_out, table, written
 from driftwood.llm.queries import tokenizer_path
 
-#: A text below this cosine with every language is rejected, as is one without letters.
-LEAST_SCORE = 0.1
+#: A text without letters is rejected, as is one of so many n-grams or more that is below
+#: this cosine with every language. Shorter texts have too few of a language's n-grams.
+LEAST_SCORE, LEAST_GRAMS = 0.1, 128
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,7 +19,8 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     language, go. Profiles come from the rows with a label that are not held out."""
     model = language_id.train(docs.where(~held_out("doc_id", 4) & F.col("lang").isNotNull()))
     found = language_id.predict(docs, model, keep=docs.columns)
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    grams = F.length(F.trim(F.regexp_replace("text", r"\P{L}+", " ")))
+    return found.where((F.col("lang_pred") != "und") & ((F.col("score") >= LEAST_SCORE) | (grams < LEAST_GRAMS))).select(*docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
