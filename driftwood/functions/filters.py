@@ -36,10 +36,16 @@ def search_all(line: Column, terms: list[str]) -> Column:
 
 
 def valid_name(name: Column) -> Column:
-    """Names of accounts and buckets: letters, digits, dot, dash and underscore."""
-    return name.rlike(r"^[A-Za-z0-9._-]+$") & ~name.contains("..") & (F.octet_length(name) <= 1000)
+    """Names of accounts and buckets: 1 to 64 letters, digits, dashes and underscores."""
+    return name.rlike(r"^[A-Za-z0-9_-]{1,64}\z")
+
+
+def valid_source_name(name: Column) -> Column:
+    """Names of sources: dots too, but not dots alone."""
+    return name.rlike(r"^[A-Za-z0-9_.-]{1,64}\z") & ~name.rlike(r"^\.+\z")
 
 
 def valid_path(path: Column) -> Column:
-    """Paths of 1 to 1000 bytes without empty, . or .. parts."""
-    return (F.octet_length(path).between(1, 1000)) & ~F.exists(F.split(path, "/"), lambda p: p.isin("", ".", ".."))
+    """Paths of 1 to 1000 bytes without empty, . or .. parts, backslashes and NULs."""
+    parts = F.exists(F.split(path, "/"), lambda p: p.isin("", ".", ".."))
+    return F.octet_length(path).between(1, 1000) & ~parts & ~path.contains("\\") & ~path.contains("\0")

@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftwood.operators.ranges import RANGE, in_ranges, numbered, running
+from driftwood.operators.routing import in_routes
+
 #: Stamps later than now by more than so many ms are refused.
 FUTURE_MS = 15 * 60 * 1000
 #: Tombstones that nothing marks are kept so many ms.
 TOMBSTONE_MS = 7 * 24 * 3600 * 1000
+#: A short listing is asked for again so many times.
+SCAN_RETRIES = 3
 
 
 def fold_index(log: DataFrame) -> DataFrame:
@@ -45,10 +50,11 @@ def fold_index(log: DataFrame) -> DataFrame:
 
 def find(index: DataFrame, prefix: str, include_marked: bool = False) -> DataFrame:
     """``path, create_time, size`` below a prefix, in order of path; marked entries, if
-    wanted, as deletions (size 0) with their value's time kept aside."""
-    found = index.where(F.col("path").startswith(prefix))
+    wanted, with the time and size of the value that is kept for them."""
     states = ["live", "marked"] if include_marked else ["live"]
-    return found.where(F.col("state").isin(states)).select("path", F.col("write_time").alias("create_time"), F.when(F.col("state") == "live", F.col("size")).otherwise(0).alias("size")).orderBy("path")
+    found = index.where(F.col("path").startswith(prefix) & F.col("state").isin(states))
+    written = F.when(F.col("state") == "marked", F.coalesce("value_time", "write_time")).otherwise(F.col("write_time"))
+    return found.select("path", written.alias("create_time"), "size").orderBy("path")
 
 
 def shallow(listing: DataFrame, prefix: str) -> DataFrame:
@@ -65,16 +71,16 @@ def folders(listing: DataFrame, prefix: str, recursive: bool = False) -> DataFra
     return below.groupBy(folder.alias("folder")).agg(F.max_by(F.struct("create_time", "size"), "path").alias("_l")).select(F.col("folder").alias("path"), "_l.create_time", "_l.size")
 
 
-def changes_after(index: DataFrame, time, routes: Column | None = None) -> DataFrame:
-    """``path, create_time, size`` of entries changed after a time; deletions have size 0."""
-    found = index.where(F.col("changed_at") > F.lit(time))
-    found = found if routes is None else found.where(routes)
+def changes_after(index: DataFrame, time, routes: list[tuple[float, float]] | None = None) -> DataFrame:
+    """``path, create_time, size`` of entries changed after a time, in the given routes;
+    deletions have size 0."""
+    found = index.where((F.col("changed_at") > F.lit(time)) & in_routes(F.col("path"), routes))
     return found.select("path", F.col("write_time").alias("create_time"), F.when(F.col("state") == "live", F.col("size")).otherwise(0).cast("long").alias("size"))
 
 
-def filter_changes(listing: DataFrame, time) -> DataFrame:
-    """The change feed of a store that has none: a full listing, filtered."""
-    return listing.where(F.col("create_time") > F.lit(time))
+def filter_changes(listing: DataFrame, time, routes: list[tuple[float, float]] | None = None) -> DataFrame:
+    """The change feed of a store that has none: a full listing, filtered by time and route."""
+    return listing.where((F.col("create_time") > F.lit(time)) & in_routes(F.col("path"), routes))
 
 
 def read_range(blobs: DataFrame, start: Column, stop: Column) -> DataFrame:
@@ -104,17 +110,27 @@ def newest_across(listings: DataFrame, order: str) -> DataFrame:
     return listings.groupBy("path").agg(best.alias("_b")).select("path", "_b.*")
 
 
-def reconcile_pull(theirs: DataFrame, index: DataFrame, accepted: Column | None = None) -> DataFrame:
+def reconcile_pull(theirs: DataFrame, index: DataFrame, accepted: Column | None = None, scan_start=None, local: DataFrame | None = None) -> DataFrame:
     """``path, outcome`` for their listing (path, create_time, size) against our index (path,
-    write_time, size, from_them): filtered, tombstone, new, updated, unchanged; of what they
-    no longer list: purge if it came from them, else missing."""
-    ours = index.select(F.col("path").alias("_path"), "write_time", F.col("size").alias("_size"), "from_them")
+    write_time, size, from_them): filtered, tombstone, new, updated, unchanged.
+
+    Of what they no longer list, entries that came from them go: ``repoint`` where ``local``
+    (path) has a copy of our own, else ``purge``. What changed at or after ``scan_start``
+    (``changed_at`` of the index) may be newer than the listing and stays: ``missing``, as is
+    what came from others."""
+    ours = index.select(F.col("path").alias("_path"), "write_time", F.col("size").alias("_size"), "from_them", *(["changed_at"] if scan_start is not None else []))
     both = theirs.join(ours, F.col("path") == F.col("_path"), "full_outer")
+    if local is not None:
+        copies = local.select(F.col("path").alias("_local")).distinct()
+        both = both.join(copies, F.col("_path") == F.col("_local"), "left")
     there, here = F.col("path").isNotNull(), F.col("_path").isNotNull()
+    theirs_alone = F.col("from_them") & (F.lit(True) if scan_start is None else F.col("changed_at") < F.lit(scan_start))
     outcome = F.when(there & ~(F.lit(True) if accepted is None else accepted), "filtered")
     outcome = outcome.when(there & here & (F.col("create_time") <= F.col("write_time")), "unchanged").when(there & (F.col("size") == 0), "tombstone")
-    outcome = outcome.when(there & here, "updated").when(there, "new").when(F.col("from_them"), "purge").otherwise("missing")
-    return both.select(F.coalesce("path", "_path").alias("path"), outcome.alias("outcome"))
+    outcome = outcome.when(there & here, "updated").when(there, "new")
+    if local is not None:
+        outcome = outcome.when(theirs_alone & F.col("_local").isNotNull(), "repoint")
+    return both.select(F.coalesce("path", "_path").alias("path"), outcome.when(theirs_alone, "purge").otherwise("missing").alias("outcome"))
 
 
 def reconcile_push(index: DataFrame, theirs: DataFrame) -> DataFrame:
@@ -141,20 +157,11 @@ def coalesce_writes(pending: DataFrame, now) -> DataFrame:
     return pending.groupBy("path").agg(last.alias("_l"), F.min("due").alias("due"), F.count(F.lit(1)).alias("writes")).select("path", "_l.time", "_l.size", "due", "writes", (F.col("due") <= F.lit(now)).alias("flush"))
 
 
-def evict_oldest(items: DataFrame, size: str, order: list[str], budget: int, shard: Column | None = None) -> DataFrame:
+def evict_oldest(items: DataFrame, size: str, order: list[str], budget: int) -> DataFrame:
     """Items that go so that the rest, the newest, fits the budget: those whose own and
-    later sizes together exceed it. With ``shard`` (a coarse, increasing function of the
-    order) each task sums its own shard and a small table of totals does the rest."""
-    newer = [F.col(c).desc() for c in order]
-    if shard is None:
-        kept = F.sum(size).over(Window.orderBy(*newer).rowsBetween(Window.unboundedPreceding, 0))
-        return items.withColumn("_kept", kept).where(F.col("_kept") > budget).drop("_kept")
-    dealt = items.withColumn("_shard", shard)
-    totals = dealt.groupBy("_shard").agg(F.sum(size).alias("_total"))
-    later = F.coalesce(F.sum("_total").over(Window.orderBy(F.desc("_shard")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = totals.withColumn("_later", later).drop("_total")
-    own = F.sum(size).over(Window.partitionBy("_shard").orderBy(*newer).rowsBetween(Window.unboundedPreceding, 0))
-    return dealt.withColumn("_own", own).join(offsets, "_shard").where(F.col("_own") + F.col("_later") > budget).drop("_shard", "_own", "_later")
+    later sizes together exceed it. ``order`` is total."""
+    newest = [F.col(c).desc() for c in order]
+    return running(in_ranges(items, newest), newest, sums={"_kept": F.col(size)}).where(F.col("_kept") > budget).drop("_kept", RANGE)
 
 
 def evictable(candidates: DataFrame, holders: DataFrame) -> DataFrame:
@@ -163,13 +170,14 @@ def evictable(candidates: DataFrame, holders: DataFrame) -> DataFrame:
     return candidates.join(h, (F.col("path") == F.col("_path")) & (F.col("holder") != F.col("_holder")) & (F.col("_time") >= F.col("write_time")), "left_semi")
 
 
-def expired_tombstones(index: DataFrame, now: int) -> DataFrame:
-    return index.where((F.col("state") == "deleted") & (F.col("write_time") < F.lit(now - TOMBSTONE_MS)))
+def expired_tombstones(index: DataFrame, now) -> DataFrame:
+    """Deletions that nothing marks and that are older than a week: what clean-up drops."""
+    return index.where((F.col("state") == "deleted") & (F.col("write_time") < F.lit(now) - F.expr(f"interval {TOMBSTONE_MS // 1000} seconds")))
 
 
-def accepted_stamps(log: DataFrame, now: int) -> DataFrame:
-    """Rows whose stamp is not from the future."""
-    return log.where(F.col("time") <= F.lit(now + FUTURE_MS))
+def accepted_stamps(log: DataFrame, now) -> DataFrame:
+    """Rows whose stamp is not from the future, a quarter of an hour of skew allowed."""
+    return log.where(F.col("time") <= F.lit(now) + F.expr(f"interval {FUTURE_MS // 1000} seconds"))
 
 
 def dedupe_oldest(items: DataFrame, origin: str, order: list[str]) -> DataFrame:
@@ -181,7 +189,7 @@ def dedupe_oldest(items: DataFrame, origin: str, order: list[str]) -> DataFrame:
 def source_ids(urls: DataFrame, url: str, seen: str) -> DataFrame:
     """An append-only numbering of sources by when they were first seen."""
     first = urls.groupBy(url).agg(F.min(seen).alias("first_seen"))
-    return first.withColumn("source_id", (F.row_number().over(Window.orderBy("first_seen", url)) - 1).cast("long"))
+    return numbered(first, [F.col("first_seen"), F.col(url)], "source_id")
 
 
 def pair_slots(left: DataFrame, right: DataFrame, identity: str, order: str) -> DataFrame:
@@ -204,10 +212,11 @@ def set_diff(before: DataFrame, after: DataFrame, identity: str, items: str) ->
 
 def standing_revocations(revoked: DataFrame, unrevoked: DataFrame) -> DataFrame:
     """Revocations (pair, legacy_id, time) that no later entry takes back by pair or by id."""
-    by_pair = unrevoked.where("pair is not null").select(F.col("pair").alias("_p"), F.col("time").alias("_t"))
-    by_id = unrevoked.where("legacy_id is not null").select(F.col("legacy_id").alias("_i"), F.col("time").alias("_t"))
-    left = revoked.join(by_pair, (F.col("pair") == F.col("_p")) & (F.col("_t") >= F.col("time")), "left_anti")
-    return left.join(by_id, (F.col("legacy_id") == F.col("_i")) & (F.col("_t") >= F.col("time")), "left_anti")
+    def latest(column: str, name: str) -> DataFrame:
+        return unrevoked.where(F.col(column).isNotNull()).groupBy(F.col(column).alias(name)).agg(F.max("time").alias("_t"))
+
+    left = revoked.join(latest("pair", "_p"), (F.col("pair") == F.col("_p")) & (F.col("_t") >= F.col("time")), "left_anti")
+    return left.join(latest("legacy_id", "_i"), (F.col("legacy_id") == F.col("_i")) & (F.col("_t") >= F.col("time")), "left_anti")
 
 
 def accepted_machines(requests: DataFrame, trusted: DataFrame, addresses: DataFrame, revoked: DataFrame) -> DataFrame:
@@ -221,9 +230,25 @@ def scan_tally(outcomes: DataFrame) -> DataFrame:
     return outcomes.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
 
 
-def suspicious_scan(found: DataFrame, expected: int) -> DataFrame:
-    """Whether a listing has less than half of what is expected."""
-    return found.agg(F.count(F.lit(1)).alias("n")).withColumn("suspicious", F.col("n") * 2 < F.lit(expected))
+def scan_verdict(found: DataFrame, expected: int, attempts: int) -> DataFrame:
+    """``n, verdict`` of a listing: ``retry`` if it has less than half of what is expected
+    (the last listing or what the index holds of it, the larger), but ``accept`` after
+    SCAN_RETRIES attempts: then it is the truth."""
+    short = (F.lit(expected) > 0) & (F.col("n") < F.lit(expected) / 2)
+    return found.agg(F.count(F.lit(1)).alias("n")).withColumn("verdict", F.when(short & (F.lit(attempts) < SCAN_RETRIES), "retry").otherwise("accept"))
+
+
+def conditional_writes(writes: DataFrame, index: DataFrame, now, immutable: bool, routes: list[tuple[float, float]] | None, window: tuple) -> DataFrame:
+    """Writes ``(path, time, size)`` with ``verdict``: ``route`` outside the store's routes,
+    ``window`` written outside its time [s, e), ``future`` with a stamp from the future,
+    ``immutable`` where a live value may not be overwritten, ``stale`` where the index has a
+    newer change, else ``ok``."""
+    known = index.select(F.col("path").alias("_path"), F.col("write_time").alias("_time"), (F.col("state") == "live").alias("_live"))
+    joined = writes.join(known, F.col("path") == F.col("_path"), "left")
+    late = F.col("time") > F.lit(now) + F.expr(f"interval {FUTURE_MS // 1000} seconds")
+    verdict = F.when(~in_routes(F.col("path"), routes), "route").when((F.col("time") < F.lit(window[0])) | (F.col("time") >= F.lit(window[1])), "window").when(late, "future")
+    verdict = verdict.when(F.lit(immutable) & F.col("_live") & (F.col("size") > 0), "immutable").when(F.col("_time") > F.col("time"), "stale").otherwise("ok")
+    return joined.select(*writes.columns, verdict.alias("verdict"))
 
 
 def preserved_write_time(listing: DataFrame) -> DataFrame:

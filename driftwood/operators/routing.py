@@ -8,26 +8,49 @@ an equi-join where that side is large.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Marks a key that names its own route: ..._VARIABLE_SHARD_<number>.
-VARIABLE_SHARD = "VARIABLE_SHARD"
+from driftwood.operators.ranges import RANGE, in_ranges, numbered, running
+
+# Fixed value: marks a key that names its own route, as _<number> right behind it.
+VARIABLE_SHARD = "VARIABLE_SHARD_f0234jfah08fgyhfgyssdds83nmp"
+#: So many entries of a configuration are compared with a probe in one expression.
+ENTRY_BLOCK = 4096
+
+
+def named_route(key: Column) -> Column:
+    """The number that follows the first sentinel of a key, or null."""
+    at = F.instr(key, VARIABLE_SHARD)
+    named = F.regexp_extract(F.substring(key, at + len(VARIABLE_SHARD), F.length(key)), r"^_([0-9]+(?:\.[0-9]+)?)", 1)
+    return F.when((at > 0) & (named != ""), named.cast("double"))
 
 
 def route(key: Column) -> Column:
     """The key's route: its own number if it names one, else 12 hex digits of its SHA-256,
     modulo 10**9, over 10**9."""
-    hashed = F.conv(F.substring(F.sha2(key.cast("string").cast("binary"), 256), 1, 12), 16, 10).cast("long") % 1000000000 / F.lit(1e9)
-    named = F.regexp_extract(key.cast("string"), VARIABLE_SHARD + r"[A-Z]*_([0-9]*\.?[0-9]+)", 1)
-    own = F.when(named != "", named.cast("double"))
-    return F.when((own >= 0) & (own < 1), own).otherwise(hashed)
+    text = key.cast("string")
+    hashed = F.conv(F.substring(F.sha2(text.cast("binary"), 256), 1, 12), 16, 10).cast("long") % 1000000000 / F.lit(1e9)
+    return F.coalesce(named_route(text), hashed)
 
 
-def shard_key(a: Column, b: Column, ident: Column) -> Column:
+def in_routes(key: Column, routes: list[tuple[float, float]] | None) -> Column:
+    """Whether the key's route is in one of the half-open ranges; None is everything."""
+    if routes is None:
+        return F.lit(True)
+    at = route(key)
+    return reduce(or_, ((at >= a) & (at < b) for a, b in routes), F.lit(False))
+
+
+def shard_key(key: Column, a: Column, b: Column, ident: Column) -> Column:
     """A key that names a route inside [a, b), drawn from ``ident``."""
     drawn = F.pmod(F.xxhash64(ident), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return F.concat(F.lit(VARIABLE_SHARD + "_"), F.format_number(a + drawn * (b - a), 12))
+    at = F.greatest(a, F.floor((a + drawn * (b - a)) * 1e12) / 1e12)
+    return F.concat(key, F.lit(VARIABLE_SHARD + "_"), F.format_string("%.12f", at))
 
 
 def to_shards(keys: DataFrame, shards: DataFrame, route_col: str, buckets: int = 0) -> DataFrame:
@@ -60,25 +83,48 @@ def conflicts(windows: DataFrame, identity: str, start: str, end: str) -> DataFr
     return windows.withColumn("_reach", F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))).where(F.col("_reach") > F.col(start)).drop("_reach")
 
 
-def pick_entry(probes: DataFrame, entries: DataFrame, probe_id: str, time: str, route_col: str | None = None) -> DataFrame:
-    """For each probe the entry ``(entry, s, e[, a, b])`` whose window holds its time, else
-    the nearest one; among these one that covers the probe's route, then the first. Entries
-    are configuration; the best is kept by aggregation, so nothing is sorted."""
+def _best_entry(probes: DataFrame, entries: DataFrame, columns: list[str], rank: Callable[[Column], Column]) -> DataFrame:
+    """``probes`` with the ``entry`` of the least ``rank(entry struct)``.
+
+    The entries travel as one array that Spark computes once, so probes are neither joined
+    nor shuffled. Entries are configuration; more than ENTRY_BLOCK of them are taken in
+    blocks, the best of which counts."""
+    ordered = entries.select(F.struct("entry", *columns).alias("x")).withColumn("block", F.floor((F.row_number().over(Window.orderBy("x")) - 1) / ENTRY_BLOCK))
+    blocks = max(1, -(-entries.count() // ENTRY_BLOCK))
+    best = []
+    for block in range(blocks):
+        known = ordered.where(F.col("block") == block).agg(F.collect_list("x").alias("x")).scalar()
+        probes = probes.withColumn(f"_known{block}", known)
+        best.append(F.array_min(F.transform(f"_known{block}", lambda x: F.struct(rank(x).alias("r"), x["entry"].alias("entry")))))
+    found = probes.withColumn("entry", (F.least(*best) if blocks > 1 else best[0])["entry"])
+    return found.drop(*(f"_known{block}" for block in range(blocks)))
+
+
+def pick_entry(probes: DataFrame, entries: DataFrame, time: str, route_col: str | None = None) -> DataFrame:
+    """``probes`` with the ``entry`` (of entry, s, e[, a, b]) whose window holds its time,
+    else the nearest one; entries that cover the probe's route come before all others, the
+    first entry wins ties."""
     t = F.col(time)
-    inside = (t >= F.col("s")) & (t < F.col("e"))
-    apart = F.when(inside, 0).otherwise(F.least(F.abs(t - F.col("s")), F.abs(t - F.col("e"))))
-    covers = F.when((F.col(route_col) >= F.col("a")) & (F.col(route_col) < F.col("b")), 0).otherwise(1) if route_col else F.lit(0)
-    ranked = probes.join(entries, F.lit(True))
-    best = F.min_by("entry", F.struct(covers.alias("c"), F.when(inside, 0).otherwise(1).alias("i"), apart.alias("d"), F.col("entry").alias("n")))
-    return ranked.groupBy(probe_id).agg(F.first(time).alias(time), best.alias("entry"))
 
+    def rank(x: Column) -> Column:
+        inside = (t >= x["s"]) & (t < x["e"])
+        apart = F.when(inside, 0).otherwise(F.least(F.abs(t - x["s"]), F.abs(t - x["e"])))
+        covers = F.when((F.col(route_col) >= x["a"]) & (F.col(route_col) < x["b"]), 0).otherwise(1) if route_col else F.lit(0)
+        return F.struct(covers.alias("c"), F.when(inside, 0).otherwise(1).alias("i"), apart.alias("d"))
+
+    return _best_entry(probes, entries, ["s", "e", *(["a", "b"] if route_col else [])], rank)
 
-def current_entry(probes: DataFrame, entries: DataFrame, probe_id: str, time: str) -> DataFrame:
-    """The entry whose window holds the time, else the next to begin, else the last to end."""
+
+def current_entry(probes: DataFrame, entries: DataFrame, time: str) -> DataFrame:
+    """``probes`` with the entry whose window holds the time, else the next to begin, else
+    the last to end."""
     t = F.col(time)
-    inside = (t >= F.col("s")) & (t < F.col("e"))
-    rank = F.struct(F.when(inside, 0).when(F.col("s") > t, 1).otherwise(2).alias("k"), F.when(inside, 0).when(F.col("s") > t, F.col("s")).otherwise(-F.col("e")).cast("double").alias("d"), F.col("entry").alias("n"))
-    return probes.join(entries, F.lit(True)).groupBy(probe_id).agg(F.first(time).alias(time), F.min_by("entry", rank).alias("entry"))
+
+    def rank(x: Column) -> Column:
+        inside, ahead = (t >= x["s"]) & (t < x["e"]), x["s"] > t
+        return F.struct(F.when(inside, 0).when(ahead, 1).otherwise(2).alias("k"), F.when(inside, 0).when(ahead, x["s"]).otherwise(-x["e"]).cast("double").alias("d"))
+
+    return _best_entry(probes, entries, ["s", "e"], rank)
 
 
 def intersections(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -138,22 +184,29 @@ def rejoin_windows(windows: DataFrame) -> DataFrame:
     return cut.groupBy("id", "island").agg(F.min("s").alias("s"), F.max("e").alias("e")).drop("island")
 
 
-def accepting(windows: Column, now: Column) -> Column:
-    """Whether one of an array of windows {s, e} is open."""
-    return F.exists(windows, lambda w: (now >= w["s"]) & (now < w["e"]))
+def accepts_writes(windows: Column, now: Column) -> Column:
+    """Whether one of an array of windows {s, e} is not over; windows to come accept too."""
+    return F.exists(windows, lambda w: w["e"] > now)
 
 
 def write_targets(sources: DataFrame) -> DataFrame:
     """Of ``(route_id, config_order, latency, url)`` the first writable source of each route
     by configuration, ordered by latency with ``rank``."""
     first = sources.groupBy("route_id").agg(F.min_by(F.struct("config_order", "latency", "url"), "config_order").alias("_f")).select("route_id", "_f.*")
-    return first.withColumn("rank", F.row_number().over(Window.orderBy("latency", "route_id")))
+    return numbered(first, [F.col("latency"), F.col("route_id")], "rank", 1)
 
 
-def source_order(sources: DataFrame) -> DataFrame:
-    """URLs of each file's sources: the write node first, then by latency, none twice."""
-    listed = F.array_sort(F.collect_list(F.struct((~F.col("is_write")).alias("w"), "latency", "url")))
-    return sources.groupBy("file").agg(F.array_distinct(F.transform(listed, lambda x: x["url"])).alias("urls"))
+def source_order(sources: DataFrame, now=None) -> DataFrame:
+    """``file, urls`` of sources ``(file, config_order, latency, url, public, s, e, covers)``
+    that may serve a file: public ones (null: public) that cover its route and whose window
+    holds ``now``. The first of these by configuration, which takes the writes, leads; the
+    others follow by latency; none comes twice."""
+    able = sources.where(F.coalesce("public", F.lit(True)) & F.col("covers"))
+    able = able if now is None else able.where((F.col("s") <= F.lit(now)) & (F.col("e") > F.lit(now)))
+    listed = able.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("config_order", "latency", "url"))).alias("_by_config"))
+    rest = F.array_sort(F.transform(F.slice(F.col("_by_config"), F.lit(2), F.size("_by_config")), lambda x: F.struct(x["latency"], x["config_order"], x["url"])))
+    urls = F.concat(F.array(F.col("_by_config")[0]["url"]), F.transform(rest, lambda x: x["url"]))
+    return listed.select("file", F.array_distinct(urls).alias("urls"))
 
 
 def cover_routes(sources: DataFrame, by: list[str] = []) -> DataFrame:  # noqa: B006
@@ -173,15 +226,10 @@ def cover_routes(sources: DataFrame, by: list[str] = []) -> DataFrame:  # noqa:
 
 def unique_times(rows: DataFrame, time: str, order: list[str]) -> DataFrame:
     """``rows`` with ``stamp``: the smallest strictly increasing times that are not below
-    ``time``, in the given order. For writes of one batch."""
-    seq = Window.orderBy(*order)
-    n = F.row_number().over(seq)
-    return rows.withColumn("_n", n).withColumn("stamp", F.max(F.col(time) - F.col("_n")).over(Window.orderBy("_n").rowsBetween(Window.unboundedPreceding, 0)) + F.col("_n")).drop("_n")
-
-
-def step_starts(steps: DataFrame, begin, gap, order: str) -> DataFrame:
-    """Steps with ``start_at``, ``gap`` apart in order."""
-    return steps.withColumn("start_at", F.lit(begin) + (F.row_number().over(Window.orderBy(order)) - 1) * F.lit(gap))
+    ``time``, in the given (total) order."""
+    by = [F.col(c) for c in order]
+    placed = running(in_ranges(rows, by), by, sums={"_n": F.lit(1)})
+    return running(placed, by, largest={"_top": F.col(time) - F.col("_n")}).withColumn("stamp", F.col("_top") + F.col("_n")).drop("_n", "_top", RANGE)
 
 
 def choose_config(configs: DataFrame, by: list[str]) -> DataFrame:

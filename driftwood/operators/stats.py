@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from driftwood.model import value_columns
 from driftwood.operators import lww
+from driftwood.operators.ranges import greedy_groups
 
 
 def value_bytes(column: str, kind: T.DataType) -> Column:
@@ -61,43 +62,21 @@ def file_info(rows: DataFrame, file: Column, key: str, time: str) -> DataFrame:
     )
 
 
-def size_groups(items: DataFrame, order: list[str], size: str, target: int, shard: Column | None = None) -> DataFrame:
-    """``items`` with ``group_no``: cut where the running sum of sizes, in order, passes a
-    multiple of ``target``. Keys are dealt by range so that each task sums its own range;
-    a small table of range totals gives the offset."""
-    if shard is not None:
-        own = Window.partitionBy("_shard").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-        dealt = items.withColumn("_shard", shard)
-        totals = dealt.groupBy("_shard").agg(F.sum(size).alias("_total"))
-        offsets = totals.withColumn("_offset", F.coalesce(F.sum("_total").over(Window.orderBy("_shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_total")
-        summed = dealt.withColumn("_before", F.coalesce(F.sum(size).over(own), F.lit(0))).join(offsets, "_shard")
-        return summed.withColumn("group_no", F.floor((F.col("_before") + F.col("_offset")) / target).cast("long")).drop("_shard", "_before", "_offset")
-    before = F.coalesce(F.sum(size).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return items.withColumn("group_no", F.floor(before / target).cast("long"))
-
-
 def duplicate_key_groups(slots: DataFrame, key: str, size: str, target: int) -> DataFrame:
-    """Groups of neighbouring keys of about ``target`` bytes, with the share of slots in
-    each that repeat a key. Keys are summed first; groups come from their running sum."""
+    """Groups of neighbouring keys, each closed by the key that makes it reach ``target``
+    bytes, with the share of slots that repeat a key. Keys are summed first."""
     by_key = slots.groupBy(key).agg(F.count(F.lit(1)).alias("slots"), F.sum(size).cast("long").alias("bytes"))
-    cut = size_groups(by_key, [key], "bytes", target, shard=F.shiftright(F.col(key).cast("long"), 10))
-    return cut.groupBy("group_no").agg(F.min(key).alias("min_key"), F.max(key).alias("max_key"), F.sum("bytes").cast("long").alias("bytes"), F.sum("slots").cast("long").alias("slots"), ((F.sum("slots") - F.count(F.lit(1))) / F.sum("slots")).alias("dup_fraction"))
+    cut = greedy_groups(by_key, [], key, "bytes", target, past=False)
+    repeats = (F.sum("slots") - F.count(F.lit(1))) / F.sum("slots")
+    return cut.groupBy("group_no").agg(
+        F.min(key).alias("min_key"), F.max(key).alias("max_key"), F.sum("bytes").cast("long").alias("bytes"), F.sum("slots").cast("long").alias("slots"), repeats.alias("dup_fraction")
+    )
 
 
 def greedy_chunks(sorted_sizes: DataFrame, shard: str, order: str, size: str, target: int) -> DataFrame:
-    """``chunk`` numbers within each shard: a chunk closes as soon as its sum reaches
-    ``target``. The sum starts again at each cut, which no window function can say; an
-    ordered fold over the shard's sizes (bounded by how shards are chosen) can."""
-    folded = sorted_sizes.groupBy(shard).agg(F.array_sort(F.collect_list(F.struct(order, size))).alias("_items"))
-    start = F.struct(F.lit(0).cast("long").alias("sum"), F.lit(0).alias("chunk"), F.array().cast("array<int>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        total = acc["sum"] + x[size].cast("long")
-        full = total >= target
-        return F.struct(F.when(full, F.lit(0).cast("long")).otherwise(total).alias("sum"), (acc["chunk"] + F.when(full, 1).otherwise(0)).alias("chunk"), F.concat(acc["out"], F.array(acc["chunk"])).alias("out"))
-
-    chunks = F.aggregate("_items", start, step)["out"]
-    return folded.withColumn("_chunks", chunks).select(shard, F.posexplode("_items").alias("_at", "_item"), "_chunks").select(shard, F.col(f"_item.{order}").alias(order), F.col(f"_item.{size}").alias(size), F.col("_chunks")[F.col("_at")].alias("chunk"))
+    """``sorted_sizes`` with ``chunk``, the number of its output file within the shard: a
+    file is cut before the key that would take it above ``target``; a larger key is alone."""
+    return greedy_groups(sorted_sizes, [shard], order, size, target, past=True).withColumnRenamed("group_no", "chunk")
 
 
 def tier_split(files: DataFrame, limit: int) -> DataFrame:

@@ -7,13 +7,16 @@ the cell size) and are broadcast only below a checked size.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from driftwood.operators.ranges import RANGE, in_ranges, running
 from driftwood.sources.shared import checkpointed
 
 #: Below so many vectors a search goes through all of them.
@@ -22,8 +25,10 @@ FLAT_LIMIT = 1024
 REBUILD_AT = (1024, 4096, 16384)
 #: Rounds of the clustering.
 ROUNDS = 4
-#: Bytes of centroids that may be broadcast.
-CENTROID_BYTES = 256 << 20
+#: Bytes of centroids that the driver may hold and broadcast.
+CENTROID_BYTES = 64 << 20
+#: Share of the cells that a search of many queries probes.
+PROBE_SHARE = 0.5
 
 
 def norm(v: Column) -> Column:
@@ -79,14 +84,11 @@ def half_scales(q: Column) -> Column:
 
     @F.pandas_udf("array<double>")
     def half(scales: pd.Series) -> pd.Series:
-        return scales.map(lambda s: None if s is None else np.asarray(s).astype(np.float16).astype(np.float64))
+        flat = np.concatenate([np.zeros(0), *scales]).astype(np.float16).astype(np.float64)
+        return pd.Series(np.split(flat, np.cumsum([len(s) for s in scales])[:-1]), dtype=object)[: len(scales)]
 
-    return F.struct(q["data"].alias("data"), half(q["scales"]).alias("scales"))
-
-
-def embedding_id(v: Column) -> Column:
-    """A short identity of a vector's exact values."""
-    return F.base64(F.unhex(F.md5(F.array_join(F.transform(v, lambda x: x.cast("double").cast("string")), ",").cast("binary"))))
+    known = F.coalesce(q["scales"], F.array().cast("array<double>"))
+    return F.struct(q["data"].alias("data"), F.when(q["scales"].isNotNull(), half(known)).alias("scales"))
 
 
 def mean_unit(df: DataFrame, by: list[str], vector: str) -> DataFrame:
@@ -104,39 +106,63 @@ def knn_exact(vectors: DataFrame, query: list[float], k: int) -> DataFrame:
     return vectors.select("vec_id", closeness(unit(F.col("embedding")), F.array(*map(F.lit, q))).alias("closeness")).orderBy(F.desc("closeness"), "vec_id").limit(k)
 
 
-def knn_many(vectors: DataFrame, queries: DataFrame, k: int, blocks: int = 32) -> DataFrame:
-    """``query_id, vec_id, closeness``: the k nearest of each query. Queries are cut into
-    blocks; each task multiplies its vectors with a block and passes on the k best of each
-    query, which a last aggregation merges."""
-
-    def best(pairs: pd.DataFrame) -> pd.DataFrame:
-        return pairs.sort_values(["query_id", "closeness", "vec_id"], ascending=[True, False, True]).groupby("query_id").head(k)
-
-    def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "closeness": []})
-        d = np.stack(left["unit"]) @ np.stack(right["unit"]).T
-        rows, n = [], min(k, d.shape[0])
-        for j, query in enumerate(right["query_id"]):
-            top = np.argpartition(-d[:, j], n - 1)[:n] if n < d.shape[0] else np.arange(d.shape[0])
-            cut = d[top, j].min()
-            top = np.flatnonzero(d[:, j] >= cut)
-            rows.append(pd.DataFrame({"query_id": query, "vec_id": left["vec_id"].to_numpy()[top], "closeness": 1 - np.sqrt(np.maximum(0, 2 - 2 * d[top, j]))}))
-        return best(pd.concat(rows))
-
-    units = vectors.select("vec_id", unit(F.col("embedding")).alias("unit"))
-    qs = queries.select("query_id", unit(F.col("embedding")).alias("unit"))
-    left = units.withColumn("b", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
-    right = qs.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    part = left.groupBy("b").cogroup(right.groupBy("b")).applyInPandas(run, "query_id long, vec_id long, closeness double")
+def _top(query_ids: np.ndarray, ids: np.ndarray, d: np.ndarray, k: int | None) -> pa.RecordBatch:
+    """Per query (a column of ``d``) the ``k`` rows of the largest dot product, ties by id;
+    all rows if ``k`` is None."""
+    n = d.shape[0]
+    order = np.argsort(ids, kind="stable")
+    ids, d = ids[order], d[order]
+    if k is None or k >= n:
+        rows = np.tile(np.arange(n), d.shape[1])
+        cols = np.repeat(np.arange(d.shape[1]), n)
+    else:
+        cut = -np.partition(-d, k - 1, axis=0)[k - 1]
+        cols, rows = np.nonzero((d >= cut).T)  # ties at the cut stay, the last aggregation decides
+    close = 1 - np.sqrt(np.maximum(0, 2 - 2 * d[rows, cols]))
+    return pa.RecordBatch.from_arrays([pa.array(query_ids[cols]), pa.array(ids[rows]), pa.array(close)], ["query_id", "vec_id", "closeness"])
+
+
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    flat = column.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return flat.reshape(len(column), -1)
+
+
+def _block_products(left: DataFrame, right: DataFrame, by: list[str], k: int | None) -> DataFrame:
+    """``query_id, vec_id, closeness`` from matrix products of the blocks ``(vec_id, unit)``
+    and ``(query_id, unit)`` that share the columns ``by``."""
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        if not a.num_rows or not b.num_rows:
+            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "closeness": pa.array([], pa.float64())})
+        d = _matrix(a.column("unit")) @ _matrix(b.column("unit")).T
+        return pa.Table.from_batches([_top(b.column("query_id").to_numpy(), a.column("vec_id").to_numpy(), d, k)])
+
+    return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(run, "query_id long, vec_id long, closeness double")
+
+
+def _best(part: DataFrame, k: int) -> DataFrame:
+    """The ``k`` nearest of each query; each block has sent some ``k`` of its own."""
     top = part.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("closeness")).alias("d"), "vec_id"))), 1, k).alias("t"))
     return top.select("query_id", F.explode("t").alias("x")).select("query_id", "x.vec_id", (-F.col("x.d")).alias("closeness"))
 
 
+def knn_many(vectors: DataFrame, queries: DataFrame, k: int | None, vector_block: int = 50_000, query_block: int = 4096) -> DataFrame:
+    """``query_id, vec_id, closeness``: the k nearest of each query, or all with ``k`` None.
+    Vectors and queries are cut into blocks of about the given rows, so a task holds one of
+    each whatever the tables' size; every vector meets every query once."""
+    units = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), unit(F.col("embedding")).alias("unit"))
+    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), unit(F.col("embedding")).alias("unit"))
+    v, q = (max(1, -(-n // size)) for n, size in ((vectors.count(), vector_block), (queries.count(), query_block)))
+    dealt = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = units.withColumn("vb", dealt("vec_id", v)).withColumn("qb", every(q))
+    right = asked.withColumn("qb", dealt("query_id", q)).withColumn("vb", every(v))
+    part = _block_products(left, right, ["vb", "qb"], k)
+    return part if k is None else _best(part, k)
+
+
 def _nearest(units: DataFrame, centroids: np.ndarray) -> DataFrame:
     """``units`` with the ``cell`` of the largest dot product, the first of equals."""
-    if centroids.nbytes > CENTROID_BYTES:
-        raise ValueError("so many centroids are not broadcast; use a larger cell size")
     shipped = units.sparkSession.sparkContext.broadcast(centroids.astype(np.float32))
 
     @F.pandas_udf("int")
@@ -149,30 +175,30 @@ def _nearest(units: DataFrame, centroids: np.ndarray) -> DataFrame:
 
 
 def cluster(vectors: DataFrame, cell_size: int) -> tuple[DataFrame, np.ndarray]:
-    """(``vec_id, unit, cell``, centroids): spherical k-means with k = rows / cell size.
+    """(``vec_id, unit, cell``, centroids): spherical k-means with k = rows / cell size, up
+    to what CENTROID_BYTES hold; beyond, cells grow with the rows and nothing is left out.
 
     Seeds are the vectors at equal strides in order of id, then four rounds of assigning to
     the nearest centroid and averaging; cells without vectors go. The driver holds the
     centroids, never the vectors.
     """
-    units = checkpointed(vectors.select("vec_id", F.transform(unit(F.col("embedding")), lambda x: x.cast("float")).alias("unit")))
+    units = vectors.select("vec_id", F.transform(unit(F.col("embedding")), lambda x: x.cast("float")).alias("unit"))
+    units = running(in_ranges(units, [F.col("vec_id")]), [F.col("vec_id")], sums={"_n": F.lit(1)}).drop(RANGE)
+    units = checkpointed(units.withColumn("_n", F.col("_n") - 1))
     n = units.count()
-    k = max(1, int(n / cell_size + 0.5))
-    ranges = units.select("vec_id").orderBy("vec_id").select("vec_id", F.monotonically_increasing_id().alias("at"))
-    ranked = checkpointed(ranges.withColumn("part", F.shiftright("at", 33)))
-    sizes = {r.part: r.n for r in ranked.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
-    start, before = {}, 0
-    for part in sorted(sizes):
-        start[part], before = before, before + sizes[part]
-    wanted = [i * n // k for i in range(k)] if n else []
-    places = [(part << 33) + w - start[part] for w in wanted for part in start if start[part] <= w < start[part] + sizes[part]]
-    seeds = ranked.join(units.sparkSession.createDataFrame([(p,) for p in places], "at long"), "at").select("vec_id")
-    rows = units.join(seeds, "vec_id").orderBy("vec_id").select("unit").collect()
-    centroids = np.array([r.unit for r in rows], np.float32).reshape(len(rows), -1)
-    for _ in range(ROUNDS if n else 0):
+    if not n:
+        return units.drop("_n").withColumn("cell", F.lit(0)), np.zeros((0, 0), np.float32)
+    dims = units.select(F.size("unit")).first()[0]
+    k = max(1, min(int(n / cell_size + 0.5), CENTROID_BYTES // (4 * dims)))
+    # place i * n // k for some i: where the quotient below changes
+    seed = F.floor((F.col("_n") * k + k - 1) / n) != F.floor(((F.col("_n") - 1) * k + k - 1) / n)
+    rows = units.where(seed).orderBy("vec_id").select("unit").collect()
+    centroids = np.array([r.unit for r in rows], np.float32)
+    units = units.drop("_n")
+    for _ in range(ROUNDS):
         means = mean_unit(_nearest(units, centroids), ["cell"], "unit").orderBy("cell").collect()
         centroids = np.array([r.mean for r in means], np.float32)
-    return (_nearest(units, centroids) if n else units.withColumn("cell", F.lit(0))), centroids
+    return _nearest(units, centroids), centroids
 
 
 def insert(index: DataFrame, fresh: DataFrame, centroids: np.ndarray) -> DataFrame:
@@ -208,12 +234,24 @@ def rebuild_due(count: int, done: list[int]) -> int | None:
     return max(passed, default=None)
 
 
-def keep_in_fill(fill: Column, ident: Column, seed: int = 0) -> Column:
-    """Whether an overfull cell is rebalanced: with probability min(1, (fill - 1)**3 / 4)."""
-    roll = F.pmod(F.xxhash64(F.lit(seed), ident), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return roll < F.least(F.lit(1.0), 0.25 * F.pow(fill - 1, 3))
 
 
-def shuffled(df: DataFrame, ident: str, seed: int) -> DataFrame:
-    """Rows in an order that the seed alone decides."""
-    return df.orderBy(F.xxhash64(F.col(ident), F.lit(seed)), ident)
+def search_many(index: DataFrame, centroids: np.ndarray, queries: DataFrame, k: int, share: float = PROBE_SHARE, block: int = 50_000) -> DataFrame:
+    """``query_id, vec_id, closeness``: the k nearest of each query ``(query_id, embedding)``
+    in the share of cells whose centroids are nearest to it, four cells at least. Probed
+    cells grow with the cells, so recall does not fall as a table grows. Cells are cut into
+    blocks of about ``block`` vectors."""
+    probes = min(len(centroids), max(4, math.ceil(share * len(centroids))))
+    shipped = index.sparkSession.sparkContext.broadcast(centroids.astype(np.float64))
+
+    @F.pandas_udf("array<int>")
+    def cells(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            yield pd.Series(list(np.argsort(-(np.stack(s) @ shipped.value.T), axis=1, kind="stable")[:, :probes].astype(np.int32)) if len(s) else [], dtype=object)
+
+    sizes = checkpointed(index.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks")))
+    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), unit(F.col("embedding")).alias("unit")).withColumn("cell", F.explode(cells("unit")))
+    right = asked.join(F.broadcast(sizes), "cell").withColumn("b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    left = index.select(F.col("vec_id").cast("long").alias("vec_id"), unit(F.col("unit")).alias("unit"), "cell")
+    left = left.join(F.broadcast(sizes), "cell").withColumn("b", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")).drop("blocks")
+    return _best(_block_products(left, right, ["cell", "b"], k), k)

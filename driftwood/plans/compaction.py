@@ -1,24 +1,40 @@
-"""When to compact a collection, and what: triggers over figures of its files."""
+"""When to compact a collection, and what: triggers and steps over figures of its files.
+
+Files are rows ``(file, tier, bytes, min_key, max_key)``; tier is log or bulk. Bulk files
+below LOOSE_BYTES are loose and worth rolling up, the others are combined.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MB = 1 << 20
-#: name, metric, threshold. Design values of the policy.
-TRIGGERS = (("fold", "log_bytes", 64 * MB), ("fold_hard", "log_bytes", 768 * MB), ("combine_bytes", "loose_bytes", 1024 * MB), ("combine_files", "loose_files", 20), ("dedup_bytes", "combined_bytes", 512 * MB))
-#: Share of repeated keys at which the whole combined tier, or a key group, is rewritten.
-DEDUP_SHARE, GROUP_SHARE = 0.5, 0.4
-GROUP_BYTES, FILE_BYTES, MERGE_BYTES, COMBINED_BYTES = 800 * MB, 256 * MB, 2048 * MB, 256 * MB
-#: Batches of so many rows or bytes are written as files of their own.
-DIRECT_ROWS, DIRECT_BYTES = 5000, 5 * MB
+# Thresholds of the policy.
+FOLD_HARD_BYTES, FOLD_BYTES = 768 * MB, 64 * MB
+COMBINE_BYTES, COMBINE_FILES = 1024 * MB, 20
+DEDUP_BYTES, DEDUP_SHARE, GROUP_SHARE = 512 * MB, 0.5, 0.4
+LOOSE_BYTES, FILE_BYTES, GROUP_BYTES = 128 * MB, 256 * MB, 800 * MB
+#: name, metric, threshold of the triggers that need file sizes alone.
+TRIGGERS = (("fold_hard", "log_bytes", FOLD_HARD_BYTES), ("fold", "log_bytes", FOLD_BYTES), ("combine_bytes", "loose_bytes", COMBINE_BYTES), ("combine_files", "loose_files", COMBINE_FILES), ("dedup_bytes", "combined_bytes", DEDUP_BYTES))
+
+
+def tiers(files: DataFrame) -> DataFrame:
+    """``files`` with bulk files told apart; one whose size is unknown counts as combined."""
+    loose = F.coalesce(F.col("bytes") < LOOSE_BYTES, F.lit(False))
+    return files.withColumn("tier", F.when(F.col("tier") == "log", "log").when(loose, "loose").otherwise("combined"))
 
 
 def metrics(files: DataFrame) -> DataFrame:
     """One row of figures for files ``(tier, bytes)`` with tier log, loose or combined."""
-    of = lambda t, c: F.coalesce(F.sum(F.when(F.col("tier") == t, c)), F.lit(0)).cast("long")
-    return files.agg(of("log", F.col("bytes")).alias("log_bytes"), of("loose", F.col("bytes")).alias("loose_bytes"), of("loose", F.lit(1)).alias("loose_files"), of("combined", F.col("bytes")).alias("combined_bytes"))
+    def of(tier: str, value: Column) -> Column:
+        return F.coalesce(F.sum(F.when(F.col("tier") == tier, value)), F.lit(0)).cast("long")
+
+    one = F.lit(1)
+    return files.agg(
+        of("log", F.col("bytes")).alias("log_bytes"), of("log", one).alias("log_files"), of("loose", F.col("bytes")).alias("loose_bytes"), of("loose", one).alias("loose_files"),
+        of("combined", F.col("bytes")).alias("combined_bytes"), of("combined", one).alias("combined_files"),
+    )
 
 
 def triggers(figures: DataFrame) -> DataFrame:
@@ -28,23 +44,48 @@ def triggers(figures: DataFrame) -> DataFrame:
     return out.select("*", (F.col("value") / F.col("threshold")).alias("fraction"), (F.col("value") >= F.col("threshold")).alias("met"))
 
 
-def steps(figures: dict, dup_share: float, groups: list[dict]) -> list[dict]:
-    """The phases to run, in order: fold the log into loose files, combine loose files,
-    rewrite what repeats keys (all of the tier, or the groups that are worth it)."""
-    out = []
-    if figures["log_bytes"] >= TRIGGERS[0][2]:
-        out.append({"phase": "fold", "bytes": figures["log_bytes"]})
-    if figures["loose_bytes"] >= TRIGGERS[2][2] or figures["loose_files"] >= TRIGGERS[3][2]:
-        out.append({"phase": "combine", "bytes": figures["loose_bytes"]})
-    if figures["combined_bytes"] > TRIGGERS[4][2] and dup_share > DEDUP_SHARE:
-        out.append({"phase": "dedup", "bytes": figures["combined_bytes"]})
-    else:
-        out += [{"phase": "dedup_group", "bytes": g["bytes"], "min_key": g["min_key"], "max_key": g["max_key"]} for g in groups if g["dup_fraction"] >= GROUP_SHARE]
-    return out
+def steps(files: DataFrame, duplicates: DataFrame, groups: DataFrame) -> DataFrame:
+    """``phase, step, ready, bytes, lo, hi, dup``: what the files call for, in order of phase.
+
+    Phase 1 folds the log: all of it past the hard limit, else what may be folded past the
+    trigger. Phase 2 combines loose files, two at least, past either trigger. Phase 3
+    rewrites combined files that repeat keys: all of them, two at least, past both triggers;
+    else each group ``(lo, hi, dup)`` of keys past its share that two files at least reach
+    into. Without such a group the one with the largest share is listed, not ready.
+    ``duplicates (dup)`` has the share of the whole tier in one row.
+    """
+    files = tiers(files)
+    seen = metrics(files).crossJoin(F.broadcast(duplicates.select(F.coalesce("dup", F.lit(0.0)).alias("dup"))))  # one row with one row
+    col = F.col
+    hard = col("log_bytes") >= FOLD_HARD_BYTES
+    all_ready = (col("combined_files") >= 2) & (col("combined_bytes") >= DEDUP_BYTES) & (col("dup") >= DEDUP_SHARE)
+    seen = seen.withColumn("all_ready", all_ready)
+
+    def step(phase: int, name: str, ready: Column, size: str) -> Column:
+        return F.struct(F.lit(phase).alias("phase"), F.lit(name).alias("step"), ready.alias("ready"), col(size).alias("bytes"))
+
+    plain = seen.select(F.explode(F.array(
+        step(1, "fold_hard", hard & (col("log_files") > 0), "log_bytes"), step(1, "fold", ~hard & (col("log_bytes") >= FOLD_BYTES), "log_bytes"),
+        step(2, "combine", (col("loose_files") >= 2) & ((col("loose_bytes") >= COMBINE_BYTES) | (col("loose_files") >= COMBINE_FILES)), "loose_bytes"),
+        step(3, "dedup_all", col("all_ready"), "combined_bytes"),
+    )).alias("s")).select("s.*", F.lit(None).cast(groups.schema["lo"].dataType).alias("lo"), F.lit(None).cast(groups.schema["hi"].dataType).alias("hi"), F.lit(None).cast("double").alias("dup"))
+    most = groups.agg(F.max_by("lo", F.struct("dup", "lo")).alias("best"), F.max("dup").alias("top"))
+    wanted = groups.crossJoin(F.broadcast(most)).where((col("dup") >= GROUP_SHARE) | ((col("top") < GROUP_SHARE) & (col("lo") == col("best"))))  # one row on the right
+    combined = files.where("tier = 'combined'").select("bytes", "min_key", "max_key")
+    reach = F.col("min_key").isNull() | F.col("max_key").isNull() | ((F.col("min_key") <= F.col("hi")) & (F.col("max_key") >= F.col("lo")))
+    met = wanted.join(F.broadcast(combined), reach, "left").groupBy("lo", "hi", "dup").agg(F.coalesce(F.sum("bytes"), F.lit(0)).cast("long").alias("bytes"), F.count("bytes").alias("n"))
+    grouped = met.crossJoin(F.broadcast(seen.select("all_ready"))).select(  # one row on the right
+        F.lit(3).alias("phase"), F.lit("dedup_group").alias("step"), (~col("all_ready") & (col("dup") >= GROUP_SHARE) & (col("n") >= 2)).alias("ready"), "bytes", "lo", "hi", "dup"
+    )
+    return plain.unionByName(grouped)
 
 
-def goes_direct(rows: int, size: int) -> bool:
-    return rows >= DIRECT_ROWS or size >= DIRECT_BYTES
+def start_times(planned: DataFrame, begin: int, gap: int) -> DataFrame:
+    """``steps`` with ``start_at``: ready ones ``gap`` apart in order of phase, the groups
+    that repeat most first. A plan has a row a step, few enough for one task."""
+    order = Window.orderBy("phase", "step", F.desc("dup"), "lo").rowsBetween(Window.unboundedPreceding, 0)
+    nth = F.sum(F.col("ready").cast("int")).over(order)
+    return planned.withColumn("start_at", F.when(F.col("ready"), F.lit(begin) + (nth - 1) * gap).cast("long"))
 
 
 def output_files(total_bytes: int) -> int:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftwood import model
@@ -30,11 +30,13 @@ def _log(spark: SparkSession, sf: str) -> DataFrame:
     return model.events_log(table(spark, sf, "events"))
 
 
-def _middle(df: DataFrame, column: str):
-    """The median of a time column without time zone, to cut a log in two."""
-    micros = F.expr(f"percentile_disc(0.5) within group (order by timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', {column}))")
-    found = df.agg(micros.cast("long")).first()[0]
-    return F.expr(f"timestampadd(MICROSECOND, {found or 0}L, timestamp_ntz'1970-01-01 00:00:00')")
+def _at(text: str) -> Column:
+    return F.expr(f"timestamp_ntz'{text}'")
+
+
+def _cut() -> Column:
+    """Cuts the events in two."""
+    return _at("2024-01-15 12:00:00")
 
 
 # --- mutation log ------------------------------------------------------------------------
@@ -66,6 +68,11 @@ def lww_point_field(spark, sf):
     return lww.get_single_field(_log(spark, sf), 7, "value")
 
 
+@query
+def lww_get_row(spark, sf):
+    return lww.get_row(_log(spark, sf), 11)
+
+
 @query
 def lww_reader_mode(spark, sf):
     log = _log(spark, sf).withColumn("source", F.col("seq") % 3)
@@ -82,8 +89,7 @@ def lww_update_existing_only(spark, sf):
 @query
 def overlay_patch(spark, sf):
     log = _log(spark, sf)
-    cut = _middle(log, "time")
-    return lww.overlay_patch(lww.resolve(log.where(F.col("time") <= cut)), log.where(F.col("time") > cut))
+    return lww.overlay_patch(lww.resolve(log.where(F.col("time") <= _cut())), log.where(F.col("time") > _cut()))
 
 
 @query
@@ -156,9 +162,10 @@ def dup_key_groups(spark, sf):
 
 @query
 def greedy_chunks(spark, sf):
-    items = table(spark, sf, "orders").select((F.col("o_custkey") % 16).alias("shard"), "o_orderkey", F.floor("o_totalprice").cast("long").alias("size"))
+    size = F.floor("o_totalprice").cast("long").alias("size")
+    items = table(spark, sf, "orders").select((F.col("o_custkey") % 16).alias("shard"), "o_orderkey", size)
     chunks = stats.greedy_chunks(items, "shard", "o_orderkey", "size", 1_000_000)
-    return chunks.groupBy("shard", F.col("chunk").cast("long").alias("chunk")).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"), F.min("o_orderkey").alias("first"))
+    return chunks.groupBy("shard", "chunk").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"), F.min("o_orderkey").alias("first"))
 
 
 @query
@@ -167,11 +174,24 @@ def tier_split(spark, sf):
     return stats.tier_split(by_part, 50_000)
 
 
+def _files(spark: SparkSession, sf: str) -> DataFrame:
+    """Files of a collection: one a part, some of them logs."""
+    bytes_ = (F.count(F.lit(1)) * 5_000_000).alias("bytes")
+    by_part = table(spark, sf, "lineitem").groupBy(F.col("l_partkey").alias("file")).agg(bytes_, F.min("l_orderkey").alias("min_key"), F.max("l_orderkey").alias("max_key"))
+    return by_part.withColumn("tier", F.when(F.col("file") % 50 == 0, "log").otherwise("bulk"))
+
+
 @query
 def compaction_plan_triggers(spark, sf):
-    part = table(spark, sf, "lineitem").groupBy("l_partkey").agg((F.count(F.lit(1)) * 1_000_000).alias("bytes"))
-    tier = F.when(F.col("l_partkey") % 3 == 0, "log").when(F.col("l_partkey") % 3 == 1, "loose").otherwise("combined")
-    return compaction.triggers(compaction.metrics(part.select(tier.alias("tier"), "bytes")))
+    return compaction.triggers(compaction.metrics(compaction.tiers(_files(spark, sf))))
+
+
+@query
+def compaction_steps(spark, sf):
+    slots = table(spark, sf, "lineitem").where("l_linenumber <= 2").select("l_orderkey", F.lit(40).alias("bytes"))
+    groups = stats.duplicate_key_groups(slots, "l_orderkey", "bytes", 100_000).select(F.col("min_key").alias("lo"), F.col("max_key").alias("hi"), F.col("dup_fraction").alias("dup"))
+    share = stats.key_stats(slots, "l_orderkey").select(F.col("duplication").alias("dup"))
+    return compaction.start_times(compaction.steps(_files(spark, sf), share, checkpointed(groups)), 1000, 300)
 
 
 @query
@@ -225,8 +245,33 @@ def list_parent_folders(spark, sf):
 
 @query
 def changes_after(spark, sf):
+    return archive.changes_after(archive.fold_index(_blob_log(spark, sf)), _cut(), [(0.0, 0.25), (0.5, 0.9)])
+
+
+@query
+def filter_changes(spark, sf):
+    return archive.filter_changes(_listing(spark, sf), 1_700_000_100_000, [(0.1, 0.7)]).select("path", "create_time", "size")
+
+
+@query
+def expired_tombstones(spark, sf):
+    index = archive.fold_index(_blob_log(spark, sf))
+    return archive.expired_tombstones(index, _at("2024-01-31 00:00:00")).select("path", "write_time")
+
+
+@query
+def accepted_stamps(spark, sf):
+    return archive.accepted_stamps(_log(spark, sf), _cut()).select("seq", "time")
+
+
+@query
+def conditional_writes(spark, sf):
     log = _blob_log(spark, sf)
-    return archive.changes_after(archive.fold_index(log), _middle(log, "time"))
+    index = archive.fold_index(log.where(F.col("time") <= _cut()))
+    writes = log.where("op in ('set', 'delete')").select("path", "time", "seq", F.when(F.col("op") == "set", F.col("size") + 1).otherwise(0).alias("size"))
+    window = (_at("2024-01-03 00:00:00"), _at("2024-01-28 00:00:00"))
+    found = archive.conditional_writes(writes, index, _at("2024-01-26 00:00:00"), True, [(0.0, 0.8)], window)
+    return found.select("seq", "path", "verdict")
 
 
 @query
@@ -256,7 +301,18 @@ def _sides(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 @query
 def reconcile_pull(spark, sf):
     ours, theirs = _sides(spark, sf)
-    return archive.reconcile_pull(theirs, ours, F.col("path") % 7 != 0)
+    local = ours.where("path % 5 = 0").select("path")
+    return archive.reconcile_pull(theirs, ours.withColumn("changed_at", F.col("write_time")), F.col("path") % 7 != 0, 1000, local)
+
+
+@query
+def scan_verdict(spark, sf):
+    """A listing that is short, asked for the first and for the last time, and a whole one."""
+    _, theirs = _sides(spark, sf)
+    n = table(spark, sf, "orders").count()
+    tries = [(theirs.where("path % 4 = 1"), 0), (theirs.where("path % 4 = 1"), 3), (theirs, 0)]
+    found = [archive.scan_verdict(listing, n, attempts).select(F.lit(attempts).alias("attempts"), "n", "verdict") for listing, attempts in tries]
+    return found[0].unionByName(found[1]).unionByName(found[2])
 
 
 @query
@@ -286,20 +342,19 @@ def copy_if_newer(spark, sf):
 @query
 def coalesce_writes(spark, sf):
     log = _blob_log(spark, sf)
-    now = _middle(log, "time")
-    return archive.coalesce_writes(log.select("path", "time", "seq", "size", (F.col("time") + F.expr("interval 1 day")).alias("due")), now)
+    return archive.coalesce_writes(log.select("path", "time", "seq", "size", (F.col("time") + F.expr("interval 1 day")).alias("due")), _cut())
 
 
 @query
 def evict_lru(spark, sf):
     orders = table(spark, sf, "orders").select("o_orderkey", "o_orderdate", F.floor("o_totalprice").cast("long").alias("size"))
-    return archive.evict_oldest(orders, "size", ["o_orderdate", "o_orderkey"], 100_000_000, shard=F.year("o_orderdate") * 12 + F.month("o_orderdate"))
+    return archive.evict_oldest(orders, "size", ["o_orderdate", "o_orderkey"], 100_000_000)
 
 
 @query
 def retention_cumsum(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", F.col("n_chars").alias("size"))
-    return archive.evict_oldest(docs, "size", ["doc_id"], 500_000, shard=F.shiftright("doc_id", 8))
+    return archive.evict_oldest(docs, "size", ["doc_id"], 500_000)
 
 
 @query
@@ -364,9 +419,30 @@ def read_range(spark, sf):
 # --- routes and windows ------------------------------------------------------------------
 
 
+def _sharded_keys() -> Column:
+    """Addresses, some with a route of their own, a sentinel without one, or two of them."""
+    mark, n = F.lit(routing.VARIABLE_SHARD), F.col("page_id")
+    own = F.concat("url", mark, F.lit("_0."), (n % 1000).cast("string"), F.lit("/x"))
+    return F.when(n % 5 == 1, own).when(n % 5 == 2, F.concat("url", mark)).when(n % 5 == 3, F.concat(mark, F.lit("_7"), "url", mark, F.lit("_0.5"))).otherwise(F.col("url"))
+
+
 @query
 def route_hash(spark, sf):
-    return table(spark, sf, "pages").select("page_id", routing.route(F.col("url")).alias("route"))
+    return table(spark, sf, "pages").select("page_id", routing.route(_sharded_keys()).alias("route"))
+
+
+@query
+def shard_keys(spark, sf):
+    """Keys that are made for a range have their route there."""
+    a, b = (F.col("page_id") % 7) / 10, (F.col("page_id") % 7) / 10 + 0.3
+    key = routing.shard_key(F.col("url"), a, b, F.col("page_id"))
+    return table(spark, sf, "pages").select("page_id", ((routing.route(key) >= a) & (routing.route(key) < b)).alias("inside"), key.startswith(F.col("url")).alias("kept"))
+
+
+@query
+def accepts_writes(spark, sf):
+    w = F.array(F.struct(F.lit(0).alias("s"), F.col("s").alias("e")), F.struct(F.col("s"), F.col("e")))
+    return _windows(spark, sf).select("entry", routing.accepts_writes(w, F.lit(700)).alias("open"))
 
 
 def _shards(spark: SparkSession) -> DataFrame:
@@ -400,17 +476,18 @@ def window_conflicts(spark, sf):
 
 
 def _probes(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "orders").where("o_orderkey % 50 = 0").select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 2000).alias("t"), routing.route(F.col("o_orderkey")).alias("r"))
+    key = F.col("o_orderkey")
+    return table(spark, sf, "orders").select(key.alias("id"), (F.col("o_custkey") % 2000).alias("t"), routing.route(key).alias("r"))
 
 
 @query
 def asof_entry(spark, sf):
-    return routing.pick_entry(_probes(spark, sf), _windows(spark, sf), "id", "t", "r")
+    return routing.pick_entry(_probes(spark, sf), _windows(spark, sf), "t", "r").select("id", "t", "entry")
 
 
 @query
 def current_entry(spark, sf):
-    return routing.current_entry(_probes(spark, sf), _windows(spark, sf), "id", "t")
+    return routing.current_entry(_probes(spark, sf), _windows(spark, sf), "t").select("id", "t", "entry")
 
 
 @query
@@ -444,13 +521,17 @@ def rejoin_windows(spark, sf):
 @query
 def write_targets(spark, sf):
     s = table(spark, sf, "supplier").select(F.col("s_nationkey").cast("long").alias("route_id"), F.col("s_suppkey").alias("config_order"), F.floor("s_acctbal").cast("long").alias("latency"), F.col("s_name").alias("url"))
-    return routing.write_targets(s).withColumn("rank", F.col("rank").cast("long"))
+    return routing.write_targets(s)
 
 
 @query
 def source_urls(spark, sf):
-    s = table(spark, sf, "supplier").select((F.col("s_nationkey") % 9).cast("long").alias("file"), (F.col("s_suppkey") % 5 == 0).alias("is_write"), F.floor("s_acctbal").cast("long").alias("latency"), F.concat(F.lit("u"), (F.col("s_suppkey") % 13).cast("string")).alias("url"))
-    return routing.source_order(s).select("file", F.array_join("urls", ",").alias("urls"))
+    n = F.col("s_suppkey")
+    sources = table(spark, sf, "supplier").select(
+        (F.col("s_nationkey") % 9).cast("long").alias("file"), n.alias("config_order"), F.floor("s_acctbal").cast("long").alias("latency"), F.concat(F.lit("u"), (n % 13).cast("string")).alias("url"),
+        F.when(n % 7 != 0, n % 7 != 1).alias("public"), (n % 5 * 100).alias("s"), (n % 5 * 100 + 350).alias("e"), (n % 4 != 0).alias("covers"),
+    )
+    return routing.source_order(sources, 400).select("file", F.array_join("urls", ",").alias("urls"))
 
 
 @query
@@ -461,7 +542,7 @@ def cover_routes(spark, sf):
 
 @query
 def unique_times(spark, sf):
-    rows = table(spark, sf, "orders").where("o_custkey % 25 = 0").select("o_orderkey", (F.col("o_orderkey") % 97).alias("t"))
+    rows = table(spark, sf, "orders").select("o_orderkey", (F.col("o_orderkey") % 97).alias("t"))
     return routing.unique_times(rows, "t", ["o_orderkey"])
 
 
@@ -482,7 +563,8 @@ def config_problems(spark, sf):
 
 @query
 def match_filter_or_and_not(spark, sf):
-    return table(spark, sf, "part").where(filters.match_filter(" part 1 & !00 | BRASS&2 ", F.concat_ws(" ", "p_name", "p_type"))).select("p_partkey", "p_name", "p_type")
+    text = F.concat_ws(" ", "p_name", "p_type", "p_brand")
+    return table(spark, sf, "part").where(filters.match_filter(" Red & !small | GEAR&brand#3 ", text)).select("p_partkey", "p_name", "p_type", "p_brand")
 
 
 @query
@@ -492,25 +574,36 @@ def log_search_all_terms(spark, sf):
 
 @query
 def picker_top10(spark, sf):
-    return logs.pick_options(table(spark, sf, "part"), "p_type", "st").select("option", F.col("rank").cast("long").alias("rank"), F.col("more").cast("long").alias("more"))
+    n, name = F.col("p_partkey"), F.col("p_name")
+    option = F.when(n % 3 == 0, F.initcap(name)).when(n % 3 == 1, F.upper(name)).otherwise(name)
+    options = table(spark, sf, "part").select(option.alias("option"))
+    found = logs.pick_options(options, "option", "Re").select(F.lit("Re").alias("typed"), "*").unionByName(logs.pick_options(options, "option", "re").select(F.lit("re").alias("typed"), "*"))
+    return found.unionByName(logs.pick_options(options, "option", " Re").select(F.lit(" Re").alias("typed"), "*")).select("typed", "option", F.col("rank").cast("long").alias("rank"), F.col("more").cast("long").alias("more"))
 
 
 @query
 def valid_paths(spark, sf):
-    path = F.regexp_replace("url", "^https?:/", "")
-    return table(spark, sf, "pages").select("page_id", filters.valid_path(path).alias("path_ok"), filters.valid_name(F.parse_url("url", F.lit("HOST"))).alias("name_ok"))
+    path, n, host = F.regexp_replace("url", "^https?:/", ""), F.col("page_id"), F.parse_url("url", F.lit("HOST"))
+    plain = F.substring(path, 2, 100)
+    tried = F.when(n % 6 == 0, path).when(n % 6 == 1, plain).when(n % 6 == 2, F.concat(plain, F.lit("\\x"))).when(n % 6 == 3, F.concat(plain, F.lit("/../x"))).when(n % 6 == 4, F.repeat(host, 60)).otherwise(F.concat(host, F.lit("//x")))
+    name = F.when(n % 4 == 0, host).when(n % 4 == 1, F.replace(host, F.lit("."), F.lit("_"))).when(n % 4 == 2, F.repeat(F.lit("-"), (n % 100).cast("int"))).otherwise(F.lit(".."))
+    return table(spark, sf, "pages").select("page_id", filters.valid_path(tried).alias("path_ok"), filters.valid_name(name).alias("name_ok"), filters.valid_source_name(name).alias("source_ok"))
 
 
 def _auth_lines(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "events")
-    head = F.format_string("sshd[%d]: ", F.col("user_id"))
-    body = F.when(F.col("event_type") == "error", F.format_string("Refused publickey for u%d from 10.0.0.%d", F.col("user_id") % 7, F.col("event_id") % 250)).when(F.col("event_type") == "signup", F.format_string("offered key SHA256:%s", F.md5(F.col("event_id").cast("string").cast("binary")))).otherwise(F.lit("session opened"))
-    return e.select("event_id", F.concat(head, body).alias("line"))
+    """Lines as sshd writes them: refusals by address, failed keys, and others."""
+    n = F.col("event_id")
+    daemon = F.when(n % 2 == 0, "sshd").otherwise("sshd-session")
+    refused = F.format_string("Authentication tried for u%d with correct key but not from a permitted host (host=h%d, ip=10.0.0.%d, required=10.1.0.0/16,10.2.%d.0/24).", F.col("user_id") % 7, n % 5, n % 250, n % 3)
+    failed = F.format_string("Failed publickey for u%d from 10.0.0.%d port %d ssh2: ED25519 SHA256:%s=", F.col("user_id") % 7, n % 250, 1024 + n % 999, F.md5(n.cast("string").cast("binary")))
+    body = F.when(F.col("event_type") == "error", refused).when(F.col("event_type") == "signup", failed).otherwise(F.lit("Accepted publickey for u1 from 10.0.0.1 port 22 ssh2: RSA SHA256:abc"))
+    line = F.concat(F.lit(" Jan 01 00:00:00 host "), daemon, F.format_string("[%d]: ", F.col("user_id")), body, F.lit(" "))
+    return table(spark, sf, "events").select("event_id", line.alias("line"))
 
 
 @query
 def auth_log_pairs(spark, sf):
-    return logs.auth_pairs(_auth_lines(spark, sf), "line", "event_id").select("seq", "process", "user", "address", "print")
+    return logs.auth_pairs(_auth_lines(spark, sf), "line", "event_id")
 
 
 @query
@@ -520,8 +613,19 @@ def access_stats(spark, sf):
 
 @query
 def result_stats(spark, sf):
-    e = table(spark, sf, "events").withColumn("found", F.sequence(F.lit(1), (F.col("event_id") % 5 + 1).cast("int")))
-    return logs.result_stats(e, ["event_type"], "found")
+    n = F.col("event_id")
+    found = F.transform(F.sequence(F.lit(1), (n % 5).cast("int") + 1), lambda i: F.concat(F.lit("b/"), (n % 3).cast("string"), F.lit("/"), i.cast("string")))
+    calls = table(spark, sf, "events").select("event_type", F.concat(F.lit("b/"), (n % 3).cast("string")).alias("asked"), F.when(n % 11 != 0, F.when(n % 5 != 4, found).otherwise(F.array().cast("array<string>"))).alias("found"))
+    return logs.result_stats(calls.where("found is not null"), ["event_type"], "asked", "found")
+
+
+@query
+def access_tree(spark, sf):
+    """Accesses and bytes below every path, by operation."""
+    n = F.col("event_id")
+    path = F.concat(F.lit("b"), (n % 2).cast("string"), F.lit("/"), (F.col("user_id") % 10).cast("string"), F.lit("/"), F.col("user_id").cast("string"))
+    e = table(spark, sf, "events").select("event_type", path.alias("path"), F.when(F.col("event_type") != "view", F.octet_length("props")).alias("size"))
+    return logs.access_tree(e, ["event_type"], "path", F.col("size"))
 
 
 @query
@@ -615,8 +719,16 @@ def avg_embedding_by_label(spark, sf):
 
 @query
 def closeness_matrix(spark, sf):
-    e = table(spark, sf, "embeddings").where("vec_id % 25 = 0").select("vec_id", vectors.unit(F.col("embedding")).alias("u"))
-    return e.alias("a").join(e.alias("b"), F.col("a.vec_id") < F.col("b.vec_id")).select(F.col("a.vec_id").alias("left_id"), F.col("b.vec_id").alias("right_id"), F.round(vectors.closeness(F.col("a.u"), F.col("b.u")), 6).alias("closeness"))
+    """How close every vector is to each of a stated set of queries."""
+    e = table(spark, sf, "embeddings")
+    found = vectors.knn_many(e, e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), None)
+    return found.select("query_id", "vec_id", F.round("closeness", 6).alias("closeness"))
+
+
+@query
+def vector_lookup(spark, sf):
+    e = table(spark, sf, "embeddings")
+    return vectors.lookup(e, table(spark, sf, "orders").select(F.col("o_custkey").alias("vec_id")).distinct()).select("vec_id", "label")
 
 
 @query
@@ -627,8 +739,11 @@ def kmeans_cells(spark, sf):
 
 @query
 def ivf_search(spark, sf):
-    index, centroids = vectors.cluster(table(spark, sf, "embeddings"), 64)
-    return vectors.search(checkpointed(index), centroids, _vector(spark, sf), 10, 256, 64)
+    """The ten nearest of every fiftieth vector, by probing cells; recall is in the tests."""
+    e = table(spark, sf, "embeddings")
+    index, centroids = vectors.cluster(e, 64)
+    asked = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return vectors.search_many(checkpointed(index), centroids, asked, 10)
 
 
 @query
@@ -652,24 +767,49 @@ def ivf_insert_remove(spark, sf):
 
 @query
 def fmt_scalars(spark, sf):
+    name = F.concat(F.lower(F.substring("o_orderpriority", 3, 50)), F.lit("_orderTotal_2x  price"))
     return table(spark, sf, "orders").select(
         "o_orderkey", scalars.ellipsize(F.col("o_orderpriority"), 6).alias("short"), scalars.format_date_time(F.col("o_orderdate")).alias("shown"),
-        scalars.space_case(F.regexp_replace("o_orderpriority", "^[0-9]-", "low_")).alias("spaced"), scalars.round_decimals(F.col("o_totalprice"), 1).alias("rounded"), scalars.js_round(-F.col("o_orderkey") / 2).alias("half"),
+        scalars.space_case(name).alias("spaced"), scalars.round_decimals(F.col("o_totalprice"), 1).alias("rounded"), scalars.js_round(-F.col("o_orderkey") / 2).alias("half"),
+        scalars.next_intermediate_version((F.col("o_orderkey") % 5 - 2).cast("double")).alias("version"),
     )
 
 
+@query
+def guess_format(spark, sf):
+    n = F.col("o_orderkey")
+    number = F.when(n % 6 == 0, F.lit(9007199254740991.0)).when(n % 6 == 1, F.lit(float("-inf"))).when(n % 6 == 2, F.lit(float("nan"))).when(n % 6 == 3, (F.lit(1_262_304_000_000) + n * 3_600_000).cast("double")).when(n % 6 == 4, (n * 1000).cast("double")).otherwise(F.lit(None).cast("double"))
+    text = F.when(n % 4 == 0, F.concat(F.lit("Error: no "), n.cast("string"))).when(n % 4 == 1, F.concat(F.lit("https://e.org/<order "), n.cast("string"), F.lit(">"))).when(n % 4 == 2, F.lit("http://e.org/<x>")).otherwise(F.col("o_orderstatus"))
+    address = scalars.fill_template(F.lit("https://e.org/$VALUE$<$VALUE$>"), n.cast("string"))
+    return table(spark, sf, "orders").select("o_orderkey", scalars.format_number_cell(number).alias("number"), scalars.format_text_cell(text).alias("text"), scalars.link(text)[0].alias("address"), scalars.link(address)[0].alias("filled"))
+
+
 @query
 def nice_stringify(spark, sf):
     p = table(spark, sf, "part")
-    text = F.when(F.col("p_partkey") % 3 == 0, F.col("p_size").cast("string")).when(F.col("p_partkey") % 3 == 1, "true").otherwise(F.col("p_name"))
-    flag = F.when(F.col("p_partkey") % 4 != 0, F.col("p_partkey") % 2 == 0)
-    return p.select("p_partkey", scalars.nice_stringify(text, "string").alias("text"), scalars.nice_stringify(flag, "boolean").alias("flag"), scalars.nice_parse(scalars.nice_stringify(text, "string")).alias("back"))
+    n, name = F.col("p_partkey"), F.col("p_name")
+    forms = (F.col("p_size").cast("string"), F.lit("true"), F.concat(n.cast("string"), F.lit(" pieces")), F.concat(F.lit("["), name, F.lit("]")), F.lit("{NaN}"), F.concat(F.lit("-"), name), F.lit(""))
+    text = F.when(n % 8 == 7, name)
+    for i, form in enumerate(forms):
+        text = text.when(n % 8 == i, form)
+    flag = F.when(n % 4 != 0, n % 2 == 0)
+    number = F.when(n % 5 == 0, F.lit(float("nan"))).when(n % 5 != 1, F.col("p_size") / F.lit(4.0))
+    shown = scalars.nice_stringify(text, "string")
+    return p.select("p_partkey", shown.alias("text"), scalars.nice_stringify(flag, "boolean").alias("flag"), scalars.nice_stringify(number, "double").alias("number"), scalars.nice_parse(shown).alias("back"))
 
 
 @query
 def url_parts(spark, sf):
-    u = scalars.url_parts(F.col("url"))
-    return table(spark, sf, "pages").select("page_id", u["scheme"].alias("scheme"), u["host"].alias("host"), u["port"].cast("long").alias("port"), u["account"].alias("account"), scalars.replace_port(F.col("url"), F.lit(8443)).alias("moved"), scalars.derived_source_name(F.col("url")).alias("source_name"))
+    n = F.col("page_id")
+    host = F.parse_url("url", F.lit("HOST"))
+    hosted = F.concat(F.lit("https://"), host, F.when(n % 3 == 0, ":4445").otherwise(""), F.lit("/file/acc"), (n % 5).cast("string"), F.lit("/b%20"), n.cast("string"), F.lit(scalars.ROUTING_SUFFIX))
+    u, base = scalars.hosted_url(hosted), scalars.bucket_base_url(hosted)
+    bucket = F.concat(F.lit("https://f002.backblazeb2.com/file/com!"), n.cast("string"), F.lit(scalars.ROUTING_SUFFIX))
+    return table(spark, sf, "pages").select(
+        "page_id", u["address"].alias("address"), u["port"].cast("long").alias("port"), u["account"].alias("account"), u["bucket"].alias("bucket"), scalars.hosted_url(F.col("url")).isNull().alias("other"),
+        scalars.replace_port(hosted, F.when(n % 2 == 0, 443).otherwise(8443)).alias("moved"), scalars.file_url(base, F.lit("a b/c+d(1)/é")).alias("file"),
+        scalars.derived_source_name(hosted, (n % 4) / 8, (n % 4) / 8 + F.when(n % 4 == 0, 1.0).otherwise(0.5)).alias("source_name"), scalars.derived_source_name(bucket).alias("bucket_name"),
+    )
 
 
 @query
@@ -677,12 +817,16 @@ def http_range(spark, sf):
     size = F.octet_length("html").cast("long")
     header = F.when(F.col("page_id") % 4 == 0, "bytes=10-19").when(F.col("page_id") % 4 == 1, "bytes=-7").when(F.col("page_id") % 4 == 2, "bytes=9000000-")
     r = scalars.http_range(header, size)
-    return table(spark, sf, "pages").select("page_id", r["status"].cast("long").alias("status"), r["first"].alias("first"), r["last"].alias("last"))
+    written = F.expr("timestamp_millis(1700000000000 + page_id * 100)")
+    kept = scalars.not_modified(F.expr("timestamp_millis(1700000002000)"), written)
+    return table(spark, sf, "pages").select("page_id", r["status"].cast("long").alias("status"), r["first"].alias("first"), r["last"].alias("last"), kept.alias("not_modified"))
 
 
 @query
 def manifest_digest(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", scalars.manifest_digest(F.replace("text", F.lit("\n"), F.lit("\r\n"))).alias("sha256"))
+    content = F.concat(F.unhex(F.lit("FF00E90D0A")), F.replace("text", F.lit("\n"), F.lit("\r\n")).cast("binary"))
+    digest = scalars.manifest_digest(content)
+    return table(spark, sf, "documents").select("doc_id", digest["size"].alias("size"), digest["sha256"].alias("sha256"))
 
 
 @query
@@ -754,5 +898,24 @@ def stream_pairs(spark, sf):
     return spark.read.parquet(f"{at}/out").select("process", "user", "print")
 
 
+@query
+def stream_coalesce(spark, sf):
+    """Delayed writes of one trigger: the last of each path, due a day after the first."""
+    at = _folder(spark)
+    stream = _events_stream(spark, sf).select((F.col("user_id") % 50).cast("string").alias("path"), F.col("ts").alias("time"), F.col("event_id").alias("seq"), F.octet_length("props").alias("size"))
+    streams.delayed_writes(stream, f"{at}/out", f"{at}/checkpoint", 86400).awaitTermination()
+    return spark.read.parquet(f"{at}/out").drop("batch")
+
+
+@query
+def stream_sessions(spark, sf):
+    """Sessions that the watermark has closed."""
+    at = _folder(spark)
+    out = streams.sessions(_events_stream(spark, sf), "ts", "6 hours", ["user_id"])
+    out = out.withColumn("start", F.col("start").cast("timestamp_ntz")).withColumn("end", F.col("end").cast("timestamp_ntz"))
+    streams.run_to_table(out, f"{at}/out", f"{at}/checkpoint")
+    return spark.read.parquet(f"{at}/out")
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)

@@ -83,9 +83,20 @@ class Collection:
 
     # --- compaction
 
-    def compact(self, size: int = 0) -> str:
+    def due(self) -> bool:
+        """Whether the mutations since the last snapshot have reached a trigger: bytes to
+        fold, or batches to combine."""
+        fs_of = self.spark._jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(self.spark._jsc.hadoopConfiguration())
+        open_ = self._open(self._current())
+        size = sum(fs_of.getContentSummary(self.spark._jvm.org.apache.hadoop.fs.Path(b)).getLength() for b in open_)
+        return size >= compaction.FOLD_BYTES or len(open_) >= compaction.COMBINE_FILES
+
+    def compact(self, size: int = 0, only_if_due: bool = False) -> str | None:
         """Rewrites all mutations as a new snapshot, sorted by key in files of about 256 MB,
-        and makes it the current one. Reads are the same before and after."""
+        and makes it the current one. Reads are the same before and after. With
+        ``only_if_due`` nothing is done below the triggers."""
+        if only_if_due and not self.due():
+            return None
         current = self._current()
         taken = [b.rpartition("=")[2] for b in self._open(current)]
         version = uuid.uuid4().hex

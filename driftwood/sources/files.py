@@ -7,6 +7,10 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from driftwood.functions.scalars import manifest_digest
+
+#: So many bytes of a log's head tell whether it was rotated.
+SIGNATURE_BYTES = 512
 #: Parts of a log file's name: pid, born, thread, from, and once closed to, count and id.
 LOG_NAME = r"pid([0-9]+)_born([0-9]+)_thread([A-Za-z0-9]+)_from([0-9]+)(?:_to([0-9]+)_count([0-9]+)_id([A-Za-z0-9]+))?\.jsonl"
 
@@ -34,8 +38,10 @@ def log_catalog(files: DataFrame, name: str) -> DataFrame:
 
 
 def list_files(spark: SparkSession, path: str) -> DataFrame:
-    """``path, size, modified`` of all files under a folder."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
+    """``path, size, modified`` of all files under a folder. Only these columns are asked
+    of the binary source, so no content is read."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return found.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
 
 
 def without_deleted(files: DataFrame, markers: DataFrame) -> DataFrame:
@@ -43,15 +49,28 @@ def without_deleted(files: DataFrame, markers: DataFrame) -> DataFrame:
     return files.join(markers.select(F.explode("delete_files").alias("file")), "file", "left_anti")
 
 
-def read_blobs(spark: SparkSession, path: str, start: int = 0, stop: int | None = None) -> DataFrame:
-    content = F.col("content") if start == 0 and stop is None else F.substring(F.col("content"), start + 1, (stop - start) if stop is not None else 1 << 30)
-    return spark.read.format("binaryFile").load(path).select("path", content.alias("content"))
+def manifest(spark: SparkSession, path: str) -> DataFrame:
+    """``path, size, sha256`` of files, both of the bytes with line ends normalised."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return found.select("path", manifest_digest(F.col("content")).alias("d")).select("path", "d.*")
 
 
-def manifest(spark: SparkSession, path: str) -> DataFrame:
-    """``path, size, sha256`` of files, with line ends normalised before hashing."""
-    text = F.regexp_replace(F.decode("content", "UTF-8"), "\r\n", "\n")
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", F.col("length").alias("size"), F.sha2(text.cast("binary"), 256).alias("sha256"))
+def log_tail(spark: SparkSession, path: str, state: dict) -> tuple[DataFrame, dict]:
+    """New lines ``(line)`` of a log that is rotated, and the state to pass next time:
+    ``signature`` of the head and ``offset`` read so far (bytes).
+
+    A first look starts at the end. A file that has another head, or is shorter than what
+    was read, is new and is read from its start; else reading goes on at the offset. Text
+    behind the last newline waits.
+    """
+    content = spark.read.format("binaryFile").load(path).select("content", "length", F.sha2(F.substring("content", 1, state.get("head", SIGNATURE_BYTES)), 256).alias("seen"), F.sha2(F.substring("content", 1, SIGNATURE_BYTES), 256).alias("signature"))
+    whole = F.length("content") - F.coalesce(F.locate("\n", F.reverse(F.decode("content", "ISO-8859-1"))), F.lit(0)) + 1
+    end = F.when(F.decode("content", "ISO-8859-1").contains("\n"), whole).otherwise(0)
+    row = content.select("length", "seen", "signature", end.cast("long").alias("end")).first()
+    fresh = {"signature": row.signature, "head": min(SIGNATURE_BYTES, row.length), "offset": row.end}
+    start = row.end if not state else 0 if row.seen != state["signature"] or row.length < state["offset"] else state["offset"]
+    part = content.select(F.substring(F.col("content"), F.lit(start + 1), F.lit(max(0, row.end - start))).cast("string").alias("text"))
+    return part.select(F.explode(F.split("text", "\n")).alias("line")).where("line != ''"), fresh
 
 
 def replay_key_values(log: DataFrame) -> DataFrame:
@@ -71,13 +90,6 @@ def newest_release(files: DataFrame, name: str, content: str) -> DataFrame:
     return parsed.where("app != '' and release_time is not null").groupBy("app").agg(F.max_by("version", F.struct("release_time", "version")).alias("version"), F.max("release_time").alias("release_time"))
 
 
-def cached_values(known: DataFrame, keys: DataFrame, fill) -> DataFrame:
-    """Values for ``keys``: from ``known (key, value)``, and made by ``fill`` (a DataFrame of
-    keys to one of key and value) for the others alone."""
-    missing = keys.join(known, "key", "left_anti")
-    return known.join(keys, "key", "left_semi").unionByName(fill(missing))
-
-
 def parse_flat_yaml(text: Column) -> Column:
     """A flat YAML mapping (fenced or not) as map<string,string>; nested values are left out."""
     body = F.regexp_replace(text, r"(?s)^.*?```(?:ya?ml)?\n(.*?)```.*$", "$1")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -17,7 +18,7 @@ def shared_dir(spark: SparkSession) -> str:
         current = context._jsc.sc().getCheckpointDir()
         where = current.get() if current.isDefined() else None
     if not where:
-        if not context.master.startswith("local["):
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         where = tempfile.mkdtemp(prefix="driftwood-")
         context.setCheckpointDir(where)

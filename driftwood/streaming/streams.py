@@ -6,19 +6,17 @@ session's time zone UTC.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from driftwood.operators import lww
-
-
-def file_stream(spark: SparkSession, path: str, schema, files_per_batch: int = 1) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+from driftwood.operators.archive import scan_verdict
+from driftwood.sources.files import read_pointer, swap_pointer
 
 
 def upsert_stream(log: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
@@ -42,11 +40,12 @@ def newest_by_key(stream: DataFrame, ttl_ms: int | None = None) -> DataFrame:
             return
         value, time, late = state.get if state.exists else (None, None, 0)
         for rows in batches:
-            for r in rows.sort_values("time", kind="stable").itertuples():
-                if time is None or r.time > time:
-                    value, time = r.value, r.time
-                else:
-                    late += 1
+            # of equal times the first counts; a time in order that is not known yet is news, all else is late
+            first = rows.sort_values("time", kind="stable").drop_duplicates("time")
+            fresh = first if time is None else first[first["time"] > time]
+            late += len(rows) - len(fresh)
+            if len(fresh):
+                value, time = float(fresh["value"].iloc[-1]), int(fresh["time"].iloc[-1])
         state.update((value, time, late))
         if ttl_ms:
             state.setTimeoutDuration(ttl_ms)
@@ -82,23 +81,30 @@ def pairs(refused: DataFrame, keys: DataFrame, within: str = "60 seconds") -> Da
     return a.join(b, near).select("process", "user", "print", "refused_at", "key_at")
 
 
-def delayed_writes(stream: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
-    """Coalesces writes (path, time, seq, size): of each trigger the last of each path."""
+def delayed_writes(stream: DataFrame, target: str, checkpoint: str, delay_seconds: int = 0) -> StreamingQuery:
+    """Coalesces writes (path, time, seq, size): of each trigger the last of each path, with
+    ``due``, the first write's time and the delay, and how many ``writes`` it stands for."""
 
     def put(batch: DataFrame, number: int) -> None:
-        last = batch.groupBy("path").agg(F.max_by(F.struct("time", "seq", "size"), F.struct("time", "seq")).alias("l"), F.count(F.lit(1)).alias("writes"))
-        last.select("path", "l.*", "writes").write.mode("overwrite").parquet(f"{target}/batch={number}")
+        last = batch.groupBy("path").agg(F.max_by(F.struct("time", "seq", "size"), F.struct("time", "seq")).alias("l"), F.min("time").alias("first"), F.count(F.lit(1)).alias("writes"))
+        due = F.col("first") + F.expr(f"interval {delay_seconds} seconds")
+        last.select("path", "l.*", due.alias("due"), "writes").write.mode("overwrite").parquet(f"{target}/batch={number}")
 
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def checked_listing(stream: DataFrame, expected, target: str, checkpoint: str) -> StreamingQuery:
-    """Takes listings in, but not one with less than half of what ``expected()`` says."""
+def checked_listing(stream: DataFrame, expected: Callable[[], int], target: str, checkpoint: str) -> StreamingQuery:
+    """Takes listings in. One with less than half of what ``expected()`` says fails its
+    batch, which the next start tries again; after SCAN_RETRIES failures it is accepted.
+    Attempts are kept beside the checkpoint, so they outlive the driver."""
 
     def put(batch: DataFrame, number: int) -> None:
-        rows = batch.count()
-        if rows * 2 < expected():
-            raise ValueError(f"a listing of {rows} rows is less than half of what is known; it is tried again")
+        spark, at = batch.sparkSession, f"{checkpoint}-attempts/batch={number}.json"
+        attempts = (read_pointer(spark, at) or {"attempts": 0})["attempts"]
+        rows = scan_verdict(batch, expected(), attempts).first()
+        if rows.verdict == "retry":
+            swap_pointer(spark, at, {"attempts": attempts + 1})
+            raise ValueError(f"a listing of {rows.n} rows is less than half of what is known; it is tried again")
         batch.write.mode("overwrite").parquet(f"{target}/batch={number}")
 
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

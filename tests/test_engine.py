@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from driftwood import model
 from driftwood.functions import filters, scalars
 from driftwood.operators import archive, lww, routing, vectors
-from driftwood.plans import compaction
 from driftwood.sources import files
 from driftwood.sources.collection import Collection
 from driftwood.sources.shared import shared_dir
@@ -108,13 +107,6 @@ def test_index_life(spark):
     assert {(r.path, r.state, r.size) for r in index.collect()} == {("p", "live", 5), ("q", "deleted", 0), ("s", "live", 3)}
 
 
-def test_compaction_steps():
-    quiet = {"log_bytes": 1, "loose_bytes": 1, "loose_files": 1, "combined_bytes": 1}
-    assert compaction.steps(quiet, 0.9, []) == []
-    busy = {"log_bytes": 1 << 30, "loose_bytes": 0, "loose_files": 30, "combined_bytes": 1 << 30}
-    assert [s["phase"] for s in compaction.steps(busy, 0.6, [])] == ["fold", "combine", "dedup"]
-
-
 def test_log_files(spark):
     at = f"{shared_dir(spark)}/logs-{uuid.uuid4().hex}"
     spark.createDataFrame([('{"kind": "a", "n": 1}',), ('{"kind": "b", "n"',), ("",)], "value string").coalesce(1).write.text(at)
