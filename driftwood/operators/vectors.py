@@ -28,7 +28,7 @@ ROUNDS = 4
 #: Bytes of centroids that the driver may hold and broadcast.
 CENTROID_BYTES = 64 << 20
 #: Share of the cells that a search of many queries probes.
-PROBE_SHARE = 0.5
+PROBE_SHARE = 0.75
 
 
 def norm(v: Column) -> Column:
