@@ -3,12 +3,12 @@
 The automaton's states are tokens (the last one read) and its arcs are labelled with the
 next token. It starts with every arc between the base symbols. Merges are compiled one
 after the other, each by a gadget: merging u and v makes a state w that is entered from
-where u was, is left to where v could go, and cuts the arc from u to v. What a gadget
-copies is not written out; a state keeps the number of its merge and its two parents, and
-an arc is found by going back through the gadgets to the time when both states were made.
-Found arcs are kept in a table. Of a word's prefix exactly one path ends at each position,
-so a word is encoded by one walk over the table, and decoding emits the arcs' labels. Which
-labels end at a position is found by a string matcher over all labels.
+where u was, is left to where v could go, and cuts the arc from u to v. States are numbered
+so that all copies of a cut are a rectangle, and the table keeps for every class of states
+the runs of next states that are cut. It is made once, when the vocabulary is loaded, and
+encoding does nothing but look arcs up in it. Of a word's prefix exactly one path ends at
+each position, so a word is encoded by one walk over the table, and decoding emits the
+arcs' labels. Which labels end at a position is found by a string matcher over all labels.
 """
 
 from __future__ import annotations
@@ -17,7 +17,8 @@ import json
 import re
 import unicodedata
 from array import array
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
 
@@ -48,25 +49,48 @@ def chunks(text: str) -> list[str]:
     return [x for x in _GAPS.split(text) if x] if _ODD.search(text) else text.split()
 
 
+def _numbered(copied_from: dict[int, int], states: Iterable[int], born: dict[int, int]) -> tuple[dict[int, int], dict[int, int], dict[int, list[int]]]:
+    """A number for each state, and the first number behind it and all that were copied
+    from it, directly or not. Copies follow their source, the latest first. Also the copies
+    of each state in that order."""
+    copies: dict[int, list[int]] = {}
+    for w in sorted(copied_from, key=born.__getitem__, reverse=True):
+        copies.setdefault(copied_from[w], []).append(w)
+    first, behind = {}, {}
+    for root in states:
+        if root in copied_from:
+            continue
+        stack = [root]
+        while stack:
+            x = stack.pop()
+            if x in first:
+                behind[x] = len(first)
+                continue
+            first[x] = len(first)
+            stack.append(x)
+            stack.extend(reversed(copies.get(x, ())))
+    return first, behind, copies
+
+
 class Automaton:
     """The automaton of an ordered list of merges, over symbols that are strings. With a
-    ``suffix``, the last symbol of a word bears it."""
+    ``suffix``, the last symbol of a word bears it. It is compiled when it is made; encoding
+    reads its tables and changes nothing."""
 
-    def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], suffix: str = "", arc_entries: int = 1 << 19):
+    def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], suffix: str = ""):
         self.suffix = suffix
         self.born: dict[int, int] = {}
         self.parents: dict[int, tuple[int, int]] = {}
         self.merged: dict[tuple[int, int], int] = {}
         for time, (u, v) in enumerate(merges):
-            self.add_gadget(time, vocab[u], vocab[v], vocab[u + v])
-        self.arcs: dict[int, bool] = {}
-        self.arc_entries = arc_entries
+            self._add_gadget(time, vocab[u], vocab[v], vocab[u + v])
         # states that can be reached: those of symbols, and of merges that nothing pre-empts
         whole: dict[int, bool] = {}
         for w, (u, v) in self.parents.items():
-            whole[w] = whole.get(u, True) and whole.get(v, True) and self._derive(u, v, self.born[w])
+            whole[w] = whole.get(u, True) and whole.get(v, True) and self._open_before(u, v, self.born[w])
         made = {u + v for u, v in merges}
         self.tokens = {t: i for t, i in vocab.items() if (whole[i] if i in whole else t not in made)}
+        self._compile(vocab.values())
         # which labels end at each symbol of a word, the longest first; the suffix counts as one symbol
         self.matcher = ahocorasick.Automaton()
         for t, i in self.tokens.items():
@@ -74,25 +98,16 @@ class Automaton:
             self.matcher.add_word(t[: -len(suffix)] + _LAST if last else t, (i, len(t) - (len(suffix) - 1) * last))
         if self.tokens:
             self.matcher.make_automaton()
+        del self.born, self.parents, self.merged
 
-    def add_gadget(self, time: int, u: int, v: int, w: int) -> None:
+    def _add_gadget(self, time: int, u: int, v: int, w: int) -> None:
         """Cuts the arc u -> v from ``time`` on; w, if new, gets u's way in and v's way out."""
         self.merged.setdefault((u, v), time)
         if w not in self.born:
             self.born[w], self.parents[w] = time, (u, v)
 
-    def arc(self, x: int, y: int) -> bool:
-        """Whether token y may follow token x after all merges."""
-        key = x << 24 | y
-        known = self.arcs.get(key)
-        if known is None:
-            if len(self.arcs) >= self.arc_entries:
-                self.arcs.clear()
-            known = self.arcs[key] = self._derive(x, y)
-        return known
-
-    def _derive(self, x: int, y: int, before: float = float("inf")) -> bool:
-        """Whether y may follow x after the merges ``before`` a time."""
+    def _open_before(self, x: int, y: int, before: int) -> bool:
+        """Whether the arc x -> y was there before a time, while gadgets are applied."""
         base = -1
         while True:
             if self.merged.get((x, y), before) < before:
@@ -101,9 +116,58 @@ class Automaton:
             if bx == by == base:
                 return True
             if bx > by:
-                before, x = min(before, bx), self.parents[x][1]  # x is left like its right part, when it was made
+                before, x = min(before, bx), self.parents[x][1]  # x was made as a copy of its right part
             else:
-                before, y = min(before, by + 1), self.parents[y][0]  # y is entered like its left part, just after
+                before, y = min(before, by + 1), self.parents[y][0]  # y as a copy of its left part, just after
+
+    def _compile(self, states: Iterable[int]) -> None:
+        """The transition table. A gadget's cut of u -> v holds for u, v and the states copied
+        from them later on. States are numbered, once by where their ways out and once by
+        where their ways in were copied from, so that these are runs of numbers: a cut is a
+        rectangle of the table. Rows between the same corners are one state class. For each
+        class the table has the runs of next states that are cut, flat and in order."""
+        states = sorted(states)
+        out, out_behind, out_copies = _numbered({w: v for w, (_, v) in self.parents.items()}, states, self.born)
+        into, into_behind, into_copies = _numbered({w: u for w, (u, _) in self.parents.items()}, states, self.born)
+
+        def run(first: dict, behind: dict, copies: dict, state: int, after: int) -> tuple[int, int]:
+            later = bisect_left(copies.get(state, ()), -after, key=lambda c: -self.born[c])
+            return first[state], behind[copies[state][later - 1]] if later else first[state] + 1
+
+        rows = [(*run(out, out_behind, out_copies, u, t), *run(into, into_behind, into_copies, v, t - 1)) for (u, v), t in self.merged.items()]
+        x0, x1, y0, y1 = np.array(rows, np.int64).reshape(-1, 4).T
+        corners = np.unique(np.concatenate(([0, len(out)], x0, x1)))
+        used = np.zeros(len(out) + 1, np.int64)  # classes of no state that a word can be in are left out
+        ends = {i for t, i in self.tokens.items() if self.suffix and t.endswith(self.suffix)}
+        used[[out[i] for i in self.tokens.values() if i not in ends]] = 1
+        live = np.add.reduceat(used, corners[:-1]) > 0 if len(corners) > 1 else np.zeros(0, bool)
+        number = np.concatenate(([0], np.cumsum(live)))
+        lo, hi = number[np.searchsorted(corners, x0)], number[np.searchsorted(corners, x1)]
+        size = hi - lo
+        at = np.repeat(lo - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        a, b = np.repeat(y0, size), np.repeat(y1, size)
+        order = np.lexsort((a, at))
+        at, a, b = at[order], a[order], b[order]
+        width = len(into) + 1  # runs of one class that overlap or touch become one
+        top = np.maximum.accumulate(at * width + b) if len(at) else b
+        fresh = np.concatenate(([True], at[1:] * width + a[1:] > top[:-1])) if len(at) else np.zeros(0, bool)
+        starts = np.flatnonzero(fresh)
+        stops = top[np.concatenate((starts[1:] - 1, [len(at) - 1]))] - at[starts] * width if len(at) else b
+        bounds = np.stack((a[starts], stops), axis=1).ravel()
+        per_class = np.bincount(at[starts], minlength=int(number[-1])) * 2
+        self.bounds = array("i", bounds.astype(np.int32).tobytes())
+        self.class_start = array("i", np.concatenate(([0], np.cumsum(per_class))).astype(np.int32).tobytes())
+        most = max(states, default=-1) + 1
+        self.class_of, self.column = array("i", bytes(4 * most)), array("i", bytes(4 * most))
+        for i in states:
+            self.class_of[i] = number[np.searchsorted(corners, out[i], "right") - 1]
+            self.column[i] = into[i]
+
+    def arc(self, x: int, y: int) -> bool:
+        """Whether token y may follow token x: its column is in no run that x's class cuts."""
+        c = self.class_of[x]
+        start = self.class_start[c]
+        return not (bisect_right(self.bounds, self.column[y], start, self.class_start[c + 1]) - start) & 1
 
     def encode(self, text: str) -> list[int]:
         """The tokens of a word: at each position the one token that ends a valid path."""
@@ -112,7 +176,7 @@ class Automaton:
             return [whole]
         if not text:
             return []
-        n, arcs = len(text) + bool(self.suffix), self.arcs
+        n, bounds, starts, classes, columns = len(text) + bool(self.suffix), self.bounds, self.class_start, self.class_of, self.column
         state, start = [-1] * (n + 1), [0] * (n + 1)
         if self.suffix:
             state[n - 1] = -2  # no path ends there: the last symbol bears the suffix
@@ -124,11 +188,11 @@ class Automaton:
             before = state[j - size]
             if before < 0:
                 continue
-            known = arcs.get(before << 24 | token)
-            if known is None:
-                known = self.arc(before, token)
-            if known:
-                state[j], start[j] = token, j - size
+            if before != _BEGIN:
+                first = starts[c := classes[before]]
+                if (bisect_right(bounds, columns[token], first, starts[c + 1]) - first) & 1:
+                    continue
+            state[j], start[j] = token, j - size
         if state[n] < 0:
             raise ValueError(f"no path for {text!r}")
         out, j = [], n

@@ -1,5 +1,6 @@
 """Token counts, language ID, BPE and LM scores against the libraries and plain Python."""
 
+import hashlib
 import math
 import random
 from collections import Counter
@@ -75,6 +76,31 @@ def test_bpe_any_text(text):
     assert bpe.decode_ids(pa.array([ids], pa.list_(pa.int32())), bpe.labels(WORD)).to_pylist() == [ref.decode(ids, skip_special_tokens=False)]
 
 
+def test_bpe_query(spark, sf):
+    """The query's digests are those of what the library gives; an empty table gives none."""
+    docs = table(spark, sf, "documents")
+    digest = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    want = []
+    for d in docs.collect():
+        ids = REF.encode(d.text or "", add_special_tokens=False).ids
+        want.append((d.doc_id, len(ids), digest(" ".join(map(str, ids))), digest(REF.decode(ids, skip_special_tokens=False))))
+    assert by_id(queries()["op8_bpe"](spark, sf).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect()) == by_id(want)
+    empty = bpe.encode(docs.where("false"), WORD, keep=["doc_id"])
+    assert empty.count() == 0 and bpe.decode(empty, WORD, keep=["doc_id"]).count() == 0
+    assert token_counts.token_counts(docs.where("false"), PIECE).count() == 0
+
+
+def test_table_is_compiled_once():
+    """There is a table after loading, and encoding changes nothing in it."""
+    made = bpe.WordCodec(WORD).automaton
+    tables = lambda: tuple(map(bytes, (made.bounds, made.class_start, made.class_of, made.column)))
+    before, kept = tables(), set(vars(made))
+    assert len(made.bounds) > 100_000 and len(made.class_start) > 1000
+    for word in ("internationalisation", "xqzjkv", "aaaaaaaaaa", "déjà".encode().decode("latin-1")):
+        made.encode(word.replace("\xa0", "x").replace("\xc3", "x").replace("\xa9", "x"))
+    assert tables() == before and set(vars(made)) == kept
+
+
 def test_bpe_decode_odd():
     ids = pa.array([[320, None, -5, 10**6, 321], None, [], [49406, 320]], pa.list_(pa.int32()))
     known = bpe.labels(WORD)
