@@ -28,22 +28,46 @@ def derive_calls(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     A user turn calls the tool ``answer`` with its text, a system turn ``configure``; the
     call's identifier is conv_id:turn. An assistant turn is a result and names the turn just
-    before it. A user turn depends on the call two turns earlier. Null roles are skipped, a
-    null text is left out of the arguments.
+    before it. Rows of other roles, and of none, are neither. A null text is left out of the
+    arguments.
+
+    What calls depend on and how their arguments break the schemas follows from numbers, so
+    that all cases come up: by conv_id modulo 4, user calls depend on the one before (0), on
+    the one after (1), on each other in pairs (2), or every other one on the one after and
+    all on a call that is not there (3). Conversations of some other moduli write the turn as
+    text, leave out the text, add a parameter, call an unknown tool or pass a list.
     """
-    turns = conversations.select(F.col("conv_id").cast("string").alias("conv_id"), F.col("turn").cast("long").alias("seq"), "role", "text")
-    name = lambda back: F.concat("conv_id", F.lit(":"), (F.col("seq") - back).cast("string"))
-    arguments = F.when(F.col("role") == "user", F.to_json(F.struct(F.col("text").alias("query"), F.col("seq").alias("turn")))).otherwise(F.to_json(F.struct(F.col("text").alias("instructions"))))
+    turns = conversations.select(F.col("conv_id").cast("string").alias("conv_id"), F.coalesce(F.col("conv_id").cast("long"), F.lit(0)).alias("n"), F.col("turn").cast("long").alias("seq"), "role", "text")
+    name = lambda by: F.concat("conv_id", F.lit(":"), (F.col("seq") + by).cast("string"))
+    every = lambda k: F.col("n") % k == 0
+    size = F.coalesce(F.length("text"), F.lit(0))
+    text = F.when(~every(11), F.col("text"))
+    style = F.element_at(F.array(F.lit("short"), F.lit("long"), F.lit("loud")), (size % 3 + 1).cast("int"))
+    number = (F.col("seq") - 1).alias("turn")
+    extra = F.when(every(5), F.lit(True)).alias("debug")
+    answer = F.to_json(F.struct(text.alias("query"), style.alias("style"), number, extra))
+    worded = F.to_json(F.struct(text.alias("query"), style.alias("style"), number.cast("string").alias("turn"), extra))
+    configure = F.to_json(F.struct(text.alias("instructions"), ((size % 12) / 10).alias("temperature"), extra))
+    user = F.col("role") == "user"
+    arguments = F.when(every(17), F.to_json(F.array("text"))).when(user & (F.col("n") % 7 == 1), worded).when(user, answer).otherwise(configure)
+    odd = F.floor(F.col("seq") / 2) % 2 == 1
+    kind = F.col("n") % 4
+    before, after = F.array(name(-2)), F.array(name(2))
+    depends = F.when(kind == 0, before).when(kind == 1, after).when(kind == 2, F.when(odd, before).otherwise(after))
+    depends = depends.otherwise(F.concat(F.when(odd, F.array().cast("array<string>")).otherwise(after), F.array(F.lit("gone"))))
     calls = turns.where("role in ('user', 'system')").select(
-        "conv_id", "seq", name(0).alias("call_id"), F.when(F.col("role") == "user", "answer").otherwise("configure").alias("name"), arguments.alias("arguments"),
-        F.when((F.col("role") == "user") & (F.col("seq") >= 2), F.array(name(2))).otherwise(F.array().cast("array<string>")).alias("depends_on"),
+        "conv_id", "seq", name(0).alias("call_id"), F.when(every(13), "ask").when(user, "answer").otherwise("configure").alias("name"), arguments.alias("arguments"),
+        F.when(user, depends).otherwise(F.array().cast("array<string>")).alias("depends_on"),
     )
-    return calls, turns.where("role = 'assistant'").select("conv_id", "seq", name(1).alias("call_id"), F.col("text").alias("content"))
+    return calls, turns.where("role = 'assistant'").select("conv_id", "seq", name(-1).alias("call_id"), F.col("text").alias("content"))
 
 
 def conversation_tools(spark: SparkSession) -> DataFrame:
     """Schemas of the two tools of ``derive_calls``."""
-    rows = [("answer", "query", "string", True, 1, None, None, None), ("answer", "turn", "integer", True, None, 0.0, None, None), ("configure", "instructions", "string", True, 1, None, None, None)]
+    rows = [
+        ("answer", "query", "string", True, 25, None, None, None), ("answer", "turn", "integer", True, None, 0.0, None, None), ("answer", "style", "string", False, None, None, None, ["short", "long"]),
+        ("configure", "instructions", "string", True, 1, None, None, None), ("configure", "temperature", "number", True, None, 0.0, 1.0, None),
+    ]
     return spark.createDataFrame(rows, PARAMS)
 
 
@@ -99,7 +123,8 @@ def order(calls: DataFrame) -> DataFrame:
     ``level`` counts steps back through calls that are ready at the same time. Sorting by
     (ready, level, seq, call_id) puts every call after its dependencies, and keeps the
     written order where that does so already. Dependencies on calls that are not there are
-    passed over. Calls on or behind a circle are ``cyclic`` and have level null (last).
+    passed over. Calls on a circle are ``cyclic`` and have level null (last), and so have
+    those behind it that are ready at the same time; later ones come after it.
     Rounds grow with the longest chain of dependencies that are written too late; without
     such there is none.
     """
@@ -111,27 +136,29 @@ def order(calls: DataFrame) -> DataFrame:
     nodes = written(nodes)
     if late.isEmpty():
         return nodes.select("conv_id", "call_id", "ready", F.lit(0).alias("level"), F.lit(False).alias("cyclic"))
-    edges = written(edges.select("conv_id", "call_id", "dep"))
-    while True:  # ready times run along the edges until none rises
-        source = nodes.select("conv_id", F.col("call_id").alias("dep"), F.col("ready").alias("dep_ready"))
-        rise = written(edges.join(source, ["conv_id", "dep"]).join(nodes, ["conv_id", "call_id"]).where("dep_ready > ready").groupBy("conv_id", "call_id").agg(F.max("dep_ready").alias("up")))
-        if rise.isEmpty():
-            break
-        nodes = written(nodes.join(rise, ["conv_id", "call_id"], "left").select("conv_id", "call_id", F.coalesce("up", "ready").alias("ready")))
-    source = nodes.select("conv_id", F.col("call_id").alias("dep"), F.col("ready").alias("dep_ready"))
-    tied = written(edges.join(source, ["conv_id", "dep"]).join(nodes, ["conv_id", "call_id"]).where("dep_ready = ready").select("conv_id", "call_id", "dep"))
-    levels, left, level = nodes.join(tied, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(0)), tied, 0
+    key, edges = ["conv_id", "call_id"], written(edges.select("conv_id", "call_id", "dep"))
+    as_dep = lambda df: df.select("conv_id", F.col("call_id").alias("dep"), F.col("ready").alias("dep_ready"))
+    rose = True
+    while rose:  # ready times run along the edges until none rises
+        latest = edges.join(as_dep(nodes), ["conv_id", "dep"]).groupBy(*key).agg(F.max("dep_ready").alias("up"))
+        nodes = written(nodes.join(latest, key, "left").select(*key, F.greatest("ready", "up").alias("ready"), (F.col("up") > F.col("ready")).alias("rose")))
+        rose, nodes = not nodes.where("rose").isEmpty(), nodes.drop("rose")
+    tied = edges.join(as_dep(nodes), ["conv_id", "dep"]).join(nodes, key).where("dep_ready = ready").select(*key, "dep")
+    left, level, levels = written(tied), 0, []
+    plain = nodes.join(left, key, "left_anti").withColumn("level", F.lit(0))
     while True:  # then calls without an open dependency are taken off, level by level
         level += 1
-        open_ = written(left.join(left.select("conv_id", F.col("call_id").alias("dep")).distinct(), ["conv_id", "dep"], "left_semi"))
-        taken = left.select("conv_id", "call_id").distinct().join(open_, ["conv_id", "call_id"], "left_anti")
-        taken = written(taken)
+        owners = left.select("conv_id", F.col("call_id").alias("dep"), F.lit(True).alias("is_open")).distinct()
+        seen = left.join(owners, ["conv_id", "dep"], "left")
+        waits = seen.groupBy(*key).agg(F.max(F.coalesce("is_open", F.lit(False))).alias("waits"))
+        marked = written(left.join(waits, key))
+        taken, left = marked.where("not waits").select(*key).distinct(), marked.where("waits").drop("waits")
         if taken.isEmpty():
             break
-        levels = levels.unionByName(nodes.join(taken, ["conv_id", "call_id"], "left_semi").withColumn("level", F.lit(level)))
-        left = written(left.join(taken, ["conv_id", "call_id"], "left_anti"))
-    rest = nodes.join(left, ["conv_id", "call_id"], "left_semi").withColumn("level", F.lit(None).cast("int"))
-    return levels.withColumn("cyclic", F.lit(False)).unionByName(rest.withColumn("cyclic", F.lit(True)))
+        levels.append(taken.withColumn("level", F.lit(level)))
+    found = reduce(DataFrame.unionByName, [nodes.join(t, key) for t in levels], plain)
+    rest = nodes.join(left, key, "left_semi").withColumn("level", F.lit(None).cast("int"))
+    return found.withColumn("cyclic", F.lit(False)).unionByName(rest.withColumn("cyclic", F.lit(True)))
 
 
 def canonical_json(df: DataFrame, **fields: str | Column) -> Column:

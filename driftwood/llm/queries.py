@@ -38,28 +38,56 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls, results = chat_format.derive_calls(table(spark, sf_dir, "conversations"))
     out = chat_format.format_calls(calls, results, chat_format.conversation_tools(spark))
-    return out.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("seq").alias("turn"), "call_id", F.col("name").alias("tool"), "ready", "n_results", F.array_join("violations", ",").alias("violations"), F.sha2("message", 256).alias("message_sha256"), F.length("message").cast("long").alias("message_chars"))
+    return out.select(
+        F.col("conv_id").cast("long").alias("conv_id"), F.col("seq").alias("turn"), "call_id", F.col("name").alias("tool"), "ready", F.col("level").cast("long").alias("level"), "cyclic", "n_results",
+        F.array_join("violations", ",").alias("violations"), F.sha2("message", 256).alias("message_sha256"), F.length("message").cast("long").alias("message_chars"),
+    )
 
 
 OP4_SQL = """
-WITH calls AS (
-  SELECT conv_id, turn, conv_id || ':' || turn AS call_id, CASE WHEN role = 'user' THEN 'answer' ELSE 'configure' END AS tool, text,
-         CASE WHEN role = 'user' THEN 'query' ELSE 'instructions' END AS field
+WITH RECURSIVE calls AS (
+  SELECT conv_id, turn, role, text, conv_id || ':' || turn AS call_id, coalesce(length(text), 0) AS size,
+         CASE WHEN conv_id % 13 = 0 THEN 'ask' WHEN role = 'user' THEN 'answer' ELSE 'configure' END AS tool, turn // 2 % 2 = 1 AS odd
   FROM conversations WHERE role IN ('user', 'system')
 ), results AS (
-  SELECT conv_id, conv_id || ':' || (turn - 1) AS call_id, count(*) AS n_results, arg_min(coalesce(to_json(text), 'null'), (turn, text)) AS result
+  SELECT conv_id, turn - 1 AS turn, count(*) AS n_results, arg_min(coalesce(to_json(text), 'null'), (turn, text)) AS result
   FROM conversations WHERE role = 'assistant' GROUP BY 1, 2
+), edges AS (  -- a call and one it depends on
+  SELECT a.conv_id, a.turn AS x, b.turn AS y FROM calls a JOIN calls b ON a.conv_id = b.conv_id AND a.role = 'user'
+  WHERE (b.turn = a.turn - 2 AND (a.conv_id % 4 = 0 OR (a.conv_id % 4 = 2 AND a.odd)))
+     OR (b.turn = a.turn + 2 AND (a.conv_id % 4 = 1 OR (a.conv_id % 4 IN (2, 3) AND NOT a.odd)))
+), reach AS (SELECT * FROM edges UNION SELECT r.conv_id, r.x, e.y FROM reach r JOIN edges e ON e.conv_id = r.conv_id AND e.x = r.y
+), times AS (
+  SELECT c.conv_id, c.turn, greatest(c.turn, coalesce(max(r.y), c.turn)) AS ready FROM calls c LEFT JOIN reach r ON r.conv_id = c.conv_id AND r.x = c.turn GROUP BY 1, 2
+), tied AS (
+  SELECT e.* FROM edges e JOIN times a ON a.conv_id = e.conv_id AND a.turn = e.x JOIN times b ON b.conv_id = e.conv_id AND b.turn = e.y WHERE a.ready = b.ready
+), closed AS (SELECT * FROM tied UNION SELECT r.conv_id, r.x, e.y FROM closed r JOIN tied e ON e.conv_id = r.conv_id AND e.x = r.y
+), circles AS (SELECT conv_id, x FROM closed WHERE x = y UNION SELECT r.conv_id, r.x FROM closed r JOIN closed c ON c.conv_id = r.conv_id AND c.x = c.y AND c.x = r.y
+), paths AS (
+  SELECT conv_id, x, y, 1::BIGINT AS steps FROM tied WHERE (conv_id, x) NOT IN (SELECT conv_id, x FROM circles)
+  UNION SELECT p.conv_id, p.x, e.y, p.steps + 1 FROM paths p JOIN tied e ON e.conv_id = p.conv_id AND e.x = p.y
+), levels AS (SELECT conv_id, x, max(steps) AS level FROM paths GROUP BY 1, 2
+), args AS (
+  SELECT *, CASE WHEN conv_id % 11 = 0 THEN NULL ELSE text END AS said, ['short', 'long', 'loud'][1 + size % 3] AS style,
+         CASE WHEN size % 12 = 0 THEN '0' WHEN size % 12 = 10 THEN '1' WHEN size % 12 = 11 THEN '1.1' ELSE '0.' || (size % 12) END AS temperature FROM calls
 ), checked AS (
-  SELECT c.conv_id, c.turn, c.call_id, c.tool, c.turn AS ready, coalesce(r.n_results, 0) AS n_results,
-         CASE WHEN c.text IS NULL THEN 'missing:' || c.field WHEN c.text = '' THEN 'minLength:' || c.field ELSE '' END AS violations,
-         '{' || CASE WHEN c.text IS NULL THEN '' ELSE '"' || c.field || '":' || to_json(c.text) END
-             || CASE WHEN c.tool = 'answer' THEN CASE WHEN c.text IS NULL THEN '' ELSE ',' END || '"turn":' || c.turn ELSE '' END || '}' AS arguments,
-         coalesce(r.result, 'null') AS result
-  FROM calls c LEFT JOIN results r ON r.conv_id = c.conv_id AND r.call_id = c.call_id
+  SELECT a.*, t.ready, coalesce(r.n_results, 0) AS n_results, coalesce(r.result, 'null') AS result, c.x IS NOT NULL AS cyclic, CASE WHEN c.x IS NULL THEN coalesce(l.level, 0) END AS level,
+         CASE WHEN a.conv_id % 17 = 0 THEN ['object:'] WHEN a.conv_id % 13 = 0 THEN ['tool:'] WHEN role = 'user' THEN [
+           CASE WHEN style = 'loud' THEN 'enum:style' END, CASE WHEN length(said) < 25 THEN 'minLength:query' END, CASE WHEN a.turn < 1 AND a.conv_id % 7 <> 1 THEN 'minimum:turn' END,
+           CASE WHEN said IS NULL THEN 'missing:query' END, CASE WHEN a.conv_id % 7 = 1 THEN 'type:turn' END, CASE WHEN a.conv_id % 5 = 0 THEN 'unknown:debug' END]
+         ELSE [CASE WHEN size % 12 = 11 THEN 'maximum:temperature' END, CASE WHEN length(said) < 1 THEN 'minLength:instructions' END, CASE WHEN said IS NULL THEN 'missing:instructions' END,
+           CASE WHEN a.conv_id % 5 = 0 THEN 'unknown:debug' END] END AS broken,
+         CASE WHEN a.conv_id % 17 = 0 THEN to_json(to_json([text])::VARCHAR)::VARCHAR ELSE '{' || array_to_string(list_filter(CASE WHEN role = 'user' THEN [
+           CASE WHEN a.conv_id % 5 = 0 THEN '"debug":true' END, '"query":' || to_json(said)::VARCHAR, '"style":"' || style || '"',
+           '"turn":' || CASE WHEN a.conv_id % 7 = 1 THEN '"' || (a.turn - 1) || '"' ELSE (a.turn - 1)::VARCHAR END]
+         ELSE [CASE WHEN a.conv_id % 5 = 0 THEN '"debug":true' END, '"instructions":' || to_json(said)::VARCHAR, '"temperature":' || temperature] END, lambda f: f IS NOT NULL), ',') || '}' END AS arguments
+  FROM args a JOIN times t USING (conv_id, turn) LEFT JOIN results r USING (conv_id, turn)
+  LEFT JOIN circles c ON c.conv_id = a.conv_id AND c.x = a.turn LEFT JOIN levels l ON l.conv_id = a.conv_id AND l.x = a.turn
 ), messages AS (
-  SELECT *, '{"arguments":' || arguments || ',"call_id":' || to_json(call_id) || ',"name":"' || tool || '","result":' || result || ',"valid":' || CASE WHEN violations = '' THEN 'true' ELSE 'false' END || '}' AS message FROM checked
+  SELECT *, array_to_string(list_filter(broken, lambda b: b IS NOT NULL), ',') AS violations,
+         '{"arguments":' || arguments || ',"call_id":"' || call_id || '","name":"' || tool || '","result":' || result || ',"valid":' || CASE WHEN len(list_filter(broken, lambda b: b IS NOT NULL)) = 0 THEN 'true' ELSE 'false' END || '}' AS message FROM checked
 )
-SELECT conv_id, turn, call_id, tool, ready, n_results, violations, sha256(message) AS message_sha256, length(message) AS message_chars FROM messages
+SELECT conv_id, turn, call_id, tool, ready, level, cyclic, n_results, violations, sha256(message) AS message_sha256, length(message) AS message_chars FROM messages
 """
 
 

@@ -347,11 +347,21 @@ def test_chat_odd_turns(spark):
     turns = [(1, 0, "user", None), (1, 1, "assistant", None), (1, 2, "user", ""), (1, 3, "assistant", "x"), (1, 3, "assistant", "x"), (None, 0, "user", "q"), (2, 0, None, "q"), (2, 1, "system", "é \x7f\x01\\"), (2, None, "user", "q")]
     rows = spark.createDataFrame([(*t, "extra") for t in turns], "conv_id long, turn long, role string, text string, message string")
     got = chat_format.format_calls(*chat_format.derive_calls(rows), chat_format.conversation_tools(spark)).collect()
-    assert sorted((str(r.call_id), r.n_results, ",".join(r.violations)) for r in got) == [("1:0", 1, "missing:query"), ("1:2", 2, "minLength:query"), ("2:1", 0, ""), ("None", 0, ""), ("None", 0, "missing:turn")]
+    assert sorted((str(r.call_id), r.n_results, ",".join(r.violations)) for r in got) == [
+        ("1:0", 1, "missing:query,type:turn"), ("1:2", 2, "minLength:query,type:turn"), ("2:1", 0, ""), ("None", 0, "minLength:query,missing:turn"), ("None", 0, "object:")
+    ]
     empty = rows.where("false")
     assert chat_format.format_calls(*chat_format.derive_calls(empty), chat_format.conversation_tools(spark)).count() == 0
 
 
+def test_chat_query_orders_and_finds_faults(spark):
+    """The registered query has late, tied and circular calls and every kind of fault."""
+    rows = queries.queries()["op4_chat_format"](spark, "/root/testdata/sf0.01").collect()
+    assert any(r.ready > r.turn for r in rows) and {r.level for r in rows} >= {None, 0, 1, 2} and {r.cyclic for r in rows} == {True, False}
+    kinds = {v.split(":")[0] for r in rows for v in r.violations.split(",") if v}
+    assert kinds >= {"enum", "minLength", "minimum", "missing", "type", "unknown", "object", "tool", "maximum"} and any(not r.violations for r in rows)
+
+
 # --- queries against their SQL -----------------------------------------------------------
 
 
