@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -36,18 +37,36 @@ def _folded() -> np.ndarray:
     return out
 
 
+#: So many letters' vectors are kept, 8 MB at 1024 dimensions; others are drawn again.
+_KEPT = 8192
+
+
+class Model(NamedTuple):
+    """Languages in order and a prototype each, with what their vectors were made by."""
+
+    langs: list[str]
+    prototypes: np.ndarray
+    n: int
+    seed: int
+
+
 class Space:
     """The random vectors: ``dim`` entries for each letter, drawn from its code point."""
 
     def __init__(self, dim: int, n: int, seed: int):
         self.dim, self.n, self.seed, self._letters = dim, n, seed, {}
 
+    def _letter(self, code: int) -> np.ndarray:
+        found = self._letters.get(code)
+        if found is None:
+            if len(self._letters) >= _KEPT:
+                self._letters.clear()
+            found = self._letters[code] = 2 * np.random.default_rng([self.seed, code]).integers(0, 2, self.dim, dtype=np.int8) - 1
+        return found
+
     def letters(self, codes: np.ndarray, rotation: int) -> np.ndarray:
-        for c in codes.tolist():
-            if c not in self._letters:
-                bits = np.random.default_rng([self.seed, c]).integers(0, 2, self.dim, dtype=np.int8)
-                self._letters[c] = (2 * bits - 1).astype(np.float32)
-        return np.stack([np.roll(self._letters[c], rotation) for c in codes.tolist()]) if len(codes) else np.zeros((0, self.dim), np.float32)
+        rows = [self._letter(c) for c in codes.tolist()]
+        return np.roll(np.stack(rows), rotation, axis=1).astype(np.float32) if rows else np.zeros((0, self.dim), np.float32)
 
     def grams(self, codes: np.ndarray) -> np.ndarray:
         """A row for each n-gram code: rotated letter vectors multiplied together."""
@@ -102,8 +121,8 @@ def vectors(texts: list[str], space: Space, step: int = 4096) -> np.ndarray:
     return out
 
 
-def train(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", dim: int = 1024, n: int = 3, seed: int = 11) -> tuple[list[str], np.ndarray]:
-    """Languages in order and their prototypes, from all rows whose language is not null.
+def train(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", dim: int = 1024, n: int = 3, seed: int = 11) -> Model:
+    """The model of all rows whose language is not null.
 
     Each task sums its own rows by language, so what is shuffled is a vector for each task
     and language; the driver gets one for each language. Sums are of integers, hence the
@@ -126,14 +145,14 @@ def train(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", di
     out, at = np.zeros((len(langs), dim)), {x: i for i, x in enumerate(langs)}
     for lang, place, total in zip(*(sums.column(c).to_pylist() for c in ("lang", "place", "total")), strict=True):
         out[at[lang], place] = total
-    return langs, out
+    return Model(langs, out, n, seed)
 
 
-def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], *, keep: list[str], text_col: str = "text", n: int = 3, seed: int = 11) -> DataFrame:
+def predict(docs: DataFrame, model: Model, *, keep: list[str], text_col: str = "text") -> DataFrame:
     """The columns ``keep`` with ``lang_pred`` and ``score``, the cosine (0 where it is
     negative). A null text, one without letters, or a model without languages gives ``und``
     and 0. Equal cosines: the first language in code-point order."""
-    langs, prototypes = model
+    langs, prototypes, n, seed = model
     length = np.linalg.norm(prototypes, axis=1, keepdims=True)
     unit = (prototypes / np.where(length, length, 1)).T
     dim = prototypes.shape[1]

@@ -149,6 +149,46 @@ def test_language_vectors_brute_force(make):
     assert not language_id.vectors(["", "1 2", "\n"], space).any()
 
 
+def test_language_predictions_by_brute_force(spark, sf):
+    """Every row's language and score, from trigram counts and vectors in plain numpy."""
+    rows = [(r.doc_id, r.text, r.lang) for r in table(spark, sf, "documents").collect()]
+    space = language_id.Space(1024, 3, 11)
+    cached = {}
+
+    def gram(g):
+        if g not in cached:
+            cached[g] = np.prod([np.roll(space.letters(np.array([ord(c)]), 0)[0], 2 - k) for k, c in enumerate(g)], axis=0)
+        return cached[g]
+
+    def vector(text):
+        letters = " " + "".join((c.lower() if len(c.lower()) == 1 else c) if c.isalpha() else " " for c in text or "") + " "
+        letters = " " + " ".join(letters.split()) + " " if letters.strip() else ""
+        out = np.zeros(1024)
+        for g, n in Counter(letters[i : i + 3] for i in range(len(letters) - 2)).items():
+            out += n * gram(g)
+        return out
+
+    found = {i: vector(t) for i, t, _ in rows}
+    sums = {}
+    for i, _, lang in rows:
+        if lang is not None and crc32(str(i).encode()) % 4 != 2:
+            sums[lang] = sums.get(lang, 0) + found[i]
+    got = {r.doc_id: (r.lang_pred, r.score) for r in queries()["op2_language_id"](spark, sf).collect()}
+    for i, _, _ in rows:
+        size = np.linalg.norm(found[i])
+        close = {k: float(found[i] @ v) / np.linalg.norm(v) / size for k, v in sums.items()} if size else {}
+        best = max(sorted(close), key=close.get) if close else "und"
+        assert got[i][0] == best and math.isclose(got[i][1], max(close.get(best, 0.0), 0.0), abs_tol=1e-9)
+
+
+def test_language_kept_letters_do_not_matter(monkeypatch):
+    space, few = language_id.Space(64, 3, 1), language_id.Space(64, 3, 1)
+    text = "".join(chr(0x4E00 + i * 7 % 500) for i in range(900))
+    whole = language_id.vectors([text], space)
+    monkeypatch.setattr(language_id, "_KEPT", 3)
+    assert (language_id.vectors([text], few) == whole).all() and len(few._letters) <= 3
+
+
 def test_language_pieces_do_not_matter(monkeypatch):
     space = language_id.Space(64, 3, 1)
     text = "".join(random.Random(1).choice("ab c,é\n") for _ in range(500))
