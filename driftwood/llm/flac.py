@@ -217,6 +217,10 @@ def metadata(stream: bytes) -> tuple[dict, np.ndarray, int]:
     return info, np.stack([table[c].astype(np.int64) for c in "son"], axis=1).reshape(-1, 3), at
 
 
+class _OtherMake(ValueError):
+    """A frame that is not as ``encode_many`` writes it, by intent or by damage."""
+
+
 class _Windows:
     """Reads up to 25 bits at any bit position of a byte array, for many at once."""
 
@@ -228,19 +232,20 @@ class _Windows:
         return ((self.words[at >> 3] << (at & 7).astype(np.uint32)) >> np.asarray(32 - np.asarray(count), np.uint32)).astype(np.int64) if not np.isscalar(count) or count else np.zeros(len(at), np.int64)
 
 
+def _decode_any(stream: bytes) -> bytes:
+    info, samples = decode_stream(stream)
+    if info["channels"] != 1 or info["bits"] != 8:
+        raise ValueError("not a stream of 8-bit mono samples")
+    return (samples[0] + 128).astype(np.uint8).tobytes()
+
+
 def decode_many(streams: list[bytes]) -> list[bytes]:
     """The unsigned 8-bit samples of streams as ``encode_many`` writes them (mono, 8 bits, a
     seek point for each frame, one Rice partition a frame). Frame checksums, sample counts
     and the MD5 are verified. Streams of other makes go through ``decode_stream``."""
     metas = [metadata(s) for s in streams]
     easy = [m[0]["channels"] == 1 and m[0]["bits"] == 8 and len(m[1]) > 0 and int(m[1][:, 2].sum()) == m[0]["samples"] for m in metas]
-    out: list[bytes] = [b""] * len(streams)
-    for i, ok in enumerate(easy):
-        if not ok:
-            info, samples = decode_stream(streams[i])
-            if info["channels"] != 1 or info["bits"] != 8:
-                raise ValueError("not a stream of 8-bit mono samples")
-            out[i] = (samples[0] + 128).astype(np.uint8).tobytes()
+    out: list[bytes] = [_decode_any(s) if not ok else b"" for s, ok in zip(streams, easy, strict=True)]
     chosen = [i for i, ok in enumerate(easy) if ok]
     if not chosen:
         return out
@@ -255,7 +260,13 @@ def decode_many(streams: list[bytes]) -> list[bytes]:
         numbers.append(np.arange(len(points)))
         base += len(streams[i])
     start, stop, size, number = (np.concatenate(x) for x in (starts, stops, sizes, numbers))
-    pcm = np.concatenate([_decode_frames(data, start[lo : lo + GROUP], stop[lo : lo + GROUP], size[lo : lo + GROUP], number[lo : lo + GROUP]) for lo in range(0, len(start), GROUP)])
+    cuts = [slice(lo, lo + GROUP) for lo in range(0, len(start), GROUP)]
+    try:
+        pcm = np.concatenate([_decode_frames(data, start[c], stop[c], size[c], number[c]) for c in cuts])
+    except _OtherMake:
+        for i in chosen:
+            out[i] = _decode_any(streams[i])
+        return out
     at_frame = 0
     for i in chosen:
         info, points, _ = metas[i]
@@ -275,7 +286,7 @@ def _decode_frames(data: np.ndarray, start: np.ndarray, stop: np.ndarray, size:
         raise ValueError("a frame's CRC-16 is wrong")
     heads = [_frame_header(n, s) for n, s in zip(number.tolist(), size.tolist(), strict=True)]
     if any(data[a : a + len(h)].tobytes() != h for a, h in zip(start.tolist(), heads, strict=True)):
-        raise ValueError("a frame's header does not fit its seek point")
+        raise _OtherMake("a frame's header does not fit its seek point")
     first = int(start.min())
     data, start = data[first : int(stop.max())], start - first
     bits = _Windows(data)
@@ -284,7 +295,7 @@ def _decode_frames(data: np.ndarray, start: np.ndarray, stop: np.ndarray, size:
     at = at + 8
     order = np.where(kind >= 64, ((kind >> 1) & 31) + 1, (kind >> 1) & 7)
     if not np.isin(kind, (0b01001110, 0b00010010, 0b00010000)).all():
-        raise ValueError("a subframe is of a type that this decoder leaves to decode_stream")
+        raise _OtherMake("a subframe is of a type that this decoder leaves to decode_stream")
     width = int(size.max())
     x = np.zeros((len(start), width), np.int64)
     for i in range(int(order.max(initial=0))):
@@ -303,7 +314,7 @@ def _decode_frames(data: np.ndarray, start: np.ndarray, stop: np.ndarray, size:
         where = where + precision
     at[linear] = where
     if len(at) and bits.read(at, 6).any():
-        raise ValueError("a residual is partitioned; use decode_stream")
+        raise _OtherMake("a residual is partitioned; use decode_stream")
     rice = bits.read(at + 6, 4)
     at = at + 10
     residual = np.zeros((len(start), width), np.int64)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftwood.llm import bpe, chat_format, exact_dedup, language_id, line_dedup, lm_scoring, media, mixing, simhash, token_counts
-from driftwood.llm.common import held_out, table
+from driftwood.llm.common import held_out, table, written
 
 
 def tokenizer_path(name: str) -> str:
@@ -152,10 +152,15 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The streams are written to the shared folder, and what is read from there is decoded."""
     stored = media.store(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    stored = written(stored.select("doc_id", "n_bytes", "media"))
     stored = stored.select("doc_id", "n_bytes", F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "media")
     back = media.read_back(stored, keep=["doc_id", "n_bytes", "media_bytes", "media_sha256"])
-    return back.select("doc_id", "n_bytes", F.octet_length("pcm").cast("long").alias("payload_bytes"), F.sha2("pcm", 256).alias("payload_sha256"), media.tail_crc32("pcm").alias("tail_crc32"), "media_bytes", "media_sha256", "feature")
+    return back.select(
+        "doc_id", "n_bytes", F.octet_length("pcm").cast("long").alias("payload_bytes"), F.sha2("pcm", 256).alias("payload_sha256"), media.tail_crc32("pcm").alias("tail_crc32"),
+        "media_bytes", "media_sha256", "feature",
+    )
 
 
 def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
