@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from driftwood.sources.shared import checkpointed as written
 from driftwood.sources.shared import purge, shared_dir
 
-__all__ = ["SPACE", "WORD", "held_out", "purge", "shared_dir", "slices", "table", "written"]
+__all__ = ["SPACE", "WORD", "free_name", "held_out", "purge", "shared_dir", "slices", "table", "written"]
 
 #: White space of the word and line rules: blank and \t \n \v \f \r. A fixed set.
 SPACE = " \t\n\x0b\f\r"
@@ -24,6 +24,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """``name``, with underscores behind it until no column is called so (in any case)."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut into runs of rows whose ``column`` holds about ``most_bytes`` at
     most (one row at least), so that Python objects of few rows live at a time."""

@@ -18,10 +18,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from driftwood.llm.common import SPACE, slices, written
+from driftwood.llm.common import SPACE, free_name, slices, written
 
 _SPACE = SPACE.encode()
-_INDEX = "shard int, levels array<int>, bits binary, prints binary, counts binary, ids binary"
+_INDEX = "shard int, levels array<int>, bits binary, prints binary, counts binary, ids binary, rest binary"
 
 
 def _mixed(keys: np.ndarray, level: int) -> np.ndarray:
@@ -73,16 +73,22 @@ def _long_enough(key: bytes, least: int) -> bool:
     return len(key) >= least and (len(key) >= 4 * least or len(key.decode("utf-8", "replace")) >= least)
 
 
+def _halves(key: bytes) -> tuple[int, int]:
+    """The 128-bit hash of a key as two signed longs."""
+    h = xxhash.xxh3_128_intdigest(key)
+    return ((h >> 64) ^ (1 << 63)) - (1 << 63), ((h & (2**64 - 1)) ^ (1 << 63)) - (1 << 63)
+
+
 def _digests(lines: list[bytes], least: int) -> tuple[list[int], list[int], list[int]]:
     """For the lines that are long enough: their numbers, and the two halves of the
     128-bit hashes of their keys as signed longs."""
     at, high, low = [], [], []
     for i, line in enumerate(lines):
         if len(line) >= least and _long_enough(key := line_key(line), least):
-            h = xxhash.xxh3_128_intdigest(key)
+            h, p = _halves(key)
             at.append(i)
-            high.append(((h >> 64) ^ (1 << 63)) - (1 << 63))
-            low.append(((h & (2**64 - 1)) ^ (1 << 63)) - (1 << 63))
+            high.append(h)
+            low.append(p)
     return at, high, low
 
 
@@ -102,21 +108,28 @@ def line_holders(docs: DataFrame, *, id_col: str, text_col: str, least_chars: in
     return texts.mapInArrow(run, T.StructType([T.StructField("h", T.LongType()), T.StructField("p", T.LongType()), T.StructField("id", texts.schema["id"].dataType)]))
 
 
+def shard_row(shard: int, h: np.ndarray, p: np.ndarray, n: np.ndarray, last: np.ndarray) -> dict:
+    """A shard of the index. ``h`` places a key and ``p`` tells it from others; of keys with
+    one ``h`` the first has the place, and the others are kept whole in ``rest``."""
+    order = np.lexsort((p, h))
+    h, p, n, last = (x[order].astype(np.int64) for x in (h, p, n, last))
+    first = np.concatenate(([True], h[1:] != h[:-1])) if len(h) else np.zeros(0, bool)
+    keys = h[first].view(np.uint64)
+    made = PerfectHash.build(keys)
+    by_place = np.argsort(made.places(keys))
+    packed = lambda x, kind: x[first][by_place].astype(kind).tobytes()
+    rest = np.stack([x[~first] for x in (h, p, last)], axis=1).tobytes()
+    return {"shard": shard, "levels": made.levels, "bits": np.packbits(made.bits).tobytes(), "prints": packed(p, np.int64), "counts": packed(n, np.int32), "ids": packed(last, np.int64), "rest": rest}
+
+
 def build_index(repeated: DataFrame, shard_bits: int) -> DataFrame:
     """A row for each of 2**shard_bits shards of ``repeated (h, p, n, last)``: the levels
     and bits of its perfect hash and, by place, fingerprints, counts and largest ids."""
 
     def shard(key, group):
-        h = group["h"].to_numpy(dtype=np.int64).view(np.uint64)
-        order = np.lexsort((group["p"].to_numpy(), h))  # h alone tells keys apart, bar a clash; the first then counts
-        h, at = np.unique(h[order], return_index=True)
-        rows = group.iloc[order].iloc[at]
-        made = PerfectHash.build(h)
-        place = made.places(h)
-        by_place = lambda c, kind: rows[c].to_numpy(dtype=kind)[np.argsort(place)].tobytes()
         import pandas as pd
 
-        return pd.DataFrame([{"shard": key[0], "levels": made.levels, "bits": np.packbits(made.bits).tobytes(), "prints": by_place("p", np.int64), "counts": by_place("n", np.int32), "ids": by_place("last", np.int64)}])
+        return pd.DataFrame([shard_row(key[0], *(group[c].to_numpy(dtype=np.int64) for c in ("h", "p", "n", "last")))])
 
     return repeated.withColumn("shard", F.shiftrightunsigned("h", 64 - shard_bits).cast("int") if shard_bits else F.lit(0)).groupBy("shard").applyInPandas(shard, _INDEX)
 
@@ -129,7 +142,8 @@ class Index:
         self.bits = shard_bits
         for row in rows:
             made = PerfectHash(list(row["levels"]), np.unpackbits(np.frombuffer(row["bits"], np.uint8))[: sum(row["levels"])].astype(bool))
-            self.shards[row["shard"]] = made, np.frombuffer(row["prints"], np.int64), np.frombuffer(row["ids"], np.int64)
+            rest = np.frombuffer(row["rest"], np.int64).reshape(-1, 3).tolist()
+            self.shards[row["shard"]] = made, np.frombuffer(row["prints"], np.int64), np.frombuffer(row["ids"], np.int64), {(h, p): last for h, p, last in rest}
 
     def probe(self, high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Whether each key is indexed, and the largest id that holds it."""
@@ -138,11 +152,16 @@ class Index:
         shard = (keys >> self.shift).astype(np.int64) if self.bits else np.zeros(len(keys), np.int64)
         for s in np.unique(shard):
             if s in self.shards:
-                made, prints, ids = self.shards[s]
+                made, prints, ids, rest = self.shards[s]
                 own = np.flatnonzero(shard == s)
                 place = made.places(keys[own])
                 hit = (place >= 0) & (prints[place] == low[own])
                 found[own[hit]], last[own[hit]] = True, ids[place[hit]]
+                if rest:
+                    for i in own[~hit].tolist():
+                        known = rest.get((int(high[i]), int(low[i])))
+                        if known is not None:
+                            found[i], last[i] = True, known
         return found, last
 
 
@@ -216,28 +235,30 @@ def _clean_by_shuffle(docs: DataFrame, id_col: str, text_col: str, least: int, i
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            out = {"id": [], "row": [], "at": [], "h": [], "p": []}
-            for i, row, text in zip(*(batch.column(c).to_pylist() for c in ("id", "row", "text")), strict=True):
+            out = {"id": [], "r1": [], "r2": [], "at": [], "h": [], "p": []}
+            for i, r1, r2, text in zip(*(batch.column(c).to_pylist() for c in ("id", "r1", "r2", "text")), strict=True):
                 at, high, low = _digests((text or b"").split(b"\n"), least)
-                for c, values in zip(out, ([i] * len(at), [row] * len(at), at, high, low), strict=True):
+                for c, values in zip(out, ([i] * len(at), [r1] * len(at), [r2] * len(at), at, high, low), strict=True):
                     out[c].extend(values)
             yield pa.RecordBatch.from_pydict({c: pa.array(v, pa.int32() if c == "at" else pa.int64()) for c, v in out.items()})
 
     def probe(key, probes, shard):
         if not len(shard):
-            return probes[["id", "row", "at"]].iloc[:0]
+            return probes[["r1", "r2", "at"]].iloc[:0]
         found, last = Index(shard.to_dict("records"), shard_bits).probe(probes["h"].to_numpy(np.int64), probes["p"].to_numpy(np.int64))
         own = probes["id"].fillna(-(1 << 63)).to_numpy(np.int64) if probes["id"].isna().any() else probes["id"].to_numpy(np.int64)
-        return probes.loc[found & (last != own), ["id", "row", "at"]]
+        return probes.loc[found & (last != own), ["r1", "r2", "at"]]
 
-    row = F.xxhash64(F.col(id_col), F.col(text_col))
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), row.alias("row"), F.col(text_col).cast("binary").alias("text"))
+    # a row is known by 128 bits of its id and text; rows that share both lose the same lines
+    row = {"r1": F.xxhash64(F.col(id_col), F.col(text_col)), "r2": F.xxhash64(F.col(text_col), F.lit(1), F.col(id_col))}
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), *(c.alias(r) for r, c in row.items()), F.col(text_col).cast("binary").alias("text"))
     shard = F.shiftrightunsigned("h", 64 - shard_bits).cast("int") if shard_bits else F.lit(0)
-    probes = written(texts.mapInArrow(hashes, "id long, row long, at int, h long, p long").withColumn("shard", shard))
+    probes = written(texts.mapInArrow(hashes, "id long, r1 long, r2 long, at int, h long, p long").withColumn("shard", shard))
     chunks = probes.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / chunk_rows).cast("int").alias("chunks"))
-    dealt = probes.join(chunks, "shard").withColumn("chunk", F.pmod(F.xxhash64("row", "at"), F.col("chunks")).cast("int"))
+    dealt = probes.join(chunks, "shard").withColumn("chunk", F.pmod(F.xxhash64("r1", "at"), F.col("chunks")).cast("int"))
     copied = index.join(chunks, "shard").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
-    dropped = dealt.groupBy("shard", "chunk").cogroup(copied.groupBy("shard", "chunk")).applyInPandas(probe, "id long, row long, at int")
-    by_row = dropped.groupBy("row").agg(F.collect_set("at").alias("_dropped_lines")).withColumnRenamed("row", "_row")
-    joined = docs.join(by_row, row == F.col("_row"), "left").drop("_row")
-    return _clean(joined, id_col, text_col, least, None, "_dropped_lines")
+    dropped = dealt.groupBy("shard", "chunk").cogroup(copied.groupBy("shard", "chunk")).applyInPandas(probe, "r1 long, r2 long, at int")
+    r1, r2, lines = (free_name(c, docs.columns) for c in ("_r1", "_r2", "_dropped_lines"))
+    by_row = dropped.groupBy(F.col("r1").alias(r1), F.col("r2").alias(r2)).agg(F.collect_set("at").alias(lines))
+    joined = docs.join(by_row, (row["r1"] == F.col(r1)) & (row["r2"] == F.col(r2)), "left").drop(r1, r2)
+    return _clean(joined, id_col, text_col, least, None, lines)

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from driftwood.llm.common import slices, written
+from driftwood.llm.common import free_name, slices, written
 from driftwood.llm.components import components
 
 _STEP = 1 << 16
@@ -195,5 +195,6 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     """The rows of ``docs`` that stay: of each component the document with the smallest id.
     Rows that repeat that id stay with it, and so do rows without an id."""
     found = near_duplicates(docs, id_col=id_col, text_col=text_col, width=width, k=k)
-    go = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_go")).distinct()
-    return docs.join(go, F.col(id_col) == F.col("_go"), "left_anti")
+    name = free_name("_go", docs.columns)
+    go = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias(name)).distinct()
+    return docs.join(go, F.col(id_col) == F.col(name), "left_anti")

@@ -173,6 +173,20 @@ LINES = [
 ]
 
 
+@pytest.mark.parametrize("broadcast", [1 << 21, 0])
+def test_lines_with_equal_first_halves(make, monkeypatch, broadcast):
+    """Keys that clash in the half of the hash that finds their place are told apart."""
+    plain = line_dedup._halves
+    monkeypatch.setattr(line_dedup, "_halves", lambda key: (7, plain(key)[1]))
+    got = line_dedup.dedup_lines(make(LINES).coalesce(1), broadcast_keys=broadcast)
+    index = line_dedup.Index([], 0)
+    assert index.probe(np.array([7]), np.array([1]))[0].tolist() == [False]
+    made = [(7, 10, 5, 100), (7, 11, 6, 200), (9, 12, 5, 300), (7, 9, 5, 400)]
+    found, last = line_dedup.Index([line_dedup.shard_row(0, *map(np.array, zip(*made, strict=True)))], 0).probe(np.array([7, 7, 7, 9, 7]), np.array([10, 11, 9, 12, 13]))
+    assert found.tolist() == [True] * 4 + [False] and last[:4].tolist() == [100, 200, 400, 300]
+    assert by_id(got.select("doc_id", "text", "n_lines", "n_dropped").collect()) == by_id(brute_lines(LINES))
+
+
 @pytest.mark.parametrize("broadcast", [1 << 21, 0])
 @pytest.mark.parametrize("shard_keys", [1 << 16, 1])
 def test_lines_odd(make, broadcast, shard_keys):
@@ -261,6 +275,31 @@ def test_media_odd(odd):
     assert media.store(odd.where("false"), keep=["doc_id"]).count() == 0
 
 
+def test_media_query(spark, sf):
+    want = []
+    for d in table(spark, sf, "documents").collect():
+        raw = (d.text or "").encode()
+        payload = raw + bytes(-len(raw) % 64 if raw else 64)
+        stream = flac.encode_many([payload])[0]
+        digests = hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(stream), hashlib.sha256(stream).hexdigest()
+        want.append((d.doc_id, len(raw), len(payload), *digests, media.feature(payload)))
+    assert by_id(queries.queries()["op9_media"](spark, sf).collect()) == by_id(want)
+
+
+def test_flac_of_other_makes_with_a_seek_table():
+    """A stream with a full seek table but another kind of subframe is decoded all the same."""
+    raw = bytes(range(100, 164))
+    head = packed([(0x7FFC, 15), (0, 1), (6, 4), (0, 4), (0, 4), (1, 3), (0, 1), (0, 8), (63, 8)])
+    frame = head + bytes([flac.crc8(head)]) + packed([(1 << 1, 8), *((x - 128, 8) for x in raw)])
+    crc = int(flac.crc16_many(np.frombuffer(frame, np.uint8), np.array([0]), np.array([len(frame)]))[0])
+    digest = hashlib.md5((np.frombuffer(raw, np.uint8) ^ 0x80).tobytes()).digest()
+    info = (64).to_bytes(2, "big") * 2 + bytes(6) + ((8000 << 44) | (7 << 36) | 64).to_bytes(8, "big") + digest
+    seek = bytes(16) + (64).to_bytes(2, "big")
+    stream = b"fLaC" + len(info).to_bytes(4, "big") + info + (0x83000000 | len(seek)).to_bytes(4, "big") + seek + frame + crc.to_bytes(2, "big")
+    ours = flac.encode_many([b"text " * 90])[0]
+    assert flac.decode_many([stream, ours]) == [raw, b"text " * 90]
+
+
 def test_pcm_blocks_seek(odd):
     blocks = media.pcm_blocks(media.store(odd, keep=["doc_id"]), keep=["doc_id"]).where("doc_id = 10").orderBy("block").collect()
     raw = ("wörd " * 3000).encode()
