@@ -228,17 +228,112 @@ def test_lm_base_odd(make, frequent):
     assert by_id((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == by_id(brute_base(rows, learned))
 
 
-def test_lm_beats_base_on_held_out(spark):
-    rows = queries()["op10_lm_scores"](spark, "/root/testdata/sf0.01").where("held_out").collect()
-    assert len(rows) > 100 and sum(r.score for r in rows) > sum(r.base_score for r in rows) + 0.02 * abs(sum(r.base_score for r in rows))
-
-
-def test_lm_is_normalised():
-    counts = np.random.default_rng(1).integers(0, 50, (12, 12))
-    table_ = lm_scoring.train_lbl(counts.astype(float), dim=6, steps=400)
-    assert np.allclose((10**table_).sum(axis=1), 1)
-    want = (counts + 1e-9) / counts.sum(axis=1, keepdims=True)
-    assert (want * (np.log(want) - table_ * math.log(10))).sum(axis=1).max() < 0.25
+def bigram_on_held_out(docs):
+    """log10 per held-out token of an absolutely discounted bigram over the same symbols."""
+    learned, held = [], []
+    for d in docs:
+        (held if crc32(str(d.doc_id).encode()) % 7 == 2 else learned).append(lm_scoring.tokens((d.text or "").encode()))
+    counts = Counter(w for x in learned for w in x)
+    own = 4 * math.isqrt(len(counts))
+    symbols = lm_scoring.Symbols([w for w, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0])) if w != lm_scoring.END][:own], own // 4)
+    totals, kinds = Counter(), Counter()
+    for w, n in counts.items():
+        totals[symbols.of(w)] += n
+        kinds[symbols.of(w)] += 1
+    pairs, firsts = Counter(), Counter()
+    for x in learned:
+        ids = [0, *map(symbols.of, x)]
+        pairs.update(zip(ids, ids[1:]))
+        firsts.update(ids[:-1])
+    spread, size, total, n = Counter(a for a, _ in pairs), sum(counts.values()) + symbols.size, 0.0, 0
+    for x in held:
+        ids = [0, *map(symbols.of, x)]
+        for a, b, w in zip(ids, ids[1:], x):
+            plain = (totals[b] + 1) / size
+            p = (max(pairs[a, b] - 0.75, 0) + 0.75 * spread[a] * plain) / firsts[a] if firsts[a] else plain
+            total += math.log10(p) + (math.log10((counts[w] + 1) / (totals[b] + kinds[b] + 1)) if w not in symbols.known else 0)
+            n += 1
+    return total / n
+
+
+def test_lm_beats_base_and_bigrams_on_held_out(spark):
+    sf = "/root/testdata/sf0.01"
+    rows = queries()["op10_lm_scores"](spark, sf).where("held_out").collect()
+    n = sum(r.n_tokens for r in rows)
+    score, base = sum(r.score for r in rows) / n, sum(r.base_score for r in rows) / n
+    assert len(rows) > 100 and score > base + 0.25 and score > bigram_on_held_out(table(spark, sf, "documents").collect()) + 0.05
+
+
+def trained(rows, symbols, counts, steps):
+    model = lm_scoring.LogBilinear(counts, dim=8, noise=6, seed=1)
+    contexts, found = lm_scoring.Reader(symbols).read(rows)
+    for i in range(steps):
+        model.step(contexts, found, np.random.default_rng(i))
+    return model, contexts, found
+
+
+def test_lm_is_normalised_and_learns():
+    rng = random.Random(2)
+    follow = {w: [rng.choice(b"abcdefghijkl") for _ in range(2)] for w in b"abcdefghijkl"}
+    rows = []
+    for _ in range(60):
+        w, out = rng.choice(b"abcdefghijkl"), []
+        for _ in range(40):
+            out.append(bytes([w]))
+            w = rng.choice(follow[w])
+        rows.append([*out, lm_scoring.END])
+    symbols = lm_scoring.Symbols([bytes([w]) for w in b"abcdefghijkl"], 3)
+    _, found = lm_scoring.Reader(symbols).read(rows)
+    symbols.placed(np.bincount(found, minlength=symbols.size))
+    counts = np.sort(np.bincount(found, minlength=symbols.size))[::-1]
+    model, contexts, found = trained(rows, symbols, counts, 300)
+    every = np.arange(symbols.size)
+    for context in ([0, 0, 0], [3, 1, 15], [7, 7, 2]):
+        p = np.exp(model.log_probs(np.tile(context, (symbols.size, 1)), every))
+        assert math.isclose(p.sum(), 1, rel_tol=1e-5) and (p > 0).all()
+    unigram = np.log((counts + 1) / (counts + 1).sum())[found].mean()
+    assert model.log_probs(contexts, found).mean() > unigram + 1.0  # two followers of twelve: ln 6 is 1.8
+    assert np.allclose(model.log_probs(contexts, found, chunk=7), model.log_probs(contexts, found), atol=1e-4)
+
+
+def test_lm_contexts():
+    symbols = lm_scoring.Symbols([b"a", b"b"], 2)
+    contexts, found = lm_scoring.Reader(symbols).read([[b"a", b"b", b" "], [b" "]])
+    assert found.tolist() == [1, 2, 0, 0] and contexts.tolist() == [[0, 0, 0], [1, 0, 0], [2, 1, 0], [0, 0, 0]]
+
+
+def test_lm_scores_by_brute_force(make):
+    """``score`` is the sum over tokens of the model's log10 and the share within a class."""
+    rows = [(i, t) for i, t in ODD if i is not None] + [(100 + i, f"the cat {i} sat on the mat and the dog") for i in range(30)]
+    kept = {}
+    plain = lm_scoring.train
+    try:
+        lm_scoring.train = lambda docs, symbols, model, **kw: kept.setdefault("all", (symbols, plain(docs, symbols, model, **kw)))[1]
+        docs = make(rows)
+        got = {r.doc_id: r.score for r in lm_scoring.score(docs, docs["doc_id"] % 2 == 0, own_words=6, classes=4, frequent=5, dim=4).collect()}
+    finally:
+        lm_scoring.train = plain
+    symbols, model = kept["all"]
+    counts, totals, kinds = Counter(), Counter(), Counter()
+    for i, t in rows:
+        if i % 2 == 0:
+            counts.update(lm_scoring.tokens((t or "").encode()))
+    for w, n in counts.items():
+        totals[symbols.of(w)] += n
+        kinds[symbols.of(w)] += 1
+    t = {k: v.astype(np.float64) for k, v in model.tables.items()}
+    for i, text in rows:
+        before, want = [symbols.of(b" ")] * 3, 0.0
+        for w in lm_scoring.tokens((text or "").encode()):
+            s = symbols.of(w)
+            h = sum(t["R"][before[-1 - k]] @ t["C"][k] for k in range(3))
+            coarse, first = np.exp(t["G"] @ h + t["g"]), s // model.width * model.width
+            fine = np.exp(t["Q"][first : first + model.width] @ h + t["b"][first : first + model.width])
+            want += math.log10(coarse[s // model.width] / coarse.sum() * fine[s - first] / fine.sum())
+            if w not in symbols.known:
+                want += math.log10((counts[w] + 1) / (totals[s] + kinds[s] + 1))
+            before.append(s)
+        assert math.isclose(got[i], want, rel_tol=1e-4, abs_tol=1e-3)
 
 
 def test_lm_class_shares(make):
