@@ -1,6 +1,10 @@
-"""Near copies by exact Jaccard similarity of word shingles, found through prefix filters.
+"""Near copies by exact Jaccard similarity of word shingles, found by SimHash and completed
+through prefix filters.
 
-All shingles have one order. Two sets whose similarity is ``share`` or more have at least
+SimHash's generalised pigeonhole index gives the pairs of few differing bits, which are
+compared whole. At a similarity of 0.8 some ten of 64 bits differ, for which a pigeonhole
+over bits would have to try a share of all pairs; what the fingerprints cannot tell is found
+by a pigeonhole over the sets. All shingles have one order. Two sets whose similarity is ``share`` or more have at least
 ceil(share n) shingles of either set in common, so by the pigeonhole their first
 n - ceil(share n) + 1 shingles in that order meet. Each set is indexed under those alone;
 sets that meet are compared whole, so no pair is missed and none is linked in error. The
@@ -17,7 +21,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftwood.llm.common import slices, written
+from driftwood.llm import simhash
+from driftwood.llm.common import free_name, slices, written
 from driftwood.llm.components import components
 
 #: About how many documents tell common shingles, and how many such may be broadcast.
@@ -40,8 +45,9 @@ def shingles(text: bytes, width: int = 5) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, width: int, prefix: tuple[int, int] | None = None, common: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
-    """``id, digest, n, tokens`` of each row ``(id, text)``: all shingles of the set or, where
-    ``prefix`` states the share as a fraction, the first ones in order."""
+    """``id, digest, n, tokens, fp`` of each row ``(id, text)``: all shingles of the set or,
+    where ``prefix`` states the share as a fraction, the first ones in order and the set's
+    SimHash."""
     shipped = docs.sparkSession.sparkContext.broadcast(common)
 
     def first(found: np.ndarray) -> np.ndarray:
@@ -59,10 +65,11 @@ def _sets(docs: DataFrame, width: int, prefix: tuple[int, int] | None = None, co
             tokens = [first(s) for s in sets] if prefix else sets
             offsets = np.concatenate(([0], np.cumsum([len(t) for t in tokens]))).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(tokens)))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(digests), sizes, lists], ["id", "digest", "n", "tokens"])
+            fps = np.array([simhash.of_hashes(s.view(np.uint64)) for s in sets] if prefix else [0] * len(sets), np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(digests), sizes, lists, pa.array(fps)], ["id", "digest", "n", "tokens", "fp"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"id {kind}, digest long, n int, tokens array<long>")
+    return docs.mapInArrow(run, f"id {kind}, digest long, n int, tokens array<long>, fp long")
 
 
 def _common(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -75,11 +82,22 @@ def _common(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
     return keys[order], often[order]
 
 
+def _near_fingerprints(sets: DataFrame, k: int = 3) -> DataFrame:
+    """Pairs ``(a, b)`` of digests of ``sets (digest, fp)`` that connect sets of one SimHash,
+    and those of SimHashes that the pigeonhole index links at ``k`` bits or fewer."""
+    first = written(sets.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.min("digest").alias("first")))
+    same = sets.join(first, "fp").where("digest != first").select(F.col("digest").alias("a"), F.col("first").alias("b"))
+    near = simhash.links(first.select("fp", "n"), k)
+    a, b = (first.select(F.col("fp").alias(x), F.col("first").alias(f"f{x}")) for x in "ab")
+    return same.unionByName(near.join(a, "a").join(b, "b").select(F.col("fa").alias("a"), F.col("fb").alias("b")))
+
+
 def links(docs: DataFrame, sets: DataFrame, share: tuple[int, int] = (4, 5), width: int = 5) -> DataFrame:
-    """Edges ``(a, b)`` between digests of ``sets (digest, low, n, tokens)`` that connect all,
-    and only, those which pairs of the similarity ``share`` connect.
+    """Edges ``(a, b)`` between digests of ``sets (digest, low, n, tokens, fp)`` that connect
+    all, and only, those which pairs of the similarity ``share`` connect.
 
-    While large buckets of the index hold many pairs of different components, every member
+    First come the pairs that SimHash's pigeonhole index links, as far as their whole sets
+    are of the share; groups of copies are one component after that. While large buckets of the index hold many pairs of different components, every member
     of such a bucket is compared with the bucket's pivot, in rounds. Of the pairs that are
     left, those are compared whole whose common prefix shingles allow the share.
     """
@@ -103,7 +121,12 @@ def links(docs: DataFrame, sets: DataFrame, share: tuple[int, int] = (4, 5), wid
     def sizes_allow(a: str, b: str) -> Column:
         return F.least(f"{a}.n", f"{b}.n") * den >= F.greatest(f"{a}.n", f"{b}.n") * num
 
-    found, before, labelled = None, None, index.withColumn("root", F.col("digest"))
+    def joined(found: DataFrame) -> DataFrame:
+        roots = written(components(found))
+        return written(index.join(roots, F.col("digest") == F.col("node"), "left").select(*index.columns, F.coalesce("root", "digest").alias("root")))
+
+    found, before = written(verified(_near_fingerprints(sets.select("digest", "fp")))), None
+    labelled = joined(found)
     for _ in range(_ROUNDS):
         each = labelled.groupBy("token", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("token").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("own"))
         left = each.agg(F.sum(F.col("c") * F.col("c") - F.col("own")), F.sum("c")).first()
@@ -115,15 +138,14 @@ def links(docs: DataFrame, sets: DataFrame, share: tuple[int, int] = (4, 5), wid
         ).where(f"lo != hi and c > {2 * _PAIRS}").select("token", "pivot.*").alias("p")
         fresh = labelled.alias("x").join(pivots, "token").where((F.col("x.root") != F.col("p.root")) & sizes_allow("x", "p"))
         fresh = verified(fresh.select(F.col("x.digest").alias("a"), F.col("p.digest").alias("b")).distinct())
-        found = written(fresh if found is None else found.unionByName(fresh).distinct())
-        roots = written(components(found))
-        labelled = written(index.join(roots, F.col("digest") == F.col("node"), "left").select(*index.columns, F.coalesce("root", "digest").alias("root")))
+        found = written(found.unionByName(fresh).distinct())
+        labelled = joined(found)
     # beyond their prefixes, two sets share at most all that the larger has left there
     reach = F.col("met") + F.ceil(F.greatest("na", "nb") * num / den) - 1
     pairs = labelled.alias("x").join(labelled.alias("y"), "token").where((F.col("x.root") < F.col("y.root")) & sizes_allow("x", "y"))
     pairs = pairs.groupBy(F.col("x.digest").alias("a"), F.col("y.digest").alias("b")).agg(F.count(F.lit(1)).alias("met"), F.first("x.n").alias("na"), F.first("y.n").alias("nb"))
     rest = verified(pairs.where(reach * (num + den) >= num * (F.col("na") + F.col("nb"))).select("a", "b"))
-    return rest if found is None else found.unionByName(rest)
+    return found.unionByName(rest)
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", share: tuple[int, int] = (4, 5), width: int = 5) -> DataFrame:
@@ -134,10 +156,11 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
     sets = written(_sets(rows, width, share, _common(rows, width)))
     distinct = written(sets.groupBy("digest").agg(F.min("id").alias("low")))
-    one = sets.join(distinct.withColumnRenamed("digest", "_d"), (F.col("digest") == F.col("_d")) & F.col("id").eqNullSafe(F.col("low"))).select("digest", "low", "n", "tokens")
+    one = sets.join(distinct.withColumnRenamed("digest", "_d"), (F.col("digest") == F.col("_d")) & F.col("id").eqNullSafe(F.col("low"))).select("digest", "low", "n", "tokens", "fp")
     roots = components(links(rows, one, share, width))
     joined = written(distinct.join(roots, F.col("digest") == F.col("node"), "left").select("digest", "low", F.coalesce("root", "digest").alias("root")))
     lowest = joined.groupBy("root").agg(F.min("low").alias("lowest"))
     classes = joined.join(lowest, "root").select("digest", "lowest")
-    go = sets.select("id", "digest").join(classes, "digest").where("id != lowest").select(F.col("id").alias("_go")).distinct()
-    return docs.join(go, F.col(id_col) == F.col("_go"), "left_anti")
+    name = free_name("_go", docs.columns)
+    go = sets.select("id", "digest").join(classes, "digest").where("id != lowest").select(F.col("id").alias(name)).distinct()
+    return docs.join(go, F.col(id_col) == F.col(name), "left_anti")

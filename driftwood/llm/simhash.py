@@ -31,6 +31,14 @@ _STEP = 1 << 16
 _MOST_PROBES = 4096
 
 
+def of_hashes(hashes: np.ndarray) -> int:
+    """The fingerprint of unsigned 64-bit hashes: a bit is set where over half have it."""
+    set_bits = np.zeros(64, np.int64)
+    for lo in range(0, len(hashes), _STEP):
+        set_bits += np.unpackbits(hashes[lo : lo + _STEP].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * set_bits > len(hashes)).tobytes(), "big")
+
+
 def fingerprint(text: bytes, width: int = 3) -> int:
     """SimHash of the text's word shingles; 0 for a text without words. A bit is set where
     over half of the shingles' XXH64 have it."""
@@ -42,11 +50,8 @@ def fingerprint(text: bytes, width: int = 3) -> int:
     ends = np.cumsum([len(w) + 1 for w in words])
     starts = (ends - np.array([len(w) + 1 for w in words]))[: len(words) - width + 1].tolist()
     stops = (ends - 1)[width - 1 :].tolist()
-    set_bits, digest = np.zeros(64, np.int64), xxhash.xxh64_intdigest
-    for lo in range(0, len(starts), _STEP):
-        hashes = np.array([digest(joined[i:j], 42) for i, j in zip(starts[lo : lo + _STEP], stops[lo : lo + _STEP], strict=True)], np.uint64)
-        set_bits += np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * set_bits > len(starts)).tobytes(), "big")
+    digest = xxhash.xxh64_intdigest
+    return of_hashes(np.fromiter((digest(joined[i:j], 42) for i, j in zip(starts, stops, strict=True)), np.uint64, len(starts)))
 
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
