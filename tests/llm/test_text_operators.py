@@ -234,7 +234,7 @@ def bigram_on_held_out(docs):
     for d in docs:
         (held if crc32(str(d.doc_id).encode()) % 7 == 2 else learned).append(lm_scoring.tokens((d.text or "").encode()))
     counts = Counter(w for x in learned for w in x)
-    own = 4 * math.isqrt(len(counts))
+    own = 3 * math.isqrt(len(counts))
     symbols = lm_scoring.Symbols([w for w, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0])) if w != lm_scoring.END][:own], own // 4)
     totals, kinds = Counter(), Counter()
     for w, n in counts.items():
