@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Regex, Tokenizer, pre_tokenizers
 
-from driftwood.llm.common import slices
+from driftwood.llm.common import release, slices
 
 #: Stands for a suffix among the symbols.
 _LAST = "\uffff"
@@ -343,7 +343,9 @@ def decode_ids(ids: pa.ListArray, known: pa.Array) -> pa.Array:
 
 @lru_cache(maxsize=4)
 def codec(path: str) -> WordCodec:
-    return WordCodec(path)
+    made = WordCodec(path)
+    release()  # compiling takes four times the memory of what it makes
+    return made
 
 
 def encode(docs: DataFrame, path: str, *, keep: list[str], text_col: str = "text", decoded_col: str | None = None, cache_entries: int = 200_000) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from driftwood.sources.shared import checkpointed as written
 from driftwood.sources.shared import purge, shared_dir
 
-__all__ = ["SPACE", "WORD", "free_name", "held_out", "purge", "shared_dir", "slices", "table", "written"]
+__all__ = ["SPACE", "WORD", "free_name", "held_out", "purge", "release", "shared_dir", "slices", "table", "written"]
 
 #: White space of the word and line rules: blank and \t \n \v \f \r. A fixed set.
 SPACE = " \t\n\x0b\f\r"
@@ -32,6 +33,15 @@ def free_name(name: str, taken: list[str]) -> str:
     return name
 
 
+def release() -> None:
+    """Gives memory that a worker has freed back to the system, where the C library can. A
+    worker serves many tasks, and would else keep what the largest of them took."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut into runs of rows whose ``column`` holds about ``most_bytes`` at
     most (one row at least), so that Python objects of few rows live at a time."""
@@ -45,6 +55,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 8 <
             total += size
         if start < len(sizes):
             yield batch.slice(start)
+    release()
 
 
 def held_out(id_col: str, modulus: int, remainder: int = 2):
