@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Regex, Tokenizer, pre_tokenizers
 
-from driftwood.llm.common import release, slices
+from driftwood.llm.common import in_arrow, release, slices
 
 #: Stands for a suffix among the symbols.
 _LAST = "\uffff"
@@ -364,7 +364,7 @@ def encode(docs: DataFrame, path: str, *, keep: list[str], text_col: str = "text
             ids = table.encode([x or "" for x in batch.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in names), ids, *([decode_ids(ids, labels(path))] if decoded_col else [])], schema.names)
 
-    out = rows.mapInArrow(run, schema)
+    out = in_arrow(rows, run, schema)
     return out.select(*(F.col(x).alias(c) for x, c in zip(names, keep, strict=True)), "ids", *([F.col("decoded").alias(decoded_col)] if decoded_col else []))
 
 
@@ -386,4 +386,4 @@ def decode(encoded: DataFrame, path: str, *, keep: list[str], ids_col: str = "id
                 yield pa.RecordBatch.from_arrays([*(part.column(x) for x in names), decode_ids(part.column("ids"), known)], [*names, "text"])
                 start = stop
 
-    return rows.mapInArrow(run, schema).select(*(F.col(x).alias(c) for x, c in zip(names, keep, strict=True)), "text")
+    return in_arrow(rows, run, schema).select(*(F.col(x).alias(c) for x, c in zip(names, keep, strict=True)), "text")

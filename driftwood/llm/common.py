@@ -3,17 +3,18 @@
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from driftwood.sources.shared import checkpointed as written
 from driftwood.sources.shared import purge, shared_dir
 
-__all__ = ["SPACE", "WORD", "free_name", "held_out", "purge", "release", "shared_dir", "slices", "table", "written"]
+__all__ = ["SPACE", "WORD", "free_name", "held_out", "in_arrow", "purge", "release", "shared_dir", "slices", "table", "written"]
 
 #: White space of the word and line rules: blank and \t \n \v \f \r. A fixed set.
 SPACE = " \t\n\x0b\f\r"
@@ -58,6 +59,16 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 8 <
     release()
 
 
+def in_arrow(rows: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
+    """``rows.mapInArrow`` with batches of 4 MB, or one row. Spark's 64 MB of whole texts would
+    stand in the executor's and the worker's memory, for each task. A session that sets the
+    size itself keeps its own; elsewhere the setting stays for the session."""
+    conf, key = rows.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if key not in conf.getAll:
+        conf.set(key, "4m")
+    return rows.mapInArrow(run, schema)
+
+
 def held_out(id_col: str, modulus: int, remainder: int = 2):
     """crc32(id as text) mod ``modulus`` is ``remainder``; false where the id is null."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % modulus == remainder, F.lit(False))

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from driftwood.llm.common import slices
+from driftwood.llm.common import in_arrow, slices
 
 #: Stands for every run of characters that are not letters.
 _GAP = 32
@@ -140,7 +140,7 @@ def train(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", di
             yield pa.RecordBatch.from_pydict({"lang": [lang] * dim, "place": np.arange(dim, dtype=np.int32), "total": total})
 
     rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where("lang is not null")
-    sums = rows.mapInArrow(partial, "lang string, place int, total double").groupBy("lang", "place").agg(F.sum("total").alias("total")).toArrow()
+    sums = in_arrow(rows, partial, "lang string, place int, total double").groupBy("lang", "place").agg(F.sum("total").alias("total")).toArrow()
     langs = sorted(set(sums.column("lang").to_pylist()))
     out, at = np.zeros((len(langs), dim)), {x: i for i, x in enumerate(langs)}
     for lang, place, total in zip(*(sums.column(c).to_pylist() for c in ("lang", "place", "total")), strict=True):
@@ -176,4 +176,4 @@ def predict(docs: DataFrame, model: Model, *, keep: list[str], text_col: str = "
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(names_, pa.string()), pa.array(np.where(size > 0, score, 0.0))], schema.names)
 
     rows = docs.select(*(F.col(c).alias(name) for name, c in zip(names, keep, strict=True)), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, schema).select(*(F.col(name).alias(c) for name, c in zip(names, keep, strict=True)), "lang_pred", "score")
+    return in_arrow(rows, run, schema).select(*(F.col(name).alias(c) for name, c in zip(names, keep, strict=True)), "lang_pred", "score")

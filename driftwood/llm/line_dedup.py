@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from driftwood.llm.common import SPACE, free_name, slices, written
+from driftwood.llm.common import SPACE, free_name, in_arrow, slices, written
 
 _SPACE = SPACE.encode()
 _INDEX = "shard int, levels array<int>, bits binary, prints binary, counts binary, ids binary, rest binary"
@@ -105,7 +105,7 @@ def line_holders(docs: DataFrame, *, id_col: str, text_col: str, least_chars: in
             yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(p, pa.int64()), pa.array(i, batch.schema.field("id").type)], ["h", "p", "id"])
 
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
-    return texts.mapInArrow(run, T.StructType([T.StructField("h", T.LongType()), T.StructField("p", T.LongType()), T.StructField("id", texts.schema["id"].dataType)]))
+    return in_arrow(texts, run, T.StructType([T.StructField("h", T.LongType()), T.StructField("p", T.LongType()), T.StructField("id", texts.schema["id"].dataType)]))
 
 
 def shard_row(shard: int, h: np.ndarray, p: np.ndarray, n: np.ndarray, last: np.ndarray) -> dict:
@@ -226,7 +226,7 @@ def _clean(docs: DataFrame, id_col: str, text_col: str, least: int, load, droppe
             columns |= {"n_lines": pa.array([len(x) for x in texts], pa.int64()), "n_dropped": pa.array([len(d) for d in drop], pa.int64())}
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
-    return docs.mapInArrow(run, schema)
+    return in_arrow(docs, run, schema)
 
 
 def _clean_by_shuffle(docs: DataFrame, id_col: str, text_col: str, least: int, index: DataFrame, shard_bits: int, chunk_rows: int = 500_000) -> DataFrame:
@@ -253,7 +253,7 @@ def _clean_by_shuffle(docs: DataFrame, id_col: str, text_col: str, least: int, i
     row = {"r1": F.xxhash64(F.col(id_col), F.col(text_col)), "r2": F.xxhash64(F.col(text_col), F.lit(1), F.col(id_col))}
     texts = docs.select(F.col(id_col).cast("long").alias("id"), *(c.alias(r) for r, c in row.items()), F.col(text_col).cast("binary").alias("text"))
     shard = F.shiftrightunsigned("h", 64 - shard_bits).cast("int") if shard_bits else F.lit(0)
-    probes = written(texts.mapInArrow(hashes, "id long, r1 long, r2 long, at int, h long, p long").withColumn("shard", shard))
+    probes = written(in_arrow(texts, hashes, "id long, r1 long, r2 long, at int, h long, p long").withColumn("shard", shard))
     chunks = probes.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / chunk_rows).cast("int").alias("chunks"))
     dealt = probes.join(chunks, "shard").withColumn("chunk", F.pmod(F.xxhash64("r1", "at"), F.col("chunks")).cast("int"))
     copied = index.join(chunks, "shard").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftwood.llm import simhash
-from driftwood.llm.common import free_name, slices, written
+from driftwood.llm.common import free_name, in_arrow, slices, written
 from driftwood.llm.components import components
 
 #: About how many documents tell common shingles, and how many such may be broadcast.
@@ -69,7 +69,7 @@ def _sets(docs: DataFrame, width: int, prefix: tuple[int, int] | None = None, co
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(digests), sizes, lists, pa.array(fps)], ["id", "digest", "n", "tokens", "fp"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"id {kind}, digest long, n int, tokens array<long>, fp long")
+    return in_arrow(docs, run, f"id {kind}, digest long, n int, tokens array<long>, fp long")
 
 
 def _common(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
