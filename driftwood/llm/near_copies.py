@@ -20,6 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from driftwood.llm import simhash
 from driftwood.llm.common import free_name, in_arrow, slices, written
@@ -29,6 +30,8 @@ from driftwood.llm.components import components
 _SAMPLE, _MOST_COMMON = 1 << 14, 1 << 20
 #: Rounds of comparing with pivots go on while pairs left to compare exceed so many a set.
 _PAIRS, _ROUNDS = 4, 12
+#: So many digests and whole-number ids (8 bytes each) at most are broadcast to pick out rows.
+_FEW = 1 << 18
 
 
 def shingles(text: bytes, width: int = 5) -> np.ndarray:
@@ -110,7 +113,10 @@ def links(docs: DataFrame, sets: DataFrame, share: tuple[int, int] = (4, 5), wid
         """The pairs ``(a, b)`` whose whole sets are of the share; equal sets are one digest."""
         pairs = written(pairs)
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct()
+        few = 2 * pairs.count() <= _FEW  # else these are shuffled
+        wanted = F.broadcast(wanted) if few else wanted
         ids = sets.select("digest", "low").join(wanted, "digest", "left_semi").select(F.col("low").alias("_low")).distinct()
+        ids = F.broadcast(ids) if few and isinstance(ids.schema["_low"].dataType, T.IntegralType) else ids
         texts = docs.join(ids, F.col("id").eqNullSafe(F.col("_low")), "left_semi")
         whole = _sets(texts, width).join(wanted, "digest", "left_semi").dropDuplicates(["digest"]).select("digest", "tokens")
         whole = written(whole)
@@ -125,14 +131,16 @@ def links(docs: DataFrame, sets: DataFrame, share: tuple[int, int] = (4, 5), wid
         roots = written(components(found))
         return written(index.join(roots, F.col("digest") == F.col("node"), "left").select(*index.columns, F.coalesce("root", "digest").alias("root")))
 
-    found, before = written(verified(_near_fingerprints(sets.select("digest", "fp")))), None
+    found, before, idle = written(verified(_near_fingerprints(sets.select("digest", "fp")))), None, 0
     labelled = joined(found)
     for _ in range(_ROUNDS):
         each = labelled.groupBy("token", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("token").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("own"))
         left = each.agg(F.sum(F.col("c") * F.col("c") - F.col("own")), F.sum("c")).first()
-        if (left[0] or 0) <= 2 * _PAIRS * (left[1] or 0) or left == before:
+        # rounds that link little are of buckets whose sets are unlike: two of them in a row end it
+        idle = idle + 1 if before and (left[0] or 0) > 0.9 * before else 0
+        if (left[0] or 0) <= 2 * _PAIRS * (left[1] or 0) or left[0] == before or idle == 2:
             break
-        before = left
+        before = left[0]
         pivots = labelled.groupBy("token").agg(
             F.max_by(F.struct("digest", "root", "n"), F.xxhash64("root", "digest")).alias("pivot"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("c")
         ).where(f"lo != hi and c > {2 * _PAIRS}").select("token", "pivot.*").alias("p")
