@@ -234,9 +234,13 @@ def unique_times(rows: DataFrame, time: str, order: list[str]) -> DataFrame:
 
 def choose_config(configs: DataFrame, by: list[str]) -> DataFrame:
     """The newest version of each group (a missing version counts as -1); of equal versions
-    the stored one."""
+    the stored one; of those the one whose other columns are smallest. Versions are whole
+    numbers."""
     rest = [c for c in configs.columns if c not in by]
-    best = F.max_by(F.struct(*rest), F.struct(F.coalesce("version", F.lit(-1)), F.col("is_stored")))
+    others = [c for c in rest if c not in ("version", "is_stored")]
+    # a number's bits turned over sort it the other way round, for the least number too
+    newest = F.bitwise_not(F.coalesce("version", F.lit(-1)))
+    best = F.min_by(F.struct(*rest), F.struct(newest, F.coalesce(~F.col("is_stored"), F.lit(True)), *others))
     return configs.groupBy(*by).agg(best.alias("_b")).select(*by, "_b.*")
 
 
