@@ -77,15 +77,17 @@ def plain_number(number: Column) -> Column:
     return F.when(number == 0, "0").when((number == F.floor(number)) & (size < 1e21), whole).when((size >= 1e-6) & (size < 1e21), digits).otherwise(power)
 
 
-def format_number_cell(number: Column) -> Column:
-    """What a table cell shows for a number: special values by name, times of 2010 to 2040
-    in ms as a date, else the number with separators, two decimals where it is not whole."""
+def format_number_cell(number: Column, until: int | None = 2040) -> Column:
+    """What a table cell shows for a number: special values by name, times from 2010 to the
+    year ``until`` (None: without end) in ms as a date, else the number with separators, two
+    decimals where it is not whole."""
     named = F.when(F.isnan(number), "")
     for value, name in SPECIAL_NUMBERS:
         named = named.when(number == F.lit(value), name)
     ms = lambda year: F.unix_millis(F.to_timestamp(F.lit(f"{year}-01-01 00:00:00")))
     shown = F.when(number == F.floor(number), F.format_number(number, 0)).otherwise(F.format_number(number, 2))
-    return F.when(number.isNull(), "").otherwise(named.when((number > ms(2010)) & (number < ms(2040)), format_date_time(from_ms(number))).otherwise(shown))
+    is_time = (number > ms(2010)) & (number < (F.lit(float("inf")) if until is None else ms(until)))
+    return F.when(number.isNull(), "").otherwise(named.when(is_time, format_date_time(from_ms(number))).otherwise(shown))
 
 
 def format_text_cell(text: Column) -> Column:
