@@ -27,6 +27,9 @@ REBUILD_AT = (1024, 4096, 16384)
 ROUNDS = 4
 #: Bytes of centroids that the driver may hold and broadcast.
 CENTROID_BYTES = 64 << 20
+#: Rows of the blocks that meet in a task: few copies of the rows are sent, and two blocks of
+#: 64 dimensions take 64 MB.
+VECTOR_BLOCK = QUERY_BLOCK = 1 << 16
 #: Share of the cells that a search of many queries probes.
 PROBE_SHARE = 0.75
 
@@ -106,38 +109,89 @@ def knn_exact(vectors: DataFrame, query: list[float], k: int) -> DataFrame:
     return vectors.select("vec_id", closeness(unit(F.col("embedding")), F.array(*map(F.lit, q))).alias("closeness")).orderBy(F.desc("closeness"), "vec_id").limit(k)
 
 
-def _top(query_ids: np.ndarray, ids: np.ndarray, d: np.ndarray, k: int | None) -> pa.RecordBatch:
-    """Per query (a column of ``d``) the ``k`` rows of the largest dot product, ties by id;
-    all rows if ``k`` is None."""
-    n = d.shape[0]
-    order = np.argsort(ids, kind="stable")
-    ids, d = ids[order], d[order]
-    if k is None or k >= n:
-        rows = np.tile(np.arange(n), d.shape[1])
-        cols = np.repeat(np.arange(d.shape[1]), n)
-    else:
-        cut = -np.partition(-d, k - 1, axis=0)[k - 1]
-        cols, rows = np.nonzero((d >= cut).T)  # ties at the cut stay, the last aggregation decides
-    close = 1 - np.sqrt(np.maximum(0, 2 - 2 * d[rows, cols]))
-    return pa.RecordBatch.from_arrays([pa.array(query_ids[cols]), pa.array(ids[rows]), pa.array(close)], ["query_id", "vec_id", "closeness"])
-
-
-def _matrix(column: pa.ChunkedArray) -> np.ndarray:
-    flat = column.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+def _matrix(column: pa.Array) -> np.ndarray:
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return flat.reshape(len(column), -1)
 
 
-def _block_products(left: DataFrame, right: DataFrame, by: list[str], k: int | None) -> DataFrame:
-    """``query_id, vec_id, closeness`` from matrix products of the blocks ``(vec_id, unit)``
-    and ``(query_id, unit)`` that share the columns ``by``."""
+def _found(query_ids: np.ndarray, vec_ids: np.ndarray, close: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(query_ids), pa.array(vec_ids), pa.array(close)], ["query_id", "vec_id", "closeness"])
+
+
+def _close(d: np.ndarray) -> np.ndarray:
+    return 1 - np.sqrt(np.maximum(0, 2 - 2 * d))
+
+
+def _all_pairs(ids: np.ndarray, v: np.ndarray, query_ids: np.ndarray, q: np.ndarray, most: int = 1 << 17) -> Iterator[pa.RecordBatch]:
+    """All pairs, at most about ``most`` at a time."""
+    width = min(len(ids), 1 << 10)
+    height = max(1, most // width)
+    for lo in range(0, len(query_ids), height):
+        for at in range(0, len(ids), width):
+            d = q[lo : lo + height] @ v[at : at + width].T
+            yield _found(np.repeat(query_ids[lo : lo + height], d.shape[1]), np.tile(ids[at : at + width], d.shape[0]), _close(d).ravel())
+
+
+def _top(ids: np.ndarray, v: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Per query the ``k`` closest rows, ties by id. Products are made and compared with the
+    closest so far some ``most`` at a time. What passes is computed anew, pair by pair, so
+    that equal vectors are equally close wherever they stand in a matrix."""
+    width = max(k, 1 << 11)
+    height = max(1, most // width)
+    for lo in range(0, len(query_ids), height):
+        part = q[lo : lo + height]
+        bar = np.full(len(part), -np.inf)
+        rows, cols, close, fresh = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), 0
+
+        def pruned(rows: np.ndarray, cols: np.ndarray, close: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            order = np.lexsort((ids[cols], -close, rows))
+            rows, cols, close = rows[order], cols[order], close[order]
+            rank = np.arange(len(rows)) - np.searchsorted(rows, rows)
+            return rows[rank < k], cols[rank < k], close[rank < k]
+
+        for at in range(0, len(ids), width):
+            d = part @ v[at : at + width].T
+            if d.shape[1] >= k:
+                # not above the k-th largest so far; rounding may set equal ones apart
+                bar = np.maximum(bar, np.partition(d, -k, axis=1)[:, -k] - 1e-9) if not at else bar
+            r, c = np.nonzero(d >= bar[:, None])
+            for i in range(0, len(r), most // 8):
+                a, b = r[i : i + most // 8], c[i : i + most // 8] + at
+                rows, cols, close = np.concatenate((rows, a)), np.concatenate((cols, b)), np.concatenate((close, _close((part[a] * v[b]).sum(axis=1))))
+                fresh += len(a)
+                if fresh >= most // 8 or not at:
+                    (rows, cols, close), fresh = pruned(rows, cols, close), 0
+                    last = np.searchsorted(rows, np.arange(len(part)), "right") - 1
+                    full = (last >= k - 1) & (np.bincount(rows, minlength=len(part)) == k)
+                    far = 1 - close[last[full]]
+                    bar[full] = np.maximum(bar[full], 1 - far * far / 2 - 1e-9)
+        rows, cols, close = pruned(rows, cols, close)
+        yield _found(query_ids[lo + rows], ids[cols], close)
 
-    def run(a: pa.Table, b: pa.Table) -> pa.Table:
-        if not a.num_rows or not b.num_rows:
-            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "closeness": pa.array([], pa.float64())})
-        d = _matrix(a.column("unit")) @ _matrix(b.column("unit")).T
-        return pa.Table.from_batches([_top(b.column("query_id").to_numpy(), a.column("vec_id").to_numpy(), d, k)])
 
-    return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(run, "query_id long, vec_id long, closeness double")
+def _block_products(left: DataFrame, right: DataFrame, by: list[str], k: int | None) -> DataFrame:
+    """``query_id, vec_id, closeness`` from matrix products of the blocks ``(vec_id, unit)``
+    and ``(query_id, unit)`` that share the columns ``by``. A task holds one block of each
+    and sends what it finds in batches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, units = ([], []), ([], [])
+        for batch in batches:
+            asks = batch.column("asks").to_numpy(zero_copy_only=False)
+            found, m = batch.column("id").to_numpy(), _matrix(batch.column("unit"))
+            for i in (0, 1):
+                if (asks == i).any():
+                    ids[i].append(found[asks == i])
+                    units[i].append(m[asks == i])
+        if ids[0] and ids[1]:
+            joined = []
+            for i in (0, 1):
+                joined += [np.concatenate(ids[i]), np.concatenate(units[i])]
+                units[i].clear()
+            yield from _all_pairs(*joined) if k is None else _top(*joined, k)
+
+    both = left.select(*by, F.lit(False).alias("asks"), F.col("vec_id").alias("id"), "unit").unionByName(right.select(*by, F.lit(True).alias("asks"), F.col("query_id").alias("id"), "unit"))
+    return both.groupBy(*by).applyInArrow(run, "query_id long, vec_id long, closeness double")
 
 
 def _best(part: DataFrame, k: int) -> DataFrame:
@@ -146,17 +200,25 @@ def _best(part: DataFrame, k: int) -> DataFrame:
     return top.select("query_id", F.explode("t").alias("x")).select("query_id", "x.vec_id", (-F.col("x.d")).alias("closeness"))
 
 
-def knn_many(vectors: DataFrame, queries: DataFrame, k: int | None, vector_block: int = 50_000, query_block: int = 4096) -> DataFrame:
+def _dealt(c: str, n: int) -> Column:
+    return F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+
+
+def _every(n: int) -> Column:
+    return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+
+def knn_many(vectors: DataFrame, queries: DataFrame, k: int | None, vector_block: int = VECTOR_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
     """``query_id, vec_id, closeness``: the k nearest of each query, or all with ``k`` None.
-    Vectors and queries are cut into blocks of about the given rows, so a task holds one of
-    each whatever the tables' size; every vector meets every query once."""
+    Vectors and queries are cut into blocks of about the given rows, or smaller ones of
+    vectors where there would be fewer blocks than cores. A task holds one block of each
+    whatever the tables' size; every vector meets every query once."""
     units = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), unit(F.col("embedding")).alias("unit"))
     asked = queries.select(F.col("query_id").cast("long").alias("query_id"), unit(F.col("embedding")).alias("unit"))
-    v, q = (max(1, -(-n // size)) for n, size in ((vectors.count(), vector_block), (queries.count(), query_block)))
-    dealt = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = units.withColumn("vb", dealt("vec_id", v)).withColumn("qb", every(q))
-    right = asked.withColumn("qb", dealt("query_id", q)).withColumn("vb", every(v))
+    n, cores = vectors.count(), vectors.sparkSession.sparkContext.defaultParallelism
+    v, q = max(1, -(-n // vector_block), min(cores, n // 4096)), max(1, -(-queries.count() // query_block))
+    left = units.withColumn("vb", _dealt("vec_id", v)).withColumn("qb", _every(q))
+    right = asked.withColumn("qb", _dealt("query_id", q)).withColumn("vb", _every(v))
     part = _block_products(left, right, ["vb", "qb"], k)
     return part if k is None else _best(part, k)
 
@@ -236,11 +298,11 @@ def rebuild_due(count: int, done: list[int]) -> int | None:
 
 
 
-def search_many(index: DataFrame, centroids: np.ndarray, queries: DataFrame, k: int, share: float = PROBE_SHARE, block: int = 50_000) -> DataFrame:
+def search_many(index: DataFrame, centroids: np.ndarray, queries: DataFrame, k: int, share: float = PROBE_SHARE, block: int = VECTOR_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
     """``query_id, vec_id, closeness``: the k nearest of each query ``(query_id, embedding)``
     in the share of cells whose centroids are nearest to it, four cells at least. Probed
     cells grow with the cells, so recall does not fall as a table grows. Cells are cut into
-    blocks of about ``block`` vectors."""
+    blocks of about ``block`` vectors and queries into blocks of about ``query_block``."""
     probes = min(len(centroids), max(4, math.ceil(share * len(centroids))))
     shipped = index.sparkSession.sparkContext.broadcast(centroids.astype(np.float64))
 
@@ -251,7 +313,8 @@ def search_many(index: DataFrame, centroids: np.ndarray, queries: DataFrame, k:
 
     sizes = checkpointed(index.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks")))
     asked = queries.select(F.col("query_id").cast("long").alias("query_id"), unit(F.col("embedding")).alias("unit")).withColumn("cell", F.explode(cells("unit")))
-    right = asked.join(F.broadcast(sizes), "cell").withColumn("b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    q = max(1, -(-queries.count() // query_block))
+    right = asked.join(F.broadcast(sizes), "cell").withColumn("b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("qb", _dealt("query_id", q))
     left = index.select(F.col("vec_id").cast("long").alias("vec_id"), unit(F.col("unit")).alias("unit"), "cell")
-    left = left.join(F.broadcast(sizes), "cell").withColumn("b", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")).drop("blocks")
-    return _best(_block_products(left, right, ["cell", "b"], k), k)
+    left = left.join(F.broadcast(sizes), "cell").withColumn("b", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")).withColumn("qb", _every(q))
+    return _best(_block_products(left, right, ["cell", "b", "qb"], k), k)

@@ -1,12 +1,15 @@
 """What only larger tables and rarer values show."""
 
+import tracemalloc
 from datetime import UTC, datetime
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from __spark_entry__ import oracle_sql, queries
 from driftwood.functions import scalars
-from driftwood.operators import routing
+from driftwood.operators import routing, vectors
 from tests.oracle import connect, difference
 
 
@@ -31,3 +34,45 @@ def test_guess_format_of_large_keys(spark, sf, tmp_path):
     assert difference(con, queries()["guess_format"](spark, str(tmp_path)), oracle_sql()["guess_format"]) is None
     late = F.lit(datetime(2041, 1, 1, tzinfo=UTC).timestamp() * 1000)
     assert spark.range(1).select(scalars.format_number_cell(late)).first()[0] == "2,240,611,200,000"  # the default stays
+
+
+def _peak_mb(blocks: list[tuple[list[int], np.ndarray]], k: int | None) -> tuple[int, float]:
+    """Rows that a block of vectors and one of queries give, and the memory that takes."""
+    (ids, v), (query_ids, q) = blocks
+    tracemalloc.start()
+    rows = sum(b.num_rows for b in (vectors._all_pairs(ids, v, query_ids, q) if k is None else vectors._top(ids, v, query_ids, q, k)))
+    peak = tracemalloc.get_traced_memory()[1] / 2**20
+    tracemalloc.stop()
+    return rows, peak
+
+
+def test_products_of_large_blocks_take_little_memory():
+    rng = np.random.default_rng(4)
+    block = lambda n: (np.arange(n), rng.normal(size=(n, 8)))
+    few, many = [block(20_000), block(500)], [block(20_000), block(2_000)]
+    for k in (None, 5):
+        (a, small), (b, large) = _peak_mb(few, k), _peak_mb(many, k)
+        assert (a, b) == ((20_000 * 500, 20_000 * 2_000) if k is None else (2_500, 10_000))
+        assert max(small, large) < 100  # all products of ``many`` take 320 MB
+
+
+def test_nearest_with_many_copies(spark):
+    rng = np.random.default_rng(9)
+    kinds = rng.normal(size=(7, 5))
+    rows = [(i, kinds[i % 7].tolist()) for i in rng.permutation(3000).tolist()]
+    e = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    asked = e.where("vec_id % 500 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    for size in (64, 1 << 16):
+        got = {(r.query_id, r.vec_id) for r in vectors.knn_many(e, asked, 4, size, 4).collect()}
+        assert got == {(a, a % 7 + 7 * i) for a in range(0, 3000, 500) for i in range(4)}
+    assert vectors.knn_many(e, asked, None, 500, 4).count() == 18_000
+
+
+def test_top_of_a_block_as_a_sort():
+    rng = np.random.default_rng(3)
+    made = lambda n: (lambda x: x / np.linalg.norm(x, axis=1)[:, None])(rng.normal(size=(n, 4)))
+    ids, v, q = rng.permutation(9000), made(9000), made(40)
+    for k, most in ((1, 1 << 12), (5, 1 << 14), (10_000, 1 << 20)):
+        got = pa.Table.from_batches(vectors._top(ids, v, np.arange(40), q, k, most)).to_pylist()
+        want = {(j, int(ids[i])) for j in range(40) for i in np.argsort(-(v @ q[j]))[:k]}
+        assert {(r["query_id"], r["vec_id"]) for r in got} == want and len(got) == len(want)
