@@ -1,15 +1,18 @@
 """What only larger tables and rarer values show."""
 
+import random
 import tracemalloc
 from datetime import UTC, datetime
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from __spark_entry__ import oracle_sql, queries
 from driftwood.functions import scalars
-from driftwood.operators import routing, vectors
+from driftwood.operators import ranges, routing, vectors
+from driftwood.plans import compaction
 from tests.oracle import connect, difference
 
 
@@ -76,3 +79,54 @@ def test_top_of_a_block_as_a_sort():
         got = pa.Table.from_batches(vectors._top(ids, v, np.arange(40), q, k, most)).to_pylist()
         want = {(j, int(ids[i])) for j in range(40) for i in np.argsort(-(v @ q[j]))[:k]}
         assert {(r["query_id"], r["vec_id"]) for r in got} == want and len(got) == len(want)
+
+
+def _rows_written(monkeypatch, job) -> tuple[object, int]:
+    """What a job gives, and the rows of the tables it writes on its way."""
+    rows, plain = [], ranges.checkpointed
+
+    def counted(df):
+        out = plain(df)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(ranges, "checkpointed", counted)
+    return job(), sum(rows)
+
+
+@pytest.mark.parametrize("past", [True, False])
+def test_chunks_write_their_rows_once(spark, monkeypatch, past):
+    items = spark.range(20_000).select((F.col("id") % 3).alias("g"), "id", (F.col("id") * 7919 % 100).alias("size"))
+    found, rows = _rows_written(monkeypatch, lambda: ranges.greedy_groups(items, ["g"], "id", "size", 300, past=past))
+    assert rows < 25_000
+    assert found.count() == 20_000 and found.agg(F.max("group_no")).first()[0] > 800
+
+
+@pytest.mark.parametrize("past", [True, False])
+@pytest.mark.parametrize("target", [1, 17, 100, 5_000, 100_000])
+def test_chunks_by_fold_at_many_targets(spark, past, target):
+    rng = random.Random(target)
+    rows = [(g, i, rng.choice([0, 0, 1, 5, 30, 90, 400])) for g in (None, "a", "b", *map(str, range(30))) for i in range(rng.choice([1, 2, 400]))]
+    want, total, group, some, now = {}, 0, 0, False, ()
+    for g, i, n in sorted(rows, key=lambda r: (r[0] or "", r[1])):
+        if now != (g,):
+            now, total, group, some = (g,), 0, 0, False
+        if past and some and total + n > target:
+            total, group = 0, group + 1
+        total, some = total + n, True
+        want[g, i] = group
+        if not past and total >= target:
+            total, group = 0, group + 1
+    items = spark.createDataFrame(rows, "g string, i long, size long")
+    assert {(r.g, r.i): r.group_no for r in ranges.greedy_groups(items, ["g"], "i", "size", target, past=past).collect()} == want
+
+
+def test_groups_are_reached_as_by_comparing(spark):
+    rng = random.Random(8)
+    key = lambda: rng.choice([None, *range(60)])
+    files = spark.createDataFrame([(rng.choice([None, 1, 5, 9]), key(), key()) for _ in range(300)], "bytes long, min_key long, max_key long")
+    groups = spark.createDataFrame([(rng.choice([None, *range(60)]), rng.randrange(60), rng.random()) for _ in range(80)], "lo long, hi long, dup double")
+    reach = F.col("min_key").isNull() | F.col("max_key").isNull() | ((F.col("min_key") <= F.col("hi")) & (F.col("max_key") >= F.col("lo")))
+    want = groups.join(files, reach, "left").groupBy("lo", "hi", "dup").agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"), F.count("bytes").alias("n"))
+    got = compaction.reached(groups, files)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
