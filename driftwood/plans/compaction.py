@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftwood.operators.ranges import in_ranges, running
+from driftwood.sources.shared import checkpointed
+
 MB = 1 << 20
 # Thresholds of the policy.
 FOLD_HARD_BYTES, FOLD_BYTES = 768 * MB, 64 * MB
@@ -54,7 +57,7 @@ def steps(files: DataFrame, duplicates: DataFrame, groups: DataFrame) -> DataFra
     into. Without such a group the one with the largest share is listed, not ready.
     ``duplicates (dup)`` has the share of the whole tier in one row.
     """
-    files = tiers(files)
+    files = checkpointed(tiers(files))
     seen = metrics(files).crossJoin(F.broadcast(duplicates.select(F.coalesce("dup", F.lit(0.0)).alias("dup"))))  # one row with one row
     col = F.col
     hard = col("log_bytes") >= FOLD_HARD_BYTES
@@ -71,15 +74,43 @@ def steps(files: DataFrame, duplicates: DataFrame, groups: DataFrame) -> DataFra
     )).alias("s")).select("s.*", F.lit(None).cast(groups.schema["lo"].dataType).alias("lo"), F.lit(None).cast(groups.schema["hi"].dataType).alias("hi"), F.lit(None).cast("double").alias("dup"))
     most = groups.agg(F.max_by("lo", F.struct("dup", "lo")).alias("best"), F.max("dup").alias("top"))
     wanted = groups.crossJoin(F.broadcast(most)).where((col("dup") >= GROUP_SHARE) | ((col("top") < GROUP_SHARE) & (col("lo") == col("best"))))  # one row on the right
-    combined = files.where("tier = 'combined'").select("bytes", "min_key", "max_key")
-    reach = F.col("min_key").isNull() | F.col("max_key").isNull() | ((F.col("min_key") <= F.col("hi")) & (F.col("max_key") >= F.col("lo")))
-    met = wanted.join(F.broadcast(combined), reach, "left").groupBy("lo", "hi", "dup").agg(F.coalesce(F.sum("bytes"), F.lit(0)).cast("long").alias("bytes"), F.count("bytes").alias("n"))
+    met = reached(wanted, files.where("tier = 'combined'"))
     grouped = met.crossJoin(F.broadcast(seen.select("all_ready"))).select(  # one row on the right
         F.lit(3).alias("phase"), F.lit("dedup_group").alias("step"), (~col("all_ready") & (col("dup") >= GROUP_SHARE) & (col("n") >= 2)).alias("ready"), "bytes", "lo", "hi", "dup"
     )
     return plain.unionByName(grouped)
 
 
+def reached(groups: DataFrame, files: DataFrame) -> DataFrame:
+    """``groups (lo, hi, dup)``, each once, with ``bytes`` and ``n`` (those of known size) of
+    the files that reach into it: their keys meet ``lo`` to ``hi``, or are unknown.
+
+    Groups do not meet files one by one: the files that begin by ``hi``, less those that end
+    before ``lo``, follow from sums along the keys. That needs keys in order; files and
+    groups whose bounds are the wrong way round, of which there should be none, are compared.
+    """
+    groups = groups.select("lo", "hi", "dup").distinct()
+    files = files.select(F.coalesce("bytes", F.lit(0)).cast("long").alias("bytes"), F.col("bytes").isNotNull().cast("long").alias("n"), "min_key", "max_key")
+    known, zero = files.where("min_key <= max_key"), F.lit(0).cast("long")
+    keys = [F.col("at"), F.col("after")]
+
+    def sums(key: str, bound: str, sign: int) -> DataFrame:
+        """Of the files whose ``key`` is below each group's ``bound``; or equal, if the sign
+        is plus."""
+        ends = known.groupBy(F.col(key).alias("at")).agg(F.sum("bytes").alias("bytes"), F.sum("n").alias("n"))
+        ends = ends.select("at", F.lit(sign < 0).alias("after"), "bytes", "n", F.lit(False).alias("asks"), *(F.lit(None).cast(groups.schema[c].dataType).alias(c) for c in groups.columns))
+        asked = groups.where("lo <= hi").select(F.col(bound).alias("at"), F.lit(sign > 0).alias("after"), zero.alias("bytes"), zero.alias("n"), F.lit(True).alias("asks"), *groups.columns)
+        found = running(in_ranges(ends.unionByName(asked), keys), keys, sums={"up_bytes": F.col("bytes"), "up_n": F.col("n")}).where("asks")
+        return found.select("lo", "hi", "dup", (sign * F.col("up_bytes")).alias("bytes"), (sign * F.col("up_n")).alias("n"))
+
+    meet = (F.col("min_key") <= F.col("hi")) & (F.col("max_key") >= F.col("lo"))
+    turned = groups.join(F.broadcast(files.where("min_key > max_key")), meet).unionByName(known.join(F.broadcast(groups.where("lo > hi")), meet))
+    parts = groups.select("*", zero.alias("bytes"), zero.alias("n")).unionByName(sums("min_key", "hi", 1)).unionByName(sums("max_key", "lo", -1)).unionByName(turned.select("lo", "hi", "dup", "bytes", "n"))
+    free = files.where("min_key is null or max_key is null").agg(F.coalesce(F.sum("bytes"), zero).alias("free_bytes"), F.coalesce(F.sum("n"), zero).alias("free_n"))
+    met = parts.groupBy("lo", "hi", "dup").agg(F.sum("bytes").alias("bytes"), F.sum("n").alias("n")).crossJoin(F.broadcast(free))  # one row on the right
+    return met.select("lo", "hi", "dup", (F.col("bytes") + F.col("free_bytes")).alias("bytes"), (F.col("n") + F.col("free_n")).alias("n"))
+
+
 def start_times(planned: DataFrame, begin: int, gap: int) -> DataFrame:
     """``steps`` with ``start_at``: ready ones ``gap`` apart in order of phase, the groups
     that repeat most first. A plan has a row a step, few enough for one task."""
