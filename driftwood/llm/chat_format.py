@@ -116,6 +116,58 @@ def link(calls: DataFrame, results: DataFrame) -> DataFrame:
     return calls.join(by_id, ["conv_id", "call_id"], "left").withColumn("n_results", F.coalesce("n_results", F.lit(0)).cast("long")).withColumn("result", F.col("_first.content")).drop("_first")
 
 
+def _follow(single: DataFrame) -> DataFrame:
+    """``conv_id, call_id, end, top, steps, circle`` for calls ``(conv_id, call_id, dep,
+    top)`` with one dependency each: the first call on their way that is not one of them, the
+    largest ``top`` before it and the steps to it; or that the way goes round in a circle.
+    Steps are doubled, so rounds grow with the logarithm of the calls in a conversation."""
+    key, done = ["conv_id", "call_id"], []
+    far = written(single.select(*key, F.col("dep").alias("end"), "top", F.lit(1).cast("long").alias("steps")))
+    reach, most = 1, far.groupBy("conv_id").count().agg(F.max("count")).first()[0] or 0
+    all_single = far.select("conv_id", F.col("call_id").alias("end"))
+    while True:
+        done.append(written(far.join(all_single, ["conv_id", "end"], "left_anti").withColumn("circle", F.lit(False))))
+        far = written(far.join(all_single, ["conv_id", "end"], "left_semi"))
+        if reach >= most or far.isEmpty():
+            break
+        # calls that have come to their end stay what others step to
+        steps_to = reduce(DataFrame.unionByName, (d.drop("circle") for d in done), far)
+        on = steps_to.select("conv_id", F.col("call_id").alias("end"), F.col("end").alias("_end"), F.col("top").alias("_top"), F.col("steps").alias("_steps"))
+        far = written(far.join(on, ["conv_id", "end"]).select(*key, F.col("_end").alias("end"), F.greatest("top", "_top").alias("top"), (F.col("steps") + F.col("_steps")).alias("steps")))
+        reach *= 2
+    return written(reduce(DataFrame.unionByName, done, far.withColumn("circle", F.lit(True))))
+
+
+def _split(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The edges of calls with one dependency and of those with more."""
+    counted = written(edges.join(edges.groupBy("conv_id", "call_id").agg(F.count(F.lit(1)).alias("_n")), ["conv_id", "call_id"]))
+    return counted.where("_n = 1").drop("_n"), counted.where("_n > 1").drop("_n")
+
+
+def _links(many: DataFrame, ways: DataFrame) -> DataFrame:
+    """``conv_id, call_id, end, top, steps, circle`` for each dependency of calls with
+    several: where the way over it ends."""
+    over = ways.select("conv_id", F.col("call_id").alias("dep"), F.col("end").alias("_end"), "top", "steps", "circle")
+    return many.join(over, ["conv_id", "dep"], "left").select(
+        "conv_id", "call_id", F.coalesce("_end", "dep").alias("end"), "top", (F.coalesce("steps", F.lit(0)) + 1).alias("steps"), F.coalesce("circle", F.lit(False)).alias("circle")
+    )
+
+
+def _ready(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``nodes`` with ``ready`` raised to the largest of all they depend on, near or far."""
+    key = ["conv_id", "call_id"]
+    at_end = lambda df: df.select("conv_id", F.col("call_id").alias("end"), F.col("ready").alias("end_ready"))
+    single, many = _split(edges)
+    ways = _follow(single.join(nodes, key).select(*key, "dep", F.col("ready").alias("top")))
+    links, rose = written(_links(many, ways)), not many.isEmpty()
+    while rose:  # ready times run along the links of calls with several dependencies until none rises
+        latest = links.join(at_end(nodes), ["conv_id", "end"]).groupBy(*key).agg(F.max(F.greatest("end_ready", "top")).alias("up"))
+        nodes = written(nodes.join(latest, key, "left").select(*key, F.greatest("ready", "up").alias("ready"), (F.col("up") > F.col("ready")).alias("rose")))
+        rose, nodes = not nodes.where("rose").isEmpty(), nodes.drop("rose")
+    up = ways.join(at_end(nodes), ["conv_id", "end"]).select(*key, F.greatest("top", "end_ready").alias("up"))
+    return written(nodes.join(up, key, "left").select(*key, F.greatest("ready", "up").alias("ready")))
+
+
 def order(calls: DataFrame) -> DataFrame:
     """``(conv_id, call_id, ready, level, cyclic)`` for each identifier.
 
@@ -125,8 +177,9 @@ def order(calls: DataFrame) -> DataFrame:
     written order where that does so already. Dependencies on calls that are not there are
     passed over. Calls on a circle are ``cyclic`` and have level null (last), and so have
     those behind it that are ready at the same time; later ones come after it.
-    Rounds grow with the longest chain of dependencies that are written too late; without
-    such there is none.
+    Rounds grow with the logarithm of the longest chain, and beyond that with how many calls
+    that have several dependencies follow on each other; without calls that are written too
+    late there is none.
     """
     nodes = calls.groupBy("conv_id", "call_id").agg(F.min("seq").alias("ready"))
     edges = calls.select("conv_id", "call_id", F.explode("depends_on").alias("dep")).distinct()
@@ -137,28 +190,26 @@ def order(calls: DataFrame) -> DataFrame:
     if late.isEmpty():
         return nodes.select("conv_id", "call_id", "ready", F.lit(0).alias("level"), F.lit(False).alias("cyclic"))
     key, edges = ["conv_id", "call_id"], written(edges.select("conv_id", "call_id", "dep"))
-    as_dep = lambda df: df.select("conv_id", F.col("call_id").alias("dep"), F.col("ready").alias("dep_ready"))
-    rose = True
-    while rose:  # ready times run along the edges until none rises
-        latest = edges.join(as_dep(nodes), ["conv_id", "dep"]).groupBy(*key).agg(F.max("dep_ready").alias("up"))
-        nodes = written(nodes.join(latest, key, "left").select(*key, F.greatest("ready", "up").alias("ready"), (F.col("up") > F.col("ready")).alias("rose")))
-        rose, nodes = not nodes.where("rose").isEmpty(), nodes.drop("rose")
-    tied = edges.join(as_dep(nodes), ["conv_id", "dep"]).join(nodes, key).where("dep_ready = ready").select(*key, "dep")
-    left, level, levels = written(tied), 0, []
-    plain = nodes.join(left, key, "left_anti").withColumn("level", F.lit(0))
-    while True:  # then calls without an open dependency are taken off, level by level
-        level += 1
-        owners = left.select("conv_id", F.col("call_id").alias("dep"), F.lit(True).alias("is_open")).distinct()
-        seen = left.join(owners, ["conv_id", "dep"], "left")
-        waits = seen.groupBy(*key).agg(F.max(F.coalesce("is_open", F.lit(False))).alias("waits"))
-        marked = written(left.join(waits, key))
-        taken, left = marked.where("not waits").select(*key).distinct(), marked.where("waits").drop("waits")
-        if taken.isEmpty():
+    nodes = _ready(nodes, edges)
+    as_dep = nodes.select("conv_id", F.col("call_id").alias("dep"), F.col("ready").alias("dep_ready"))
+    single, many = _split(edges.join(as_dep, ["conv_id", "dep"]).join(nodes, key).where("dep_ready = ready").select(*key, "dep"))
+    ways = _follow(single.withColumn("top", F.lit(None).cast("long")))
+    left = written(_links(many, ways))
+    branched = written(left.select(*key).distinct().withColumn("level", F.lit(None).cast("long")))
+    while not left.isEmpty():  # then calls with several dependencies, when all of these have their level
+        at_end = branched.select("conv_id", F.col("call_id").alias("end"), F.col("level").alias("end_level"), F.lit(True).alias("is_branched"))
+        seen = left.join(at_end, ["conv_id", "end"], "left")
+        waits = F.col("circle") | (F.col("is_branched").isNotNull() & F.col("end_level").isNull())
+        found = written(seen.groupBy(*key).agg(F.max(waits).alias("waits"), F.max(F.col("steps") + F.coalesce("end_level", F.lit(0))).alias("found")).where("not waits").drop("waits"))
+        if found.isEmpty():
             break
-        levels.append(taken.withColumn("level", F.lit(level)))
-    found = reduce(DataFrame.unionByName, [nodes.join(t, key) for t in levels], plain)
-    rest = nodes.join(left, key, "left_semi").withColumn("level", F.lit(None).cast("int"))
-    return found.withColumn("cyclic", F.lit(False)).unionByName(rest.withColumn("cyclic", F.lit(True)))
+        branched = written(branched.join(found, key, "left").select(*key, F.coalesce("level", "found").alias("level")))
+        left = written(left.join(found, key, "left_anti"))
+    own = branched.select(*key, F.col("level").alias("own_level"), F.lit(True).alias("own"))
+    at_end = branched.select("conv_id", F.col("call_id").alias("end"), F.col("level").alias("end_level"), F.lit(True).alias("is_branched"))
+    joined = nodes.join(ways.drop("top"), key, "left").join(own, key, "left").join(at_end, ["conv_id", "end"], "left")
+    level = F.when(F.col("own"), F.col("own_level")).when(F.col("end").isNull(), 0).when(F.col("circle"), None).when(F.col("is_branched"), F.col("steps") + F.col("end_level")).otherwise(F.col("steps"))
+    return joined.select(*key, "ready", level.cast("int").alias("level"), level.isNull().alias("cyclic"))
 
 
 def canonical_json(df: DataFrame, **fields: str | Column) -> Column:
