@@ -7,10 +7,9 @@ words. The model (``log_bilinear``) gives a symbol's probability after the three
 a word of a class has the share (count + 1) / (words + kinds + 1) of its class, so that the
 words, the unseen ones of each class taken as one, have probability one in sum.
 
-All training documents are counted and read by the training: in each round every task runs
-through its own documents and learns from one in so many mini-batches of them, others in
-each round, so what is learned from grows with the input. What the tasks learned is put
-together by weight of their slopes.
+All training documents are counted, and each of their tokens is learned from, at least once:
+in each round every task runs through its own documents in mini-batches, larger ones where
+there are many tokens. What the tasks learned is put together by weight of their slopes.
 """
 
 from __future__ import annotations
@@ -110,9 +109,9 @@ class Reader:
         return np.stack([flat[at - i - 1] for i in range(_CONTEXT)], axis=1), flat[at]
 
 
-def train(docs: DataFrame, symbols: Symbols, model: LogBilinear, *, rounds: list[str], text_col: str = "text", batch: int = 4096, stride: int = 4, trainers: int = 512) -> LogBilinear:
+def train(docs: DataFrame, symbols: Symbols, model: LogBilinear, *, rounds: list[str], text_col: str = "text", batch: int = 4096, trainers: int = 512) -> LogBilinear:
     """Trains ``model`` on ``docs`` and returns it. Each of ``rounds`` is a condition that
-    says which documents it takes; of every ``stride`` mini-batches it learns from one.
+    says which documents it takes; it learns from all their tokens, ``batch`` at a time.
 
     In a round, at most ``trainers`` tasks start from the same weights and learn from their
     own documents. A weight becomes the mean of the tasks', each with the growth of its sum
@@ -128,17 +127,15 @@ def train(docs: DataFrame, symbols: Symbols, model: LogBilinear, *, rounds: list
         def learn(batches: Iterator[pa.RecordBatch], number: int = number, shipped=shipped) -> Iterator[pa.RecordBatch]:
             own, reader, task = copy.deepcopy(shipped.value), Reader(reader_of.value), TaskContext.get().partitionId()
             rng = np.random.default_rng([number, task])
-            contexts, found, due = np.zeros((0, _CONTEXT), np.int64), np.zeros(0, np.int64), -number % stride
+            contexts, found = np.zeros((0, _CONTEXT), np.int64), np.zeros(0, np.int64)
             for part in slices(batches, "text", 1 << 20):
                 more = reader.read([tokens(x or b"") for x in part.column("text").to_pylist()])
                 contexts, found = np.concatenate((contexts, more[0])), np.concatenate((found, more[1]))
                 whole = len(found) - len(found) % batch
                 for lo in range(0, whole, batch):
-                    if due == 0:
-                        own.step(contexts[lo : lo + batch], found[lo : lo + batch], rng)
-                    due = (due - 1) % stride
+                    own.step(contexts[lo : lo + batch], found[lo : lo + batch], rng)
                 contexts, found = contexts[whole:], found[whole:]
-            if len(found) and due == 0:
+            if len(found):
                 own.step(contexts, found, rng)
             weights, squares = own.flat()
             grown = squares - shipped.value.flat()[1]
@@ -177,9 +174,10 @@ def score(
     With V distinct training words, 3 sqrt(V) have symbols of their own and a quarter as many
     classes take the rest, unless they are given; the driver and each worker hold 30 sqrt(V)
     dim bytes of weights and twice that in training (46 MB for a thousand million words).
-    Training reads all training documents and learns from a quarter of their tokens, or from
-    ``least_tokens`` if that is more, for which it may go over them twelve times. The counts of the ``frequent`` most frequent
-    words are broadcast; for others a row per document and word joins the count table.
+    Training learns from every token of all training documents; it goes over them again, at
+    most twelve times in all, until it has learned from ``least_tokens``. The counts of the
+    ``frequent`` most frequent words are broadcast; for others a row per document and word
+    joins the count table.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"), F.coalesce(train_on, F.lit(False)).alias("train"))
@@ -212,9 +210,9 @@ def score(
     lbl = LogBilinear(totals, dim=dim, context=_CONTEXT, seed=seed)
     if n_all:
         part = "pmod(xxhash64(text), 8)"  # first an eighth, so that tasks then start from weights that know something
-        visits = max(n_all // 4, min(12 * n_all, least_tokens), 1)
-        passes = -(-visits // n_all)
-        lbl = train(learn, symbols, lbl, rounds=[f"{part} = 0", f"{part} != 0", *["true"] * (passes - 1)], stride=passes * n_all // visits)
+        passes = max(1, min(12, -(-least_tokens // n_all)))
+        batch = 4096 * max(1, min(2, n_all // least_tokens))  # with many tokens there are updates enough
+        lbl = train(learn, symbols, lbl, rounds=[f"{part} = 0", f"{part} != 0", *["true"] * (passes - 1)], batch=batch)
     lbl.squares = {}
     model = spark.sparkContext.broadcast((symbols, table, lbl, share))
 
