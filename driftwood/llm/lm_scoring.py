@@ -18,7 +18,8 @@ import copy
 import math
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -67,7 +68,7 @@ class Symbols:
         self.known = {END: 0} | {w: i + 1 for i, w in enumerate(own)}
         self.first, self.classes = len(own) + 1, classes
         self.size = self.first + classes
-        self.shared = np.arange(self.first, self.size)
+        self.shared = list(range(self.first, self.size))
 
     def placed(self, totals: np.ndarray) -> np.ndarray:
         """Renumbers symbols by falling totals and returns the old number of each place."""
@@ -75,36 +76,48 @@ class Symbols:
         place = np.empty(self.size, np.int64)
         place[order] = np.arange(self.size)
         self.known = {w: int(place[i]) for w, i in self.known.items()}
-        self.shared = place[self.first :]
+        self.shared = place[self.first :].tolist()
         return order
 
+    def class_of(self, word: bytes) -> int:
+        return self.shared[zlib.crc32(word.rstrip(b".,;:!?")[-3:]) % self.classes]
+
     def of(self, word: bytes) -> int:
         found = self.known.get(word)
-        return int(self.shared[zlib.crc32(word.rstrip(b".,;:!?")[-3:]) % self.classes]) if found is None else found
+        return self.class_of(word) if found is None else found
 
 
-class Reader:
-    """Texts as symbols with their contexts; keeps the classes of some words it met."""
+class Seen(dict):
+    """The numbers of words: those given, and what ``of`` says of others, kept until there are ``most``."""
 
-    def __init__(self, symbols: Symbols, most: int = 200_000):
-        self.symbols, self.most, self.seen = symbols, most, dict(symbols.known)
+    def __init__(self, known: dict[bytes, int], of: Callable[[bytes], int], most: int):
+        super().__init__(known)
+        self.of, self.most = of, most
 
-    def _of(self, word: bytes) -> int:
-        found = self.symbols.of(word)
-        if len(self.seen) < self.most:
-            self.seen[word] = found
+    def __missing__(self, word: bytes) -> int:
+        found = self.of(word)
+        if len(self) < self.most:
+            self[word] = found
         return found
 
+
+class Reader:
+    """Texts as numbers with their contexts, those of symbols or of ``known`` words and
+    others by ``of``; keeps the numbers of some words it met."""
+
+    def __init__(self, symbols: Symbols, most: int = 200_000, known: dict[bytes, int] | None = None, of: Callable[[bytes], int] | None = None):
+        self.seen = Seen(symbols.known if known is None else known, of or symbols.class_of, most)
+
     def read(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
         """``(contexts, symbols)`` of all tokens of all texts, one after another. Before a
         text there are ends."""
-        seen, end = self.seen, [self.symbols.known[END]] * _CONTEXT
-        flat, sizes = [], []
+        of = self.seen.__getitem__
+        end = [of(END)] * _CONTEXT
+        flat = []
         for words in texts:
             flat += end
-            flat += [self._of(w) if (s := seen.get(w)) is None else s for w in words]
-            sizes.append(len(words))
-        flat, sizes = np.array(flat, np.int64), np.array(sizes, np.int64)
+            flat += map(of, words)
+        flat, sizes = np.array(flat, np.int64), np.array([len(x) for x in texts], np.int64)
         at = np.arange(sizes.sum()) + _CONTEXT * np.repeat(np.arange(1, len(sizes) + 1), sizes)
         return np.stack([flat[at - i - 1] for i in range(_CONTEXT)], axis=1), flat[at]
 
@@ -207,6 +220,11 @@ def score(
     share = np.where(np.arange(symbols.size) < symbols.first, 0.0, np.log10(totals + kinds + 1.0))
     order = symbols.placed(totals)
     totals, share = totals[order], share[order]
+    # a word's number is its place in the table, for others that of their symbol, after these
+    known, place = {w: i for i, w in enumerate(table)}, np.array([*map(symbols.of, table), *range(symbols.size)])
+    log_counts = np.concatenate((np.log10(np.array([*table.values()], np.float64) + 1), np.zeros(symbols.size)))
+    own = np.array([w in symbols.known for w in table] + [False] * symbols.size, bool)
+    weighed = np.where(own, 0.0, log_counts - share[place])
     lbl = LogBilinear(totals, dim=dim, context=_CONTEXT, seed=seed)
     if n_all:
         part = "pmod(xxhash64(text), 8)"  # first an eighth, so that tasks then start from weights that know something
@@ -214,33 +232,26 @@ def score(
         batch = 4096 * max(1, min(2, n_all // least_tokens))  # with many tokens there are updates enough
         lbl = train(learn, symbols, lbl, rounds=[f"{part} = 0", f"{part} != 0", *["true"] * (passes - 1)], batch=batch)
     lbl.squares = {}
-    model = spark.sparkContext.broadcast((symbols, table, lbl, share))
+    model = spark.sparkContext.broadcast((symbols, known, place, log_counts, weighed, lbl))
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """What needs no rare count, and the words that do."""
-        known, frequent_counts, lbl, class_share = model.value
-        reader, log_counts = Reader(known), {w: math.log10(n + 1) for w, n in frequent_counts.items()}
+        symbols, known, place, log_counts, weighed, lbl = model.value
+        reader, one = Reader(symbols, known=known, of=lambda w: len(known) + symbols.of(w)), pa.struct([("word", pa.binary()), ("n", pa.int64())])
         for batch in slices(batches, "text", 4 << 20):
             texts = [tokens(text or b"") for text in batch.column("text").to_pylist()]
+            sizes = np.array([len(x) for x in texts], np.int64)
+            upto = np.cumsum(sizes)
             contexts, found = reader.read(texts)
-            starts = np.concatenate(([0], np.cumsum([len(x) for x in texts])))[:-1].astype(np.int64)
-            logs = np.add.reduceat(lbl.log_probs(contexts, found) / math.log(10) - class_share[found], starts).tolist()
-            out = {c: [] for c in ("n_tokens", "n_known", "base", "model", "rare")}
-            for words, logp in zip(texts, logs, strict=True):
-                base, n_known, rare = 0.0, 0, []
-                for w, n in Counter(words).items():
-                    value = log_counts.get(w)
-                    if value is None:
-                        rare.append({"word": w, "n": n})
-                    else:
-                        base += n * value
-                        n_known += n
-                        if w not in known.known:
-                            logp += n * value
-                for c, v in zip(out, (len(words), n_known, base, logp, rare), strict=True):
-                    out[c].append(v)
-            types = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())])))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("train"), *(pa.array(out[c], kind) for c, kind in zip(out, types, strict=True))], ["id", "train", *out])
+            each = lambda x: np.add.reduceat(x, upto - sizes)
+            logs = lbl.log_probs(place[contexts], place[found]) / math.log(10) + weighed[found]
+            words, at = list(chain.from_iterable(texts)), np.flatnonzero(found >= len(known))
+            rare, cuts = [words[i] for i in at.tolist()], [0, *np.searchsorted(at, upto).tolist()]
+            per_text = [Counter(rare[lo:hi]) for lo, hi in zip(cuts, cuts[1:])]
+            kinds = np.cumsum([0, *map(len, per_text)])
+            rare = pa.StructArray.from_arrays([pa.array(list(chain.from_iterable(per_text)), pa.binary()), pa.array(list(chain.from_iterable(x.values() for x in per_text)), pa.int64())], fields=list(one))
+            numbers = sizes, sizes - np.diff(cuts), each(log_counts[found]), each(logs)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("train"), *map(pa.array, numbers), pa.ListArray.from_arrays(pa.array(kinds, pa.int32()), rare)], ["id", "train", "n_tokens", "n_known", "base", "model", "rare"])
 
     schema = T.StructType([*(f for f in rows.schema.fields if f.name != "text"), *T._parse_datatype_string("n_tokens long, n_known long, base double, model double, rare array<struct<word:binary,n:long>>").fields])
     scored = written(rows.mapInArrow(local, schema).withColumn("row", F.monotonically_increasing_id()))

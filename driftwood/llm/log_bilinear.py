@@ -16,6 +16,8 @@ import numpy as np
 #: Tables of weights, in the order in which ``flat`` has them.
 _TABLES = ("R", "C", "Q", "b", "G", "g")
 _START = 1e-2
+#: Exponents below this in size are summed as they are; float32 holds a million such terms.
+_PLAIN = 60.0
 
 
 def _sigma(x: np.ndarray) -> np.ndarray:
@@ -25,15 +27,35 @@ def _sigma(x: np.ndarray) -> np.ndarray:
 
 def _log_sum(x: np.ndarray) -> np.ndarray:
     """The logarithm of each row's summed exponentials; overwrites ``x``."""
+    if max(x.max(), -x.min()) < _PLAIN:
+        return np.log(np.exp(x, out=x) @ np.ones(x.shape[1], x.dtype))
     top = x.max(axis=1)
     x -= top[:, None]
     np.exp(x, out=x)
     return np.log(x.sum(axis=1)) + top
 
 
-def _runs(sorted_: np.ndarray) -> list[int]:
+def _order(at: np.ndarray) -> np.ndarray:
+    """A stable order of numbers from 0 to 2^32 - 1, by 16 bits at a time, which numpy deals out without comparing."""
+    order = np.argsort(at.astype(np.uint16), kind="stable")
+    return order if at.max() < 1 << 16 else order[np.argsort((at >> 16).astype(np.uint16)[order], kind="stable")]
+
+
+def _runs(sorted_: np.ndarray) -> np.ndarray:
     """Where runs of equal values begin, and the end."""
-    return [*np.flatnonzero(np.concatenate(([True], sorted_[1:] != sorted_[:-1]))).tolist(), len(sorted_)]
+    return np.concatenate(([0], np.flatnonzero(sorted_[1:] != sorted_[:-1]) + 1, [len(sorted_)]))
+
+
+def _sums(rows: np.ndarray, order: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The sum of each run of ``rows[order]``, which begin at ``starts``. Runs of one row, as
+    most are, need no sum; of the others two numbers are added at a time."""
+    size = np.diff(starts, append=len(order))
+    out, many = rows.take(order[starts], axis=0), size > 1
+    if many.any():
+        x = rows.take(order[np.repeat(many, size)], axis=0)
+        pairs = x.view(np.complex64) if x.ndim == 2 and x.shape[1] % 2 == 0 and x.dtype == np.float32 else x
+        out[many] = np.add.reduceat(pairs, np.cumsum(size[many]) - size[many], axis=0).view(x.dtype)
+    return out
 
 
 class LogBilinear:
@@ -59,55 +81,74 @@ class LogBilinear:
 
     def _add(self, name: str, at: np.ndarray, slope: np.ndarray) -> None:
         """One Adagrad step on the rows ``at``, repeats summed."""
-        order = np.argsort(at, kind="stable")
-        starts = np.array(_runs(at[order])[:-1])
-        total, rows = np.add.reduceat(slope[order], starts, axis=0), at[order][starts]
+        order = _order(at)
+        starts = _runs(at[order])[:-1]
+        total, rows = _sums(slope, order, starts), at[order[starts]]
         squares = self.squares[name][rows] + total * total
         self.squares[name][rows] = squares
         self.tables[name][rows] += self.rate * total / np.sqrt(squares)
 
-    def _draw(self, upto: np.ndarray, first: int, stop: int, rng: np.random.Generator) -> np.ndarray:
-        below = upto[first - 1] if first else 0.0
-        return np.minimum(np.searchsorted(upto, below + rng.random(self.noise) * (upto[stop - 1] - below), "right"), stop - 1)
-
     def step(self, contexts: np.ndarray, symbols: np.ndarray, rng: np.random.Generator) -> None:
         """Learns from a mini-batch: each row of ``contexts`` has the symbols before one of
-        ``symbols``, the nearest first."""
-        order = np.argsort(symbols, kind="stable")
-        contexts, symbols = contexts[order], symbols[order]
-        t, log_noise, cluster = self.tables, math.log(self.noise), symbols // self.width
-        seen = [t["R"][contexts[:, i]] for i in range(self.context)]
-        h = sum(x @ t["C"][i] for i, x in enumerate(seen))
-
-        def told(table: str, bias: str, at: np.ndarray, q: np.ndarray) -> np.ndarray:
-            return 1 - _sigma((h * t[table][at]).sum(axis=1) + t[bias][at] - log_noise - np.log(q[at]))
-
-        def mistaken(rows: np.ndarray, table: str, bias: str, at: np.ndarray, q: np.ndarray) -> np.ndarray:
-            return _sigma(rows @ t[table][at].T + t[bias][at] - log_noise - np.log(q[at]))
-
-        fake = self._draw(self._cluster_upto, 0, len(self.q_cluster), rng)
-        up, down = told("G", "g", cluster, self.q_cluster), mistaken(h, "G", "g", fake, self.q_cluster)
-        back = up[:, None] * t["G"][cluster] - down @ t["G"][fake]
-        coarse = np.concatenate((cluster, fake)), np.concatenate((up[:, None] * h, -(down.T @ h))), np.concatenate((up, -down.sum(axis=0)))
-        up = told("Q", "b", symbols, self.q)
-        back += up[:, None] * t["Q"][symbols]
-        at, slopes, biases = [symbols], [up[:, None] * h], [up]
-        runs = _runs(cluster)
-        for lo, hi in zip(runs, runs[1:]):  # noise within each cluster
-            first = int(cluster[lo]) * self.width
-            fake = self._draw(self._upto, first, min(first + self.width, self.size), rng)
-            down = mistaken(h[lo:hi], "Q", "b", fake, self.q)
-            back[lo:hi] -= down @ t["Q"][fake]
-            at.append(fake)
-            slopes.append(-(down.T @ h[lo:hi]))
-            biases.append(-down.sum(axis=0))
-        through = [back @ t["C"][i].T for i in range(self.context)]
-        self._add("G", coarse[0], coarse[1])
-        self._add("g", coarse[0], coarse[2])
-        self._add("Q", np.concatenate(at), np.concatenate(slopes))
-        self._add("b", np.concatenate(at), np.concatenate(biases))
-        self._add("C", np.arange(self.context), np.stack([x.T @ back for x in seen]))
-        self._add("R", contexts.T.ravel(), np.concatenate(through))
+        ``symbols``, the nearest first. What depends on a context's symbol and place alone is
+        reckoned once for all the rows that have them."""
+        order = _order(symbols)
+        symbols, before = symbols[order], contexts[order].T.ravel()
+        t, n, log_noise = self.tables, len(symbols), math.log(self.noise)
+        order = _order(before)
+        place, row = np.divmod(order, n)
+        new = np.diff(before[order], prepend=-1) != 0
+        words, which = before[order[new]], np.empty(len(order), np.int64)
+        which[order] = np.cumsum(new) - 1
+        known, dim = t["R"][words], t["R"].shape[1]
+        placed = [known @ x for x in t["C"]]
+        h = sum(x.take(which[i * n : (i + 1) * n], axis=0) for i, x in enumerate(placed))
+
+        # noise: the first row among the clusters, then one within each cluster that is there
+        runs, cut = _runs(symbols // self.width), _runs(symbols)[:-1]
+        own = symbols[runs[:-1]] // self.width
+        first, stop = own * self.width, np.minimum((own + 1) * self.width, self.size)
+        random, below = rng.random((len(own) + 1, self.noise)), np.where(first, self._upto[first - 1], 0.0)
+        coarse = np.minimum(np.searchsorted(self._cluster_upto, random[0] * self._cluster_upto[-1], "right"), len(self.q_cluster) - 1)
+        drawn = below[:, None] + random[1:] * (self._upto[stop - 1] - below)[:, None]
+        fine = np.minimum(np.searchsorted(self._upto, drawn, "right"), stop[:, None] - 1)
+
+        def bias(fine_or_coarse: str, at: np.ndarray, q: np.ndarray) -> np.ndarray:
+            return t[fine_or_coarse][at] - log_noise - np.log(q[at])
+
+        # of each cluster's rows: the noise within it, and at last the cluster itself
+        told = np.empty((len(own), self.noise + 1, dim + 1), np.float32)
+        told[:, :-1, :dim], told[:, -1, :dim], told[:, :-1, dim], told[:, -1, dim] = t["Q"][fine], t["G"][own], bias("b", fine, self.q), bias("g", own, self.q_cluster)
+        ended = np.ones((n, dim + 1), np.float32)  # by a one, for the bias
+        ended[:, :dim] = h
+        wrong, back, slopes = np.empty((n, self.noise + 1), np.float32), np.empty_like(h), np.empty_like(told)
+        spans = [slice(lo, hi) for lo, hi in zip(runs[:-1].tolist(), runs[1:].tolist(), strict=True)]
+        for k, at in enumerate(spans):
+            np.matmul(ended[at], told[k].T, out=wrong[at])
+        wrong = _sigma(wrong)
+        wrong[:, -1] -= 1
+        for k, at in enumerate(spans):
+            np.matmul(wrong[at], told[k, :, :dim], out=back[at])
+            np.matmul(wrong[at].T, ended[at], out=slopes[k])
+        others = t["G"][coarse]
+        down = _sigma(h @ others.T + bias("g", coarse, self.q_cluster))
+        back += down @ others
+        found = t["Q"].take(symbols, axis=0)
+        up = 1 - _sigma(np.einsum("ij,ij->i", h, found) + bias("b", symbols, self.q))
+        found *= up[:, None]
+        found -= back
+        sums = np.zeros((self.context, len(words), dim), np.float32)
+        both = np.flatnonzero(new | (np.diff(place, prepend=-1) != 0))  # a symbol's rows come place by place
+        sums[place[both], which[order[both]]] = _sums(found, row, both)
+
+        at = np.concatenate((own, coarse))
+        self._add("G", at, -np.concatenate((slopes[:, -1, :dim], down.T @ h)))
+        self._add("g", at, -np.concatenate((slopes[:, -1, dim], down.sum(axis=0))))
+        at, rows = np.concatenate((symbols[cut], fine.ravel())), np.arange(n)
+        self._add("Q", at, np.concatenate((_sums(h * up[:, None], rows, cut), -slopes[:, :-1, :dim].reshape(-1, dim))))
+        self._add("b", at, np.concatenate((_sums(up, rows, cut), -slopes[:, :-1, dim].ravel())))
+        self._add("R", words, sum(x @ c.T for x, c in zip(sums, t["C"], strict=True)))
+        self._add("C", np.arange(self.context), np.stack([known.T @ x for x in sums]))
 
     # --- exchange between tasks
 
@@ -124,23 +165,26 @@ class LogBilinear:
 
     # --- scoring
 
-    def log_probs(self, contexts: np.ndarray, symbols: np.ndarray, chunk: int = 1 << 14) -> np.ndarray:
-        """The normalised natural logarithm of each symbol's probability."""
+    def log_probs(self, contexts: np.ndarray, symbols: np.ndarray, chunk: int = 1 << 15, block: int = 1 << 10) -> np.ndarray:
+        """The normalised natural logarithm of each symbol's probability. Rows meet all
+        clusters ``block`` at a time, which a processor's own memory holds."""
+        one = lambda x, bias: np.concatenate((x, bias[:, None]), axis=1)  # noqa: E731  vectors with their bias as a further number
         t = self.tables
         placed = [t["R"] @ t["C"][i] for i in range(self.context)]
+        placed = [one(x, np.full(self.size, i == 0, np.float32)) for i, x in enumerate(placed)]
+        coarse, fine = one(t["G"], t["g"]).T, one(t["Q"], t["b"])
         out = np.zeros(len(symbols))
         for start in range(0, len(symbols), chunk):
-            order = np.argsort(symbols[start : start + chunk], kind="stable") + start
+            order = _order(symbols[start : start + chunk]) + start
             before, own = contexts[order], symbols[order]
-            h = sum(placed[i][before[:, i]] for i in range(self.context))
+            h = sum(placed[i].take(before[:, i], axis=0) for i in range(self.context))
             cluster = own // self.width
-            energy = h @ t["G"].T + t["g"]
-            found = energy[np.arange(len(own)), cluster] - _log_sum(energy)
-            runs = _runs(cluster)
+            found = np.einsum("ij,ij->i", h, fine.take(own, axis=0) + coarse.T.take(cluster, axis=0))
+            for lo in range(0, len(own), block):
+                found[lo : lo + block] -= _log_sum(h[lo : lo + block] @ coarse)
+            runs = _runs(cluster).tolist()
             for lo, hi in zip(runs, runs[1:]):
                 first = int(cluster[lo]) * self.width
-                stop = min(first + self.width, self.size)
-                energy = h[lo:hi] @ t["Q"][first:stop].T + t["b"][first:stop]
-                found[lo:hi] += energy[np.arange(hi - lo), own[lo:hi] - first] - _log_sum(energy)
+                found[lo:hi] -= _log_sum(h[lo:hi] @ fine[first : min(first + self.width, self.size)].T)
             out[order] = found
         return out
