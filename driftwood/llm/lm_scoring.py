@@ -217,6 +217,8 @@ def score(
     sums = counts.mapInArrow(by_class, "symbol long, total long, kinds long").groupBy("symbol").agg(F.sum("total").alias("total"), F.sum("kinds").alias("kinds")).toArrow()
     totals, kinds = np.zeros(symbols.size, np.int64), np.zeros(symbols.size, np.int64)
     totals[sums.column("symbol").to_numpy()], kinds[sums.column("symbol").to_numpy()] = sums.column("total").to_numpy(), sums.column("kinds").to_numpy()
+    if totals[0]:
+        table[END] = int(totals[0])  # with few long texts, it may not be among the frequent
     share = np.where(np.arange(symbols.size) < symbols.first, 0.0, np.log10(totals + kinds + 1.0))
     order = symbols.placed(totals)
     totals, share = totals[order], share[order]

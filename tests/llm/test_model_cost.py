@@ -2,7 +2,9 @@ import math
 import time
 
 import numpy as np
+from pyspark.sql import functions as F
 
+from driftwood.llm import lm_scoring
 from driftwood.llm.log_bilinear import LogBilinear
 
 
@@ -103,3 +105,12 @@ def test_large_exponents_do_not_overflow():
     model.tables["G"] *= 4000
     want = Plain.log_probs(model, contexts, symbols)
     assert want.min() < -100 and np.allclose(model.log_probs(contexts, symbols), want, rtol=1e-4, atol=1e-2)
+
+
+def test_ends_that_are_not_among_the_frequent_words(spark):
+    """Scores do not depend on how many words' counts are broadcast."""
+    docs = spark.createDataFrame([(i, " ".join(f"w{k}" for k in range(30) for _ in range(3)) if i < 4 else t) for i, t in enumerate(["", "", "", "", "", None, "w3 w29 new"])], "doc_id long, text string").repartition(1).sortWithinPartitions("doc_id")
+    got = [{r.doc_id: r for r in lm_scoring.score(docs, F.col("doc_id") < 4, own_words=5, classes=4, dim=4, frequent=n, least_tokens=1).collect()} for n in (2, 1000)]
+    for i in range(7):
+        few, many = (x[i] for x in got)
+        assert (few.n_tokens, few.n_known) == (many.n_tokens, many.n_known) and math.isclose(few.score, many.score, rel_tol=1e-6) and math.isclose(few.base_score, many.base_score, rel_tol=1e-9)
