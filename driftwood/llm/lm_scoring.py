@@ -17,12 +17,12 @@ from __future__ import annotations
 import copy
 import math
 import zlib
-from collections import Counter
 from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,19 +43,38 @@ def tokens(text: bytes) -> list[bytes]:
     return [*text.lower().split(), END]
 
 
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts (binary; null is empty), one after another, and how many each
+    text has: ``tokens`` for a whole batch, but for the ends."""
+    as_text = pa.large_string() if pa.types.is_large_binary(texts.type) else pa.string()
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null(b"").view(as_text)))
+    words, upto = lists.flatten().cast(texts.type).cast(pa.binary()), np.cumsum(np.asarray(pc.list_value_length(lists)), dtype=np.int64)
+    there = np.asarray(pc.binary_length(words)) > 0  # where white space begins or ends a text, the split leaves an empty word
+    if not there.all():
+        words, upto = words.filter(pa.array(there)), np.concatenate(([0], np.cumsum(there)))[upto]
+    return words, np.diff(upto, prepend=0)
+
+
 def word_counts(docs: DataFrame, *, text_col: str = "text", flush: int = 400_000) -> DataFrame:
-    """``(word binary, n)`` over the rows of ``docs``, summed by each task first."""
+    """``(word binary, n)`` over the rows of ``docs``, summed by each task first: a task sums
+    what it has at one and a half times ``flush`` rows, and sends it if over ``flush`` are left."""
+    schema = pa.schema([("word", pa.binary()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
-        out = lambda: pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.binary()), pa.array(counts.values(), pa.int64())], ["word", "n"])
-        for batch in slices(batches, "text"):
-            for text in batch.column("text").to_pylist():
-                counts.update(tokens(text or b""))
-            if len(counts) > flush:
-                yield out()
-                counts.clear()
-        yield out()
+        held, ends = [], 0
+        summed = lambda: pa.Table.from_batches(held, schema).group_by("word", use_threads=False).aggregate([("n", "sum")]).rename_columns(["word", "n"]).combine_chunks().to_batches()
+        for batch in slices(batches, "text", 4 << 20):
+            words, sizes = words_of(batch.column("text"))
+            ends += len(sizes)
+            held.append(pa.RecordBatch.from_arrays(words.value_counts().flatten(), schema=schema))
+            if sum(map(len, held)) > 1.5 * flush:
+                held = summed()
+                if sum(map(len, held)) > flush:
+                    yield from held
+                    held = []
+        if ends:
+            held.append(pa.RecordBatch.from_pydict({"word": [END], "n": [ends]}, schema))
+            yield from summed()
 
     return docs.select(F.col(text_col).cast("binary").alias("text")).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -86,39 +105,48 @@ class Symbols:
         found = self.known.get(word)
         return self.class_of(word) if found is None else found
 
+    def classes_of(self, words: pa.Array) -> np.ndarray:
+        """``class_of`` each word; asks it once for the last letters that words share."""
+        ends = pc.binary_slice(pc.ascii_rtrim(words.view(pa.string()), characters=".,;:!?").view(pa.binary()), -3).dictionary_encode()
+        return np.array([self.class_of(w) for w in ends.dictionary.to_pylist()], np.int32)[np.asarray(ends.indices)]
 
-class Seen(dict):
-    """The numbers of words: those given, and what ``of`` says of others, kept until there are ``most``."""
+    def reader(self) -> Numbers:
+        return Numbers(self.known, self.classes_of)
 
-    def __init__(self, known: dict[bytes, int], of: Callable[[bytes], int], most: int):
-        super().__init__(known)
-        self.of, self.most = of, most
 
-    def __missing__(self, word: bytes) -> int:
-        found = self.of(word)
-        if len(self) < self.most:
-            self[word] = found
-        return found
+class Numbers:
+    """The numbers of words: those of ``known``, and for all others what ``of`` says."""
+
+    def __init__(self, known: dict[bytes, int], of: Callable[[pa.Array], np.ndarray]):
+        self.words, self.numbers, self.others = pa.array(known.keys(), pa.binary()), np.array([*known.values()], np.int32), of
+
+    def of(self, words: pa.Array) -> np.ndarray:
+        at = pc.index_in(words, value_set=self.words)
+        there, out = np.asarray(at.is_valid()), np.empty(len(words), np.int32)
+        out[there] = self.numbers[np.asarray(at.drop_null())]
+        if at.null_count:
+            out[~there] = self.others(words.filter(at.is_null()))
+        return out
 
 
 class Reader:
-    """Texts as numbers with their contexts, those of symbols or of ``known`` words and
-    others by ``of``; keeps the numbers of some words it met."""
+    """Texts as numbers with their contexts, those of symbols or other ``numbers``."""
 
-    def __init__(self, symbols: Symbols, most: int = 200_000, known: dict[bytes, int] | None = None, of: Callable[[bytes], int] | None = None):
-        self.seen = Seen(symbols.known if known is None else known, of or symbols.class_of, most)
+    def __init__(self, symbols: Symbols, numbers: Numbers | None = None):
+        self.numbers = numbers or symbols.reader()
+        self.end = self.numbers.of(pa.array([END], pa.binary()))[0]
 
     def read(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        """``read_words`` of texts as ``tokens`` has them."""
+        return self.read_words(pa.array(chain.from_iterable(x[:-1] for x in texts), pa.binary()), np.array([len(x) - 1 for x in texts], np.int64))
+
+    def read_words(self, words: pa.Array, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """``(contexts, symbols)`` of all tokens of all texts, one after another. Before a
-        text there are ends."""
-        of = self.seen.__getitem__
-        end = [of(END)] * _CONTEXT
-        flat = []
-        for words in texts:
-            flat += end
-            flat += map(of, words)
-        flat, sizes = np.array(flat, np.int64), np.array([len(x) for x in texts], np.int64)
-        at = np.arange(sizes.sum()) + _CONTEXT * np.repeat(np.arange(1, len(sizes) + 1), sizes)
+        text there are ends, and after it one."""
+        text = np.arange(len(sizes))
+        flat = np.full(len(words) + (_CONTEXT + 1) * len(sizes), self.end, np.int32)
+        flat[np.arange(len(words)) + np.repeat((_CONTEXT + 1) * text + _CONTEXT, sizes)] = self.numbers.of(words)
+        at = np.arange(len(words) + len(sizes)) + np.repeat(_CONTEXT * (text + 1), sizes + 1)
         return np.stack([flat[at - i - 1] for i in range(_CONTEXT)], axis=1), flat[at]
 
 
@@ -140,9 +168,9 @@ def train(docs: DataFrame, symbols: Symbols, model: LogBilinear, *, rounds: list
         def learn(batches: Iterator[pa.RecordBatch], number: int = number, shipped=shipped) -> Iterator[pa.RecordBatch]:
             own, reader, task = copy.deepcopy(shipped.value), Reader(reader_of.value), TaskContext.get().partitionId()
             rng = np.random.default_rng([number, task])
-            contexts, found = np.zeros((0, _CONTEXT), np.int64), np.zeros(0, np.int64)
+            contexts, found = np.zeros((0, _CONTEXT), np.int32), np.zeros(0, np.int32)
             for part in slices(batches, "text", 1 << 20):
-                more = reader.read([tokens(x or b"") for x in part.column("text").to_pylist()])
+                more = reader.read_words(*words_of(part.column("text")))
                 contexts, found = np.concatenate((contexts, more[0])), np.concatenate((found, more[1]))
                 whole = len(found) - len(found) % batch
                 for lo in range(0, whole, batch):
@@ -206,13 +234,13 @@ def score(
 
     def by_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Words and kinds of each symbol, from the whole table."""
-        known = shipped_symbols.value
-        total, kinds = np.zeros(known.size, np.int64), np.zeros(known.size, np.int64)
+        size, numbers = shipped_symbols.value.size, shipped_symbols.value.reader()
+        total, kinds = np.zeros(size, np.int64), np.zeros(size, np.int64)
         for batch in batches:
-            at = np.array([known.of(w) for w in batch.column("word").to_pylist()], np.int64)
+            at = numbers.of(batch.column("word").cast(pa.binary()))
             np.add.at(total, at, batch.column("n").to_numpy())
             np.add.at(kinds, at, 1)
-        yield pa.RecordBatch.from_pydict({"symbol": np.arange(known.size), "total": total, "kinds": kinds})
+        yield pa.RecordBatch.from_pydict({"symbol": np.arange(size), "total": total, "kinds": kinds})
 
     sums = counts.mapInArrow(by_class, "symbol long, total long, kinds long").groupBy("symbol").agg(F.sum("total").alias("total"), F.sum("kinds").alias("kinds")).toArrow()
     totals, kinds = np.zeros(symbols.size, np.int64), np.zeros(symbols.size, np.int64)
@@ -223,7 +251,7 @@ def score(
     order = symbols.placed(totals)
     totals, share = totals[order], share[order]
     # a word's number is its place in the table, for others that of their symbol, after these
-    known, place = {w: i for i, w in enumerate(table)}, np.array([*map(symbols.of, table), *range(symbols.size)])
+    known, place = {w: i for i, w in enumerate(table)}, np.array([*map(symbols.of, table), *range(symbols.size)], np.int32)
     log_counts = np.concatenate((np.log10(np.array([*table.values()], np.float64) + 1), np.zeros(symbols.size)))
     own = np.array([w in symbols.known for w in table] + [False] * symbols.size, bool)
     weighed = np.where(own, 0.0, log_counts - share[place])
@@ -239,21 +267,25 @@ def score(
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """What needs no rare count, and the words that do."""
         symbols, known, place, log_counts, weighed, lbl = model.value
-        reader, one = Reader(symbols, known=known, of=lambda w: len(known) + symbols.of(w)), pa.struct([("word", pa.binary()), ("n", pa.int64())])
+        others, one = symbols.reader(), pa.struct([("word", pa.binary()), ("n", pa.int64())])
+        reader = Reader(symbols, Numbers(known, lambda words: len(known) + others.of(words)))
         for batch in slices(batches, "text", 4 << 20):
-            texts = [tokens(text or b"") for text in batch.column("text").to_pylist()]
-            sizes = np.array([len(x) for x in texts], np.int64)
-            upto = np.cumsum(sizes)
-            contexts, found = reader.read(texts)
-            each = lambda x: np.add.reduceat(x, upto - sizes)
+            words, sizes = words_of(batch.column("text"))
+            contexts, found = reader.read_words(words, sizes)
+            starts = np.cumsum(sizes + 1) - sizes - 1
+            each = lambda x: np.add.reduceat(x, starts)
             logs = lbl.log_probs(place[contexts], place[found]) / math.log(10) + weighed[found]
-            words, at = list(chain.from_iterable(texts)), np.flatnonzero(found >= len(known))
-            rare, cuts = [words[i] for i in at.tolist()], [0, *np.searchsorted(at, upto).tolist()]
-            per_text = [Counter(rare[lo:hi]) for lo, hi in zip(cuts, cuts[1:])]
-            kinds = np.cumsum([0, *map(len, per_text)])
-            rare = pa.StructArray.from_arrays([pa.array(list(chain.from_iterable(per_text)), pa.binary()), pa.array(list(chain.from_iterable(x.values() for x in per_text)), pa.int64())], fields=list(one))
-            numbers = sizes, sizes - np.diff(cuts), each(log_counts[found]), each(logs)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("train"), *map(pa.array, numbers), pa.ListArray.from_arrays(pa.array(kinds, pa.int32()), rare)], ["id", "train", "n_tokens", "n_known", "base", "model", "rare"])
+            rare = found >= len(known)
+            n_known = each((~rare).astype(np.int64))
+            # a row for each text and rare word; ends are no words, and rare only where nothing is known
+            rare = np.delete(rare, starts + sizes)
+            kinds = words.filter(pa.array(rare)).dictionary_encode()
+            text, many = np.repeat(np.arange(len(sizes)), sizes)[rare], max(1, len(kinds.dictionary))
+            pairs, times = np.unique(text * many + np.asarray(kinds.indices), return_counts=True)
+            upto = np.searchsorted(pairs, np.arange(len(sizes) + 1) * many)
+            rare = pa.StructArray.from_arrays([kinds.dictionary.take(pa.array(pairs % many)), pa.array(times, pa.int64())], fields=list(one))
+            numbers = sizes + 1, n_known, each(log_counts[found]), each(logs)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("train"), *map(pa.array, numbers), pa.ListArray.from_arrays(pa.array(upto, pa.int32()), rare)], ["id", "train", "n_tokens", "n_known", "base", "model", "rare"])
 
     schema = T.StructType([*(f for f in rows.schema.fields if f.name != "text"), *T._parse_datatype_string("n_tokens long, n_known long, base double, model double, rare array<struct<word:binary,n:long>>").fields])
     scored = written(rows.mapInArrow(local, schema).withColumn("row", F.monotonically_increasing_id()))

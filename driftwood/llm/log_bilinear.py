@@ -18,16 +18,22 @@ _TABLES = ("R", "C", "Q", "b", "G", "g")
 _START = 1e-2
 #: Exponents below this in size are summed as they are; float32 holds a million such terms.
 _PLAIN = 60.0
+#: Of so many rows of a run, the sum is taken along all runs at once.
+_SHORT = 16
 
 
 def _sigma(x: np.ndarray) -> np.ndarray:
+    """Overwrites ``x``."""
     with np.errstate(over="ignore"):
-        return 1 / (1 + np.exp(-x))
+        np.exp(np.negative(x, out=x), out=x)
+        x += 1
+        return np.reciprocal(x, out=x)
 
 
-def _log_sum(x: np.ndarray) -> np.ndarray:
-    """The logarithm of each row's summed exponentials; overwrites ``x``."""
-    if max(x.max(), -x.min()) < _PLAIN:
+def _log_sum(x: np.ndarray, plain: bool) -> np.ndarray:
+    """The logarithm of each row's summed exponentials; overwrites ``x``. ``plain``: known
+    to have no exponent that is too large to be summed as it is."""
+    if plain or max(x.max(), -x.min()) < _PLAIN:
         return np.log(np.exp(x, out=x) @ np.ones(x.shape[1], x.dtype))
     top = x.max(axis=1)
     x -= top[:, None]
@@ -46,16 +52,28 @@ def _runs(sorted_: np.ndarray) -> np.ndarray:
     return np.concatenate(([0], np.flatnonzero(sorted_[1:] != sorted_[:-1]) + 1, [len(sorted_)]))
 
 
-def _sums(rows: np.ndarray, order: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """The sum of each run of ``rows[order]``, which begin at ``starts``. Runs of one row, as
-    most are, need no sum; of the others two numbers are added at a time."""
+def _sums(rows: np.ndarray, order: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``(runs, sums)``: the sum of each run of ``rows[order]``, which begin at ``starts``, those
+    of over ``_SHORT`` rows first, then by falling length. The first rows of all runs are added at once, then the second ones, as
+    numpy takes longer to begin a short run than to sum it; what is left of long runs goes
+    run by run, two numbers at a time."""
     size = np.diff(starts, append=len(order))
-    out, many = rows.take(order[starts], axis=0), size > 1
-    if many.any():
-        x = rows.take(order[np.repeat(many, size)], axis=0)
+    runs = _order(np.maximum(_SHORT + 1 - size, 0))
+    at, size = starts[runs], size[runs]
+    out = rows.take(order[at], axis=0)
+    for k in range(1, _SHORT):
+        many = np.count_nonzero(size > k)
+        if not many:
+            break
+        out[:many] += rows.take(order[at[:many] + k], axis=0)
+    many = np.count_nonzero(size > _SHORT)
+    if many:
+        left = size[:many] - _SHORT
+        begin = np.cumsum(left) - left
+        x = rows.take(order[np.arange(left.sum()) + np.repeat(at[:many] + _SHORT - begin, left)], axis=0)
         pairs = x.view(np.complex64) if x.ndim == 2 and x.shape[1] % 2 == 0 and x.dtype == np.float32 else x
-        out[many] = np.add.reduceat(pairs, np.cumsum(size[many]) - size[many], axis=0).view(x.dtype)
-    return out
+        out[:many] += np.add.reduceat(pairs, begin, axis=0).view(x.dtype)
+    return runs, out
 
 
 class LogBilinear:
@@ -79,76 +97,80 @@ class LogBilinear:
 
     # --- training
 
-    def _add(self, name: str, at: np.ndarray, slope: np.ndarray) -> None:
-        """One Adagrad step on the rows ``at``, repeats summed."""
+    def _add(self, names: str, at: np.ndarray, slope: np.ndarray) -> None:
+        """One Adagrad step on the rows ``at``, repeats summed. Of two tables, the second has
+        the bias of the first one's vectors, whose slopes stand behind those of the vector."""
         order = _order(at)
         starts = _runs(at[order])[:-1]
-        total, rows = _sums(slope, order, starts), at[order[starts]]
-        squares = self.squares[name][rows] + total * total
-        self.squares[name][rows] = squares
-        self.tables[name][rows] += self.rate * total / np.sqrt(squares)
+        runs, total = _sums(slope, order, starts)
+        rows = at[order[starts[runs]]]
+        dim = self.tables["R"].shape[1]
+        for name, part in zip(names, (total[:, :dim], total[:, dim]) if len(names) > 1 else (total,), strict=True):
+            squares = self.squares[name][rows] + part * part
+            self.squares[name][rows] = squares
+            self.tables[name][rows] += self.rate * part / np.sqrt(squares)
 
     def step(self, contexts: np.ndarray, symbols: np.ndarray, rng: np.random.Generator) -> None:
         """Learns from a mini-batch: each row of ``contexts`` has the symbols before one of
         ``symbols``, the nearest first. What depends on a context's symbol and place alone is
         reckoned once for all the rows that have them."""
         order = _order(symbols)
-        symbols, before = symbols[order], contexts[order].T.ravel()
-        t, n, log_noise = self.tables, len(symbols), math.log(self.noise)
+        symbols, before = symbols[order], contexts.T.take(order, axis=1).ravel()
+        t, n, noise = self.tables, len(symbols), self.noise
         order = _order(before)
-        place, row = np.divmod(order, n)
-        new = np.diff(before[order], prepend=-1) != 0
-        words, which = before[order[new]], np.empty(len(order), np.int64)
-        which[order] = np.cumsum(new) - 1
+        place = sum((order >= i * n).astype(np.int64) for i in range(1, self.context))
+        row, met = order - place * n, before[order]
+        new = np.concatenate(([True], met[1:] != met[:-1]))
+        spot = (np.cumsum(new) - 1) * self.context + place  # each word has one for each place
+        words, which = met[new], np.empty(len(order), np.int64)
+        which[order] = spot
         known, dim = t["R"][words], t["R"].shape[1]
-        placed = [known @ x for x in t["C"]]
-        h = sum(x.take(which[i * n : (i + 1) * n], axis=0) for i, x in enumerate(placed))
+        matrices = np.concatenate(t["C"], axis=1)
+        placed = (known @ matrices).reshape(-1, dim)
+        h = np.zeros((n, dim + 2 - dim % 2), np.float32)  # by a one, for the bias; an even number of columns
+        h[:, :dim] = sum(placed.take(which[i * n : (i + 1) * n], axis=0) for i in range(self.context))
+        h[:, dim] = 1
 
         # noise: the first row among the clusters, then one within each cluster that is there
         runs, cut = _runs(symbols // self.width), _runs(symbols)[:-1]
         own = symbols[runs[:-1]] // self.width
         first, stop = own * self.width, np.minimum((own + 1) * self.width, self.size)
-        random, below = rng.random((len(own) + 1, self.noise)), np.where(first, self._upto[first - 1], 0.0)
+        random, below = rng.random((len(own) + 1, noise)), np.where(first, self._upto[first - 1], 0.0)
         coarse = np.minimum(np.searchsorted(self._cluster_upto, random[0] * self._cluster_upto[-1], "right"), len(self.q_cluster) - 1)
         drawn = below[:, None] + random[1:] * (self._upto[stop - 1] - below)[:, None]
         fine = np.minimum(np.searchsorted(self._upto, drawn, "right"), stop[:, None] - 1)
 
-        def bias(fine_or_coarse: str, at: np.ndarray, q: np.ndarray) -> np.ndarray:
-            return t[fine_or_coarse][at] - log_noise - np.log(q[at])
+        def with_bias(table: str, bias: str, at: np.ndarray, q: np.ndarray) -> np.ndarray:
+            out = np.zeros((*at.shape, h.shape[1]), np.float32)
+            out[..., :dim], out[..., dim] = t[table][at], t[bias][at] - math.log(noise) - np.log(q[at])
+            return out
 
-        # of each cluster's rows: the noise within it, and at last the cluster itself
-        told = np.empty((len(own), self.noise + 1, dim + 1), np.float32)
-        told[:, :-1, :dim], told[:, -1, :dim], told[:, :-1, dim], told[:, -1, dim] = t["Q"][fine], t["G"][own], bias("b", fine, self.q), bias("g", own, self.q_cluster)
-        ended = np.ones((n, dim + 1), np.float32)  # by a one, for the bias
-        ended[:, :dim] = h
-        wrong, back, slopes = np.empty((n, self.noise + 1), np.float32), np.empty_like(h), np.empty_like(told)
+        # of each cluster's rows: the noise within it, the cluster itself, the noise among clusters
+        told = np.concatenate((with_bias("Q", "b", fine, self.q), with_bias("G", "g", own[:, None], self.q_cluster), np.broadcast_to(with_bias("G", "g", coarse, self.q_cluster), (len(own), noise, h.shape[1]))), axis=1)
+        wrong, back, slopes = np.empty((n, 2 * noise + 1), np.float32), np.empty_like(h), np.empty_like(told)
         spans = [slice(lo, hi) for lo, hi in zip(runs[:-1].tolist(), runs[1:].tolist(), strict=True)]
         for k, at in enumerate(spans):
-            np.matmul(ended[at], told[k].T, out=wrong[at])
+            np.matmul(h[at], told[k].T, out=wrong[at])
         wrong = _sigma(wrong)
-        wrong[:, -1] -= 1
+        wrong[:, noise] -= 1
         for k, at in enumerate(spans):
-            np.matmul(wrong[at], told[k, :, :dim], out=back[at])
-            np.matmul(wrong[at].T, ended[at], out=slopes[k])
-        others = t["G"][coarse]
-        down = _sigma(h @ others.T + bias("g", coarse, self.q_cluster))
-        back += down @ others
-        found = t["Q"].take(symbols, axis=0)
-        up = 1 - _sigma(np.einsum("ij,ij->i", h, found) + bias("b", symbols, self.q))
+            np.matmul(wrong[at], told[k], out=back[at])
+            np.matmul(wrong[at].T, h[at], out=slopes[k])
+        found = np.repeat(with_bias("Q", "b", symbols[cut], self.q), np.diff(cut, append=n), axis=0)
+        up = 1 - _sigma(np.einsum("ij,ij->i", h, found))
         found *= up[:, None]
         found -= back
-        sums = np.zeros((self.context, len(words), dim), np.float32)
-        both = np.flatnonzero(new | (np.diff(place, prepend=-1) != 0))  # a symbol's rows come place by place
-        sums[place[both], which[order[both]]] = _sums(found, row, both)
-
-        at = np.concatenate((own, coarse))
-        self._add("G", at, -np.concatenate((slopes[:, -1, :dim], down.T @ h)))
-        self._add("g", at, -np.concatenate((slopes[:, -1, dim], down.sum(axis=0))))
-        at, rows = np.concatenate((symbols[cut], fine.ravel())), np.arange(n)
-        self._add("Q", at, np.concatenate((_sums(h * up[:, None], rows, cut), -slopes[:, :-1, :dim].reshape(-1, dim))))
-        self._add("b", at, np.concatenate((_sums(up, rows, cut), -slopes[:, :-1, dim].ravel())))
-        self._add("R", words, sum(x @ c.T for x, c in zip(sums, t["C"], strict=True)))
-        self._add("C", np.arange(self.context), np.stack([known.T @ x for x in sums]))
+        sums = np.zeros((len(placed), dim), np.float32)
+        starts = _runs(spot)[:-1]  # a symbol's rows come place by place
+        runs, total = _sums(found, row, starts)
+        sums[spot[starts[runs]]] = total[:, :dim]
+        sums = sums.reshape(len(words), -1)
+
+        self._add("Gg", np.concatenate((own, coarse)), -np.concatenate((slopes[:, noise], slopes[:, noise + 1 :].sum(axis=0))))
+        runs, total = _sums(h * up[:, None], np.arange(n), cut)
+        self._add("Qb", np.concatenate((symbols[cut[runs]], fine.ravel())), np.concatenate((total, -slopes[:, :noise].reshape(-1, h.shape[1]))))
+        self._add("R", words, sums @ matrices.T)
+        self._add("C", np.arange(self.context), (known.T @ sums).reshape(dim, self.context, dim).transpose(1, 0, 2))
 
     # --- exchange between tasks
 
@@ -169,22 +191,29 @@ class LogBilinear:
         """The normalised natural logarithm of each symbol's probability. Rows meet all
         clusters ``block`` at a time, which a processor's own memory holds."""
         one = lambda x, bias: np.concatenate((x, bias[:, None]), axis=1)  # noqa: E731  vectors with their bias as a further number
-        t = self.tables
+        t, firsts = self.tables, np.arange(0, self.size, self.width)
         placed = [t["R"] @ t["C"][i] for i in range(self.context)]
         placed = [one(x, np.full(self.size, i == 0, np.float32)) for i, x in enumerate(placed)]
         coarse, fine = one(t["G"], t["g"]).T, one(t["Q"], t["b"])
+        # an inner product is at most that of the lengths
+        length = lambda x: np.sqrt(np.einsum("ij,ij->i", x, x))
+        among, biased = float(length(t["G"]).max()), float(np.abs(t["g"]).max())
+        longest, most_biased = (np.maximum.reduceat(x, firsts).tolist() for x in (length(t["Q"]), np.abs(t["b"])))
         out = np.zeros(len(symbols))
         for start in range(0, len(symbols), chunk):
             order = _order(symbols[start : start + chunk]) + start
-            before, own = contexts[order], symbols[order]
+            before, own = contexts.take(order, axis=0), symbols[order]
             h = sum(placed[i].take(before[:, i], axis=0) for i in range(self.context))
-            cluster = own // self.width
+            cluster, most = own // self.width, float(length(h).max())
             found = np.einsum("ij,ij->i", h, fine.take(own, axis=0) + coarse.T.take(cluster, axis=0))
             for lo in range(0, len(own), block):
-                found[lo : lo + block] -= _log_sum(h[lo : lo + block] @ coarse)
+                found[lo : lo + block] -= _log_sum(h[lo : lo + block] @ coarse, most * among + biased < _PLAIN)
             runs = _runs(cluster).tolist()
-            for lo, hi in zip(runs, runs[1:]):
-                first = int(cluster[lo]) * self.width
-                found[lo:hi] -= _log_sum(h[lo:hi] @ fine[first : min(first + self.width, self.size)].T)
+            for begin, end in zip(runs, runs[1:]):
+                first, k = int(cluster[begin]) * self.width, int(cluster[begin])
+                table = fine[first : min(first + self.width, self.size)].T
+                for lo in range(begin, end, block):
+                    hi = min(lo + block, end)
+                    found[lo:hi] -= _log_sum(h[lo:hi] @ table, most * longest[k] + most_biased[k] < _PLAIN)
             out[order] = found
         return out
